@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .near_dedup import group_near_duplicates
 from .substring_dedup import dedup_substrings
 from .suffix_dedup import dedup_suffixes
 
@@ -18,12 +19,16 @@ def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_suffixes(documents(spark, sf_dir))
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_near_duplicates(documents(spark, sf_dir))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_suffix_array_dedup, op10_substring_dedup)
+    found = (op2_suffix_array_dedup, op7_minhash_near_dedup, op10_substring_dedup)
     return {f.__name__: f for f in found}
 
 
