@@ -2,23 +2,38 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import bpe_digests
+from .licenses import scan_licenses
 from .near_dedup import group_near_duplicates
 from .substring_dedup import dedup_substrings
 from .suffix_dedup import dedup_suffixes
 
 
+#: Where the vocabulary files are.
+TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(documents(spark, sf_dir))
+
+
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_suffixes(documents(spark, sf_dir))
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digests(documents(spark, sf_dir), f"{TOKENIZERS}/word_bpe_49k.json")
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_near_duplicates(documents(spark, sf_dir))
 
@@ -28,7 +43,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_suffix_array_dedup, op7_minhash_near_dedup, op10_substring_dedup)
+    found = (op1_license_scan, op2_suffix_array_dedup, op5_bpe, op7_minhash_near_dedup, op10_substring_dedup)
     return {f.__name__: f for f in found}
 
 
