@@ -8,10 +8,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import bpe_digests
+from .fingerprints import fingerprint_documents
 from .licenses import scan_licenses
 from .near_dedup import group_near_duplicates
+from .packing import pack_documents
 from .substring_dedup import dedup_substrings
 from .suffix_dedup import dedup_suffixes
+from .topk import top_k
 
 
 #: Where the vocabulary files are.
@@ -34,17 +37,47 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(documents(spark, sf_dir), f"{TOKENIZERS}/word_bpe_49k.json")
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(documents(spark, sf_dir))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_near_duplicates(documents(spark, sf_dir))
 
 
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embeddings = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return top_k(embeddings, embeddings.where("vec_id % 100 = 0"), 10)
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(documents(spark, sf_dir), f"{TOKENIZERS}/byte_bpe_50k.json")
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_license_scan, op2_suffix_array_dedup, op5_bpe, op7_minhash_near_dedup, op10_substring_dedup)
+    found = (
+        op1_license_scan, op2_suffix_array_dedup, op5_bpe, op6_fingerprints, op7_minhash_near_dedup,
+        op8_top_k, op9_packing, op10_substring_dedup,
+    )
     return {f.__name__: f for f in found}
 
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_top_k": """
+        with v as (
+            select vec_id, list_transform(embedding, x -> cast(floor(1024 * cast(x as double)) as bigint)) as e
+            from embeddings
+            where embedding is not null and vec_id is not null
+              and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+        ), s as (
+            select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.e, c.e), p -> p[1] * p[2])) as bigint) as score
+            from v q join v c on q.vec_id % 100 = 0 and q.vec_id <> c.vec_id and len(q.e) = len(c.e)
+        )
+        select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score
+        from s qualify rank <= 10
+    """,
+}
