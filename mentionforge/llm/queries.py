@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import bpe_digests
 from .fingerprints import fingerprint_documents
+from .language import identify_languages
 from .licenses import scan_licenses
 from .near_dedup import group_near_duplicates
 from .packing import pack_documents
 from .substring_dedup import dedup_substrings
 from .suffix_dedup import dedup_suffixes
 from .topk import top_k
+from .toxicity import score_toxicity
 
 
 #: Where the vocabulary files are.
@@ -33,6 +35,14 @@ def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_suffixes(documents(spark, sf_dir))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(documents(spark, sf_dir), f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(documents(spark, sf_dir), f"{TOKENIZERS}/word_bpe_49k.json")
 
@@ -60,8 +70,8 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
-        op1_license_scan, op2_suffix_array_dedup, op5_bpe, op6_fingerprints, op7_minhash_near_dedup,
-        op8_top_k, op9_packing, op10_substring_dedup,
+        op1_license_scan, op2_suffix_array_dedup, op3_toxicity, op4_language_id, op5_bpe,
+        op6_fingerprints, op7_minhash_near_dedup, op8_top_k, op9_packing, op10_substring_dedup,
     )
     return {f.__name__: f for f in found}
 
