@@ -1,18 +1,61 @@
-"""From raw documents to training sequences, in stages that are written and read again."""
+"""From raw documents to training sequences, in stages that are written and read again.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows of its predecessor;
+all but the last return the columns of ``documents``. SQL can express none of
+them: each is tested against a brute-force version or held-out rows.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from mentionforge.llm.language import keep_known_languages
+from mentionforge.llm.near_dedup import keep_one_of_each
+from mentionforge.llm.packing import pack_documents
+from mentionforge.llm.queries import TOKENIZERS
 from mentionforge.llm.storage import save
+from mentionforge.llm.suffix_dedup import kept_documents
+from mentionforge.llm.toxicity import keep_clean
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score as toxic go."""
+    return keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can't be told go."""
+    return keep_known_languages(docs, f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    return keep_one_of_each(docs)
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Byte strings that still repeat are cut out of the texts."""
+    return kept_documents(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of full token sequences."""
+    return pack_documents(docs, f"{TOKENIZERS}/byte_bpe_50k.json")
+
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", toxicity),
+    ("language", language),
+    ("near_dedup", near_dedup),
+    ("suffix_dedup", suffix_dedup),
+    ("packing", packing),
+]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages applied to ``documents``, in order."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
+    for name, stage in STAGES[:-1]:
         docs = save(stage(spark, docs, sf_dir), name)
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)
