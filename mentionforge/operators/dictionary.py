@@ -14,8 +14,13 @@ BROADCAST_ROWS = 200_000
 
 
 def small_or_shuffled(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` to be broadcast if a count shows it small enough, else for a sort-merge join."""
-    return df.hint("broadcast" if df.limit(limit + 1).count() <= limit else "merge")
+    """``df`` to be broadcast if a count shows it small enough, else for a sort-merge join.
+    What is small enough stays cached, so the count isn't work done twice."""
+    kept = df.persist()
+    if kept.limit(limit + 1).count() <= limit:
+        return kept.hint("broadcast")
+    kept.unpersist()
+    return df.hint("merge")
 
 
 def anchors(words: DataFrame, key: str, gram: int = GRAM) -> DataFrame:
@@ -32,7 +37,7 @@ def anchors(words: DataFrame, key: str, gram: int = GRAM) -> DataFrame:
 def occurrences(texts: DataFrame, words: DataFrame, text: str, key: str, gram: int = GRAM) -> DataFrame:
     """Each row of ``texts`` with each row of ``words`` whose key its text contains, once for every
     place (overlapping ones too), as 0-based at. Equal to a containment join, by equality on anchors."""
-    indexed = anchors(words, key, gram)
+    indexed = anchors(words, key, gram).persist()
     sizes = [r[0] for r in indexed.select(F.length("gram")).distinct().collect()]  # at most ``gram`` numbers
     if not sizes:
         return texts.join(words.limit(0), F.lit(True)).withColumn("at", F.lit(0))

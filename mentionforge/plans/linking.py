@@ -72,7 +72,7 @@ def unknown_tokens(queries: DataFrame, known: DataFrame) -> DataFrame:
 
 def all_mentions(queries: DataFrame, words: DataFrame) -> DataFrame:
     """Known and unknown mentions in span order."""
-    known = known_mentions(queries, words)
+    known = known_mentions(queries, words).persist()
     unknown = D.select_spans(unknown_tokens(queries, known), "query_id", [F.col("text")], ["text"])
     both = known.drop("mention_idx").withColumn("known", F.lit(True)).unionByName(unknown.drop("mention_idx").withColumn("known", F.lit(False)))
     return D.select_spans(both, "query_id", [F.col("text")], ["text", "known"])
@@ -165,12 +165,14 @@ def link_catalog(queries: DataFrame, entities: DataFrame, names: DataFrame, fuzz
     """One row a query by the catalogue pipeline: status, linked_ids, linked_entity_id, summary_reason, data_layer,
     top_ids (up to five candidates over all mentions) and counts. ``selections`` settles ambiguous mentions."""
     gated = request_gate(queries)
-    mentions = catalog_mentions(gated.where("valid").select("query_id", "query"), names)
-    ranked = C.rank_candidates(C.score_candidates(mentions, names, fuzzy))
+    # each is read several times below
+    mentions = catalog_mentions(gated.where("valid").select("query_id", "query"), names).persist()
+    ranked = C.rank_candidates(C.score_candidates(mentions, names, fuzzy)).persist()
     results = mention_results(mentions, ranked)
     if selections is not None:
         results = C.apply_selection(results, ranked, selections, entities)
     results = results.withColumn("degraded", F.coalesce("degraded", F.lit(False)) if "degraded" in results.columns else F.lit(False))
+    results = results.persist()
     degraded = results.groupBy("query_id").agg(F.bool_or("degraded").alias("degraded"))
     per_query = rollup(results).join(degraded.hint("merge"), "query_id")
     shown = ranked.join(results.where((F.col("status") != "no_match") | F.col("predicted_type").isNotNull()).select("query_id", "mention_idx").hint("merge"), ["query_id", "mention_idx"], "left_semi")
