@@ -17,8 +17,8 @@ from .storage import save
 WORDS, PERCENT = 5, 85
 REGISTERS, MANTISSA_BITS = 128, 10
 BANDS, BAND_ROWS = 25, 5
-#: Rows of one side that a task compares where a bucket still holds several components.
-BLOCK = 2048
+#: Rows and shingles of one side, about, that a task compares where a bucket still holds several components.
+BLOCK, BLOCK_SHINGLES = 2048, 2_000_000
 EMPTY = 0xFFFF
 
 
@@ -139,23 +139,33 @@ def likely(percent: int):
 
 
 def across(percent: int):
-    """Pairs of one block whose components differ and whose estimate doesn't rule them out."""
+    """Links between the components that meet in one block, one for each pair of components.
+
+    Exact overlaps come from an inverted index of the block's full sets. Every pair
+    across components has a side outside the largest one, so only those rows ask.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        reg = np.stack([np.frombuffer(x, np.uint16) for x in pdf["reg"]])
-        node, comp, n = pdf["node"].to_numpy(), pdf["comp"].to_numpy(), pdf["n"].to_numpy()
-        # two blocks meet here: pairs inside one block are compared where the block meets itself
-        inside, side = bool((pdf["i"] == pdf["j"]).iloc[0]), pdf["own"].to_numpy()
-        out = []
-        for k in range(len(node)):
-            other = (node > node[k]) if inside else (side != side[k]) & (side[k] == pdf["i"].iloc[0])
-            at = np.flatnonzero(other & (comp != comp[k]) & (100 * np.minimum(n, n[k]) >= percent * np.maximum(n, n[k])))
-            if len(at):
-                own = np.full(len(at), n[k])
-                at = at[estimate(reg[at], reg[k], n[at], own) >= floor(n[at], own, percent)]
-                out.append(np.stack([np.full(len(at), node[k]), node[at]], axis=1))
-        pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"a": pairs.min(axis=1), "b": pairs.max(axis=1)})
+        sets = [np.frombuffer(x, A.U) for x in pdf["set"]]
+        node, n = pdf["node"].to_numpy(), np.array([len(s) for s in sets])
+        comp, size = np.unique(pdf["comp"].to_numpy(), return_inverse=True, return_counts=True)[1:]
+        h, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+        order = np.argsort(h, kind="stable")
+        row = row[order]
+        new = np.append(True, h[order][1:] != h[order][:-1])
+        first = np.flatnonzero(new)
+        count = np.diff(np.append(first, len(h)))
+        term = np.empty(len(h), np.int64)
+        term[order] = np.cumsum(new) - 1
+        ends = np.cumsum(n)
+        links: dict[tuple[int, int], tuple[int, int]] = {}
+        for k in np.flatnonzero(comp != size.argmax()):
+            own = term[ends[k] - n[k] : ends[k]]
+            places = np.arange(count[own].sum()) + np.repeat(first[own] - np.cumsum(count[own]) + count[own], count[own])
+            common = np.bincount(row[places], minlength=len(sets))
+            for j in np.flatnonzero((100 * common >= percent * (n[k] + n - common)) & (comp != comp[k])):
+                links[min(comp[k], comp[j]), max(comp[k], comp[j])] = (node[k], node[j])
+        return pd.DataFrame(list(links.values()), columns=["a", "b"], dtype=np.int64)
 
     return run
 
@@ -229,15 +239,15 @@ def group_near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PE
 
     # buckets that still hold several components: compare their rows across components
     placed = live.join(found.hint("merge"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
-    placed = save(placed, "near-placed")
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("c")).where("x < y")
-    mixed = mixed.select("key", F.expr(f"cast(1 + (c - 1) div {BLOCK} as int)").alias("blocks"))
-    left = placed.join(mixed.hint("merge"), "key").join(live_nodes.select("node", "reg", "n").hint("merge"), "node")
+    placed = save(placed.join(live_nodes.select("node", "n").hint("merge"), "node"), "near-placed")
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("c"), F.sum("n").alias("m")).where("x < y")
+    mixed = mixed.select("key", F.expr(f"cast(greatest(1 + (c - 1) div {BLOCK}, 1 + (m - 1) div {BLOCK_SHINGLES}) as int)").alias("blocks"))
+    left = placed.drop("n").join(mixed.hint("merge"), "key").join(sets.hint("merge"), "node")
+    # a bucket too large for one task meets itself block by block
     left = left.withColumn("own", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    left = left.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp", "n", "reg")
-    more = left.groupBy("key", "i", "j").applyInPandas(across(percent), "a long, b long").distinct()
-    more = verified(more.join(stars.hint("merge"), ["a", "b"], "left_anti"))
+    left = left.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "comp", "set")
+    more = save(left.groupBy("key", "i", "j").applyInPandas(across(percent), "a long, b long").distinct(), "near-across")
     if not more.isEmpty():
         found = components(links.unionByName(more))
 
