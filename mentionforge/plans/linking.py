@@ -131,8 +131,14 @@ def word_mentions(queries: DataFrame, words: DataFrame, entities: DataFrame) ->
 
 def link_words(queries: DataFrame, words: DataFrame, entities: DataFrame) -> DataFrame:
     """One row a query by the word-table pipeline: status, linked_ids, linked_entity_id and the counts of mentions."""
+    valid = request_gate(queries).where("valid").select("query_id", "query")
+    return query_results(queries, word_mentions(valid, words, entities))
+
+
+def query_results(queries: DataFrame, mentions: DataFrame) -> DataFrame:
+    """The query rows of the word-table pipeline from its mention results."""
     gated = request_gate(queries)
-    per_query = rollup(word_mentions(gated.where("valid").select("query_id", "query"), words, entities))
+    per_query = rollup(mentions)
     out = gated.join(per_query.hint("merge"), "query_id", "left")
     none = F.when(F.col("query").rlike(X.LINKING_INTENT) & ~F.col("query").rlike(X.NOT_REQUIRED), "no_match").otherwise("not_required")
     status = F.when(~F.col("valid"), "invalid_input").when(F.col("n_mentions").isNull(), none)
