@@ -7,7 +7,7 @@ import pytest
 from mentionforge.llm import language, toxicity
 from mentionforge.llm.language import Pieces, forward, identify_languages, keep_known_languages
 from mentionforge.llm.queries import TOKENIZERS
-from mentionforge.llm.toxicity import DISGUISED, CharModel, keep_clean, restore, score_toxicity
+from mentionforge.llm.toxicity import CharModel, disguised, keep_clean, restore, score_toxicity
 
 PIECES = f"{TOKENIZERS}/piece_bpe_32k.model"
 WORDS = {
@@ -81,7 +81,7 @@ def model():
 
 @pytest.mark.parametrize("seen,word", [("1d10t", "idiot"), ("s.t.u.p.i.d", "stupid"), ("l o s e r", "loser"), ("stuuupid", "stupid"), ("$tup1d", "stupid"), ("l0ser", "loser")])
 def test_disguises_are_undone(model, seen, word):
-    assert [m[0] for m in DISGUISED.finditer(f"the {seen} there".lower()) if m[0] == seen] == [seen]
+    assert seen in disguised(seen) + [m[0] for m in toxicity.APART_LETTERS.finditer(f"the {seen} there")]
     assert restore(seen, model) == word
 
 
