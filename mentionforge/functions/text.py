@@ -125,9 +125,14 @@ def has_token_boundary(text: Column, start: Column, end: Column) -> Column:
     return ~ascii_alnum(before) & ~ascii_alnum(F.substring(text, end + 1, F.lit(1)))
 
 
-def context_confirms(text: Column, keywords: Column) -> Column:
+def context_pattern(keywords: Column) -> Column:
+    """A pattern that finds any of the keywords in lower-cased text; null without keywords."""
+    return F.when(F.size(keywords) > 0, F.array_join(F.transform(keywords, lambda k: F.concat(F.lit("\\Q"), F.lower(k), F.lit("\\E"))), "|"))
+
+
+def context_confirms(text: Column, pattern: Column) -> Column:
     """Some keyword stands in the text, whatever the case; no keywords confirm nothing."""
-    return F.coalesce(F.exists(keywords, lambda k: F.contains(F.lower(text), F.lower(k))), F.lit(False))
+    return F.coalesce(F.rlike(F.lower(text), pattern), F.lit(False))
 
 
 def regex_spans(text: Column, pattern: str, group: int = 0) -> Column:

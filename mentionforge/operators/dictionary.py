@@ -14,31 +14,26 @@ BROADCAST_ROWS = 200_000
 
 
 def small_or_shuffled(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` to be broadcast if a count shows it small enough, else for a sort-merge join.
-    What is small enough stays cached, so the count isn't work done twice."""
-    kept = df.persist()
-    if kept.limit(limit + 1).count() <= limit:
-        return kept.hint("broadcast")
-    kept.unpersist()
-    return df.hint("merge")
+    """``df`` to be broadcast if a count shows it small enough, else for a sort-merge join."""
+    return df.hint("broadcast" if df.limit(limit + 1).count() <= limit else "merge")
 
 
 def anchors(words: DataFrame, key: str, gram: int = GRAM) -> DataFrame:
-    """``words`` with gram, off: for each key its piece of ``gram`` characters that fewest keys
-    share, and where it stands in the key; a shorter key is its own anchor."""
+    """_k, off, gram: for each distinct key its piece of ``gram`` characters that fewest keys share,
+    and where it stands in the key; a shorter key is its own anchor."""
     keys = words.select(F.col(key).alias("_k")).where(F.length(key) > 0).distinct()
     places = F.sequence(F.lit(0), F.greatest(F.lit(0), F.length("_k") - gram))
     pieces = keys.select("_k", F.explode(places).alias("off")).withColumn("gram", F.substring("_k", F.col("off") + 1, F.lit(gram)))
     common = pieces.groupBy("gram").agg(F.count("*").alias("_n"))
     best = pieces.join(common.hint("merge"), "gram").groupBy("_k").agg(F.min_by(F.struct("off", "gram"), F.struct("_n", "off")).alias("_a"))
-    return words.join(best.hint("merge"), words[key] == best["_k"]).select(*words.columns, "_a.off", "_a.gram")
+    return best.select("_k", "_a.off", "_a.gram")
 
 
-def occurrences(texts: DataFrame, words: DataFrame, text: str, key: str, gram: int = GRAM) -> DataFrame:
+def occurrences(texts: DataFrame, words: DataFrame, text: str, key: str, gram: int | None = None) -> DataFrame:
     """Each row of ``texts`` with each row of ``words`` whose key its text contains, once for every
     place (overlapping ones too), as 0-based at. Equal to a containment join, by equality on anchors."""
-    indexed = anchors(words, key, gram).persist()
-    sizes = [r[0] for r in indexed.select(F.length("gram")).distinct().collect()]  # at most ``gram`` numbers
+    keys = anchors(words, key, gram or GRAM).persist()
+    sizes = [r[0] for r in keys.select(F.length("gram")).distinct().collect()]  # at most ``gram`` numbers
     if not sizes:
         return texts.join(words.limit(0), F.lit(True)).withColumn("at", F.lit(0))
     t = F.col(text)
@@ -49,15 +44,17 @@ def occurrences(texts: DataFrame, words: DataFrame, text: str, key: str, gram: i
 
     placed = texts.withColumn("_g", F.explode(F.flatten(F.array(*(pieces(s) for s in sorted(sizes))))))
     placed = placed.select(*texts.columns, F.col("_g.p").alias("_p"), F.col("_g.gram").alias("gram"))
-    met = placed.join(small_or_shuffled(indexed), "gram").withColumn("at", F.col("_p") - F.col("off"))
-    hit = (F.col("at") >= 0) & (F.substring(t, F.col("at") + 1, F.length(key)) == F.col(key))
-    return met.where(hit).drop("gram", "_p", "off")
+    met = placed.join(small_or_shuffled(keys), "gram").withColumn("at", F.col("_p") - F.col("off"))
+    hit = met.where((F.col("at") >= 0) & (F.substring(t, F.col("at") + 1, F.length("_k")) == F.col("_k"))).drop("gram", "_p", "off")
+    return hit.join(small_or_shuffled(words), F.col("_k") == words[key]).select(*texts.columns, *words.columns, "at")
 
 
 def match_words(queries: DataFrame, words: DataFrame) -> DataFrame:
     """Normalised containment: queries (query_id, query) x words whose normalized_key they contain, with the
     raw span of every place. A query's non-null entity_types restricts the words' types."""
     normal = queries.withColumn("_q", X.normalize_query(F.col("query"))).select("*", F.col("_q.norm").alias("norm"), F.col("_q.pos").alias("pos")).drop("_q")
+    # made before the join: higher-order functions in a join's condition can't see both sides
+    words = words.withColumn("context_pattern", X.context_pattern(F.col("context_keywords")))
     hits = occurrences(normal, words, "norm", "normalized_key")
     if "entity_types" in queries.columns:
         hits = hits.where(F.col("entity_types").isNull() | (F.size("entity_types") == 0) | F.array_contains("entity_types", F.col("entity_type")))
@@ -72,7 +69,7 @@ def confirm(matches: DataFrame, strict_context: bool = False) -> DataFrame:
     modes = ["EXACT_WORD", "STRUCTURED_TOKEN"] + ["CONTEXT_REQUIRED"] * strict_context
     boundary = ~F.col("match_mode").isin(modes) | X.has_token_boundary(F.col("query"), F.col("span_start"), F.col("span_end"))
     needs = (F.col("match_mode") == "CONTEXT_REQUIRED") | F.coalesce("min_context_required", F.lit(False))
-    return matches.where(boundary & (~needs | X.context_confirms(F.col("query"), F.col("context_keywords"))))
+    return matches.where(boundary & (~needs | X.context_confirms(F.col("query"), F.col("context_pattern"))))
 
 
 def detect_literal(queries: DataFrame, names: DataFrame, name: str = "name") -> DataFrame:

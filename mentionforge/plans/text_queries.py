@@ -97,8 +97,8 @@ def boundary_guard(spark, sf_dir):
 
 @query("select doc_id, contains(lower(text), 'license') or contains(lower(text), 'rights reserved') as confirmed from documents")
 def context_gate(spark, sf_dir):
-    keywords = F.array(F.lit("License"), F.lit("RIGHTS reserved"))
-    return V.table(spark, sf_dir, "documents").select("doc_id", X.context_confirms(F.col("text"), keywords).alias("confirmed"))
+    pattern = X.context_pattern(F.array(F.lit("License"), F.lit("RIGHTS reserved")))
+    return V.table(spark, sf_dir, "documents").select("doc_id", X.context_confirms(F.col("text"), pattern).alias("confirmed"))
 
 
 _TOKENS = """
