@@ -79,15 +79,31 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 ORACLE_SQL: dict[str, str] = {
     "op8_top_k": """
         with v as (
-            select vec_id, list_transform(embedding, x -> cast(floor(1024 * cast(x as double)) as bigint)) as e
+            select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as e
             from embeddings
             where embedding is not null and vec_id is not null
-              and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+              and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
         ), s as (
-            select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.e, c.e), p -> p[1] * p[2])) as bigint) as score
+            select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) as bigint) as score
             from v q join v c on q.vec_id % 100 = 0 and q.vec_id <> c.vec_id and len(q.e) = len(c.e)
         )
         select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score
         from s qualify rank <= 10
     """,
+    "op10_substring_dedup": r"""
+        with w as (
+            select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents
+        ), wins as (
+            select doc_id, i, array_to_string(ws[i:i + 34], ' ') as s
+            from (select doc_id, ws, unnest(range(1, len(ws) - 33)) as i from w where len(ws) >= 35)
+        ), gone as (
+            select distinct doc_id, unnest(range(i, i + 35)) as k
+            from wins where s in (select s from wins group by s having count(*) > 1)
+        ), kept as (
+            select doc_id, string_agg(ws[k], ' ' order by k) as t
+            from (select doc_id, ws, unnest(range(1, len(ws) + 1)) as k from w) a anti join gone using (doc_id, k) group by doc_id
+        )
+        select doc_id, cast(len(ws) as bigint) as n_words, coalesce(c, 0) as n_removed, sha256(coalesce(t, '')) as kept_sha256
+        from w left join (select doc_id, count(*) as c from gone group by doc_id) using (doc_id) left join kept using (doc_id)
+    """,
 }
