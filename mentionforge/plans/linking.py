@@ -152,7 +152,7 @@ def catalog_mentions(queries: DataFrame, names: DataFrame) -> DataFrame:
     literal = D.detect_literal(queries, names.select("name", "entity_type").distinct())
     shaped = shaped_tokens(queries, trim=False).withColumn("entity_type", F.lit(None).cast("string"))
     both = literal.select("query_id", "span_start", "span_end", "text", "entity_type").unionByName(shaped)
-    # the reference keeps catalogue order among equal spans; here the type's name decides, untyped last
+    # among equal spans the type's name decides, untyped last
     return D.select_spans(both, "query_id", [F.col("text"), F.col("entity_type").isNull(), F.col("entity_type")], ["text", "entity_type"]).withColumnRenamed("entity_type", "predicted_type")
 
 

@@ -106,11 +106,9 @@ def word_lookup(spark, sf_dir):
 
 
 # every seventh supplier's details are left out, so that some words lead nowhere
-_GAP = "cast(substr(entity_id, 3) as bigint) % 7 = 3"
-
 
 def _with_gap(spark, sf_dir):
-    return V.entities(spark, sf_dir).where(f"not (entity_type = 'supplier' and try_cast(substr(entity_id, 3) as bigint) % 7 = 3)")
+    return V.entities(spark, sf_dir).where("not (entity_type = 'supplier' and try_cast(substr(entity_id, 3) as bigint) % 7 = 3)")
 
 
 @query(f"""with recursive {_P2} select query_id, cast(mention_idx as integer) as mention_idx, word_status,
@@ -346,10 +344,10 @@ def first_mention(spark, sf_dir):
     return first.select("query_id", "m.*")
 
 
-@query("""with r as (select o_custkey as query_id, case o_orderkey % 5 when 0 then 'L0_synthetic' when 1 then 'L1_sanitized' when 2 then 'L2_simulated_interface' when 3 then 'L3_real_readonly' else 'other' end as l from orders where o_orderkey % 11 <> 4)
-select query_id, case max(case l when 'L1_sanitized' then 1 when 'L2_simulated_interface' then 2 when 'L3_real_readonly' then 3 else 0 end) when 0 then 'L0_synthetic' when 1 then 'L1_sanitized' when 2 then 'L2_simulated_interface' else 'L3_real_readonly' end as data_layer from r group by 1""")
+@query("""with r as (select o_custkey as query_id, case o_orderkey % 5 when 0 then 'L0_SYNTHETIC' when 1 then 'L1_SANITIZED' when 2 then 'L2_SIMULATED_INTERFACE' when 3 then 'L3_REAL_READONLY' else 'other' end as l from orders where o_orderkey % 11 <> 4)
+select query_id, case max(case l when 'L1_SANITIZED' then 1 when 'L2_SIMULATED_INTERFACE' then 2 when 'L3_REAL_READONLY' then 3 else 0 end) when 0 then 'L0_SYNTHETIC' when 1 then 'L1_SANITIZED' when 2 then 'L2_SIMULATED_INTERFACE' else 'L3_REAL_READONLY' end as data_layer from r group by 1""")
 def highest_layer(spark, sf_dir):
-    layer = F.get(F.array(*map(F.lit, ["L0_synthetic", "L1_sanitized", "L2_simulated_interface", "L3_real_readonly", "other"])), (F.col("o_orderkey") % 5).cast("int"))
+    layer = F.get(F.array(*map(F.lit, ["L0_SYNTHETIC", "L1_SANITIZED", "L2_SIMULATED_INTERFACE", "L3_REAL_READONLY", "other"])), (F.col("o_orderkey") % 5).cast("int"))
     rows = V.table(spark, sf_dir, "orders").where("o_orderkey % 11 <> 4").select(F.col("o_custkey").alias("query_id"), layer.alias("data_layer"))
     return C.highest_layer(rows, "query_id")
 

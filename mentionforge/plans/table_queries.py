@@ -33,7 +33,7 @@ NUM = "try_cast(substr(entity_id, 3) as bigint)"
 
 
 # ---- sources ---------------------------------------------------------------
-@query(f"with {FX} select entity_id, entity_name, coalesce(alias1, '') as alias, descr as \"desc\", coalesce(target, '') as target, 'L0_synthetic' as data_layer from fx_entities")
+@query(f"with {FX} select entity_id, entity_name, coalesce(alias1, '') as alias, descr as \"desc\", coalesce(target, '') as target, 'L0_SYNTHETIC' as data_layer from fx_entities")
 def catalog_scan(spark, sf_dir):
     path = folder(spark, "catalog")
     V.entities(spark, sf_dir).drop("data_layer", "status").write.json(path)
@@ -140,7 +140,7 @@ def spoilt(spark, sf_dir):
     return V.entities(spark, sf_dir).withColumns({
         "relationships": F.when(cust & (n % 50 == 1), F.concat("relationships", extra)).when(cust & (n % 50 == 2), F.concat("relationships", twice)).otherwise(F.col("relationships")).cast(relation),
         "alias": F.when(cust & (n % 50 == 3), F.concat("alias", F.transform("alias", F.lower))).otherwise(F.col("alias")),
-        "data_layer": F.when(cust & (n % 50 == 4), "L3_real_readonly").otherwise(F.col("data_layer")),
+        "data_layer": F.when(cust & (n % 50 == 4), "L3_REAL_READONLY").otherwise(F.col("data_layer")),
         "entity_type": F.when(cust & (n % 50 == 5), "unknown_type").otherwise(F.col("entity_type")),
         "entity_name": F.when(cust & (n % 50 == 6), "  ").otherwise(F.col("entity_name")),
     })
@@ -174,8 +174,7 @@ def rule_dup_rel(spark, sf_dir):
     return Q.duplicate_relations(spoilt(spark, sf_dir))
 
 
-@query(f"""{_C}, k as (select case when n % 50 = 5 then 'unknown_type' else e.entity_type end as t from (select fx_entities.*, {NUM} as n from fx_entities) e where e.entity_type <> 'customer' or true),
-cnt as (select case when entity_type = 'customer' and {NUM} % 50 = 5 then 'unknown_type' else entity_type end as t, count(*) as c from fx_entities group by 1)
+@query(f"""{_C}, cnt as (select case when entity_type = 'customer' and {NUM} % 50 = 5 then 'unknown_type' else entity_type end as t, count(*) as c from fx_entities group by 1)
 {_v('entities', 't', chr(39) + 'count' + chr(39), 'metadata_count_mismatch')} from (select said.t, coalesce(cnt.c, 0) as c, w from (values ('region', 5), ('nation', 24), ('*', 1)) said(t, w) left join (select * from cnt union all select '*', sum(c) from cnt) cnt on cnt.t = said.t) where c <> w
 union all {_v('entities', 't', chr(39) + 'entity_type' + chr(39), 'type_out_of_scope')} from cnt where t = 'unknown_type'""")
 def rule_metadata(spark, sf_dir):
@@ -184,7 +183,7 @@ def rule_metadata(spark, sf_dir):
 
 @query(f"{_C} {_v('entities', 'entity_id', chr(39) + 'data_layer' + chr(39), 'layer_not_allowed')} from c where n % 50 = 4")
 def rule_layer(spark, sf_dir):
-    return Q.layer_gate(spoilt(spark, sf_dir), ["L0_synthetic", "L1_sanitized"])
+    return Q.layer_gate(spoilt(spark, sf_dir), ["L0_SYNTHETIC", "L1_SANITIZED"])
 
 
 @query(f"{_C} {_v('entities', 'entity_id', chr(39) + 'alias' + chr(39), 'duplicate_alias')} from c where n % 50 = 3")
@@ -232,7 +231,7 @@ def rule_gold(spark, sf_dir):
     m = m.withColumn("span_end", F.col("span_start") + F.length("text"))
     bad = F.array_append(F.col("expected_ids"), "R:1x")
     g = g.withColumns({"expected_ids": F.when((k == 3) & (F.col("n_expected") > 0), bad).otherwise(F.col("expected_ids")), "expected_status": F.when(k == 4, "linked").otherwise(F.col("expected_status"))})
-    return Q.gold_rules(g, m, V.entities(spark, sf_dir).select("entity_id", "relationships").unionByName(V.entities(spark, sf_dir).limit(0).select("entity_id", "relationships")))
+    return Q.gold_rules(g, m, V.entities(spark, sf_dir))
 
 
 @query(f"{_C} {_v('entities', 'entity_id', chr(39) + 'data_version' + chr(39), 'version_mismatch')} from c where n % 40 = 7")

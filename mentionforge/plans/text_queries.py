@@ -116,8 +116,7 @@ def shaped_tokens(spark, sf_dir):
     return tokens(V.queries(spark, sf_dir))
 
 
-@query("""with t as (select doc_id, string_split_regex(text, '[^A-Za-z0-9]+') as w from documents)
-select doc_id, len(regexp_extract_all(text, '[0-9]+')) as n_numbers, coalesce(regexp_extract(text, '[0-9]+'), '') as first_number from documents""")
+@query("""select doc_id, len(regexp_extract_all(text, '[0-9]+')) as n_numbers, coalesce(regexp_extract(text, '[0-9]+'), '') as first_number from documents""")
 def number_spans(spark, sf_dir):
     """All numbers of a text with their offsets; count and first text are compared, offsets must cut out the text again."""
     d = V.table(spark, sf_dir, "documents").withColumn("s", X.regex_spans(F.col("text"), r"[0-9]+"))

@@ -48,7 +48,7 @@ GOLD = T.StructType([
 LEGACY_NAMES = {"canonical_name": "entity_name", "aliases": "alias", "description": "desc", "relations": "relationships"}
 LEGACY_SOURCES = {"canonical_name": "entity_name", "confirmed_aliases": "confirmed_alias"}
 # Data layers from lowest to highest.
-LAYERS = ["L0_synthetic", "L1_sanitized", "L2_simulated_interface", "L3_real_readonly", "local_real_artifact"]
+LAYERS = ["L0_SYNTHETIC", "L1_SANITIZED", "L2_SIMULATED_INTERFACE", "L3_REAL_READONLY", "LOCAL_REAL_ARTIFACT"]
 WORD_SOURCES = ["entity_name", "confirmed_alias"]
 WORD_VERSION = "v3.entity_word_norm.1"
 # Thresholds of candidate scoring.

@@ -29,7 +29,7 @@ def read_catalog(spark: SparkSession, path: str, layout: str = "document", legac
     rows = _read(spark, path, ENTITY, "entities", layout, legacy_names)
     defaults = {
         "desc": F.lit(""), "alias": F.array().cast("array<string>"), "attributes": F.create_map().cast("map<string,string>"),
-        "relationships": F.array().cast(ENTITY["relationships"].dataType), "data_layer": F.lit("L0_synthetic"), "source": F.lit("catalog"), "status": F.lit("active"),
+        "relationships": F.array().cast(ENTITY["relationships"].dataType), "data_layer": F.lit("L0_SYNTHETIC"), "source": F.lit("catalog"), "status": F.lit("active"),
     }
     return rows.withColumns({c: F.coalesce(c, v) for c, v in defaults.items()})
 

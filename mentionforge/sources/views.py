@@ -97,12 +97,12 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The entity table in its full schema."""
     fx = view(spark, sf_dir, "fx_entities")
     strings = F.array().cast("array<string>")
-    relation = F.array(F.struct(F.col("target").alias("target_entity_id"), "relation_type", F.lit("star").alias("source"), F.lit("L0_synthetic").alias("data_layer")))
+    relation = F.array(F.struct(F.col("target").alias("target_entity_id"), "relation_type", F.lit("star").alias("source"), F.lit("L0_SYNTHETIC").alias("data_layer")))
     return fx.select(
         "entity_id", "entity_type", "entity_name", F.when(F.col("alias1").isNotNull(), F.array("alias1")).otherwise(strings).alias("alias"), F.col("descr").alias("desc"),
         F.create_map(F.lit("kind"), F.col("entity_type"), F.lit("owner_token"), F.concat(F.lit("t-"), "entity_id")).alias("attributes"),
         F.when(F.col("target").isNotNull(), relation).otherwise(F.array().cast(relation_type())).alias("relationships"),
-        F.lit("L0_synthetic").alias("data_layer"), F.lit("star").alias("source"), F.lit("active").alias("status"),
+        F.lit("L0_SYNTHETIC").alias("data_layer"), F.lit("star").alias("source"), F.lit("active").alias("status"),
     )
 
 

@@ -137,16 +137,16 @@ def test_candidates_by_brute_force(spark):
 
 def test_catalog_pipeline(spark):
     rows = [("A1", "kpi", "cpu usage", ["load"]), ("A2", "kpi", "disk usage", []), ("N1", "ne", "host alpha", []), ("N2", "ne", "host beta", ["alpha two"])]
-    e = spark.createDataFrame([(i, t, n, a, "d", {}, [], "L1_sanitized", "s", "active") for i, t, n, a in rows], ENTITY)
+    e = spark.createDataFrame([(i, t, n, a, "d", {}, [], "L1_SANITIZED", "s", "active") for i, t, n, a in rows], ENTITY)
     names = e.select("entity_id", "entity_type", F.posexplode(F.concat(F.array("entity_name"), "alias")).alias("name_idx", "name")).withColumn("is_canonical", F.col("name_idx") == 0)
     q = spark.createDataFrame([(1, "show cpu usage of host alpha"), (2, "Open the dashboard"), (3, "check Foo-1."), (4, "load"), (5, None)], "query_id long, query string")
     got = {x.query_id: x for x in L.link_catalog(q, e, names).collect()}
-    assert (got[1].status, got[1].linked_ids, got[1].data_layer) == ("linked", "A1,N1", "L1_sanitized")
+    assert (got[1].status, got[1].linked_ids, got[1].data_layer) == ("linked", "A1,N1", "L1_SANITIZED")
     assert got[2].status == "not_required" and got[3].status == "no_match" and got[4].linked_ids == "A1" and got[5].status == "invalid_input"
 
 
 def test_similar_by_definition(spark):
-    rows = [(f"E{k}", f"t{k % 2}", n, [], d, {}, [("E0", "r", "s", "l")] if k == 3 else [], "L0_synthetic", "s", "active") for k, (n, d) in enumerate([("alpha one", "big red"), ("alpha two", "big blue"), ("gamma", "red"), ("delta", "x"), ("alpha one", "y")])]
+    rows = [(f"E{k}", f"t{k % 2}", n, [], d, {}, [("E0", "r", "s", "l")] if k == 3 else [], "L0_SYNTHETIC", "s", "active") for k, (n, d) in enumerate([("alpha one", "big red"), ("alpha two", "big blue"), ("gamma", "red"), ("delta", "x"), ("alpha one", "y")])]
     e = spark.createDataFrame(rows, ENTITY)
     got = [(x.query_entity_id, x.entity_id, x.score) for x in similar(e, e.where("entity_id in ('E0', 'E3')"), 3, names=True).orderBy("query_entity_id", "rank").collect()]
 

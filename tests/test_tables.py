@@ -13,14 +13,14 @@ from mentionforge.sources import files
 
 
 def entity(i, name="n", alias=(), rel=(), kind="kpi"):
-    return (i, kind, name, list(alias), "d", {}, list(rel), "L0_synthetic", "s", "active")
+    return (i, kind, name, list(alias), "d", {}, list(rel), "L0_SYNTHETIC", "s", "active")
 
 
 def test_documents_are_read(spark, tmp_path):
     body = {"metadata": {}, "entities": [{"entity_id": "A", "entity_type": "kpi", "entity_name": "Größe"}, {"entity_id": "B", "alias": ["x"]}]}
     (tmp_path / "new.json").write_text("﻿" + json.dumps(body), encoding="utf-8")
     got = {x.entity_id: x for x in files.read_catalog(spark, str(tmp_path / "new.json")).collect()}
-    assert got["A"].entity_name == "Größe" and got["A"].alias == [] and got["A"].data_layer == "L0_synthetic" and got["B"].alias == ["x"]
+    assert got["A"].entity_name == "Größe" and got["A"].alias == [] and got["A"].data_layer == "L0_SYNTHETIC" and got["B"].alias == ["x"]
     old = {"entities": [{"entity_id": "A", "canonical_name": "c", "aliases": ["a"], "description": "d"}]}
     (tmp_path / "old.json").write_text(json.dumps(old))
     row = files.read_entity_store(spark, str(tmp_path / "old.json"), legacy_names=True).first()
