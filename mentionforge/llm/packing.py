@@ -63,42 +63,48 @@ def unpacked(data: bytes) -> np.ndarray:
 
 
 def tokenise(path: str) -> Callable:
+    """Per document its ids, and r1, r2: the least of its terms in two fixed random orders, so that documents with
+    many terms in common often sort together. A last row of each partition (n_documents set) holds, in place of
+    ids, in how many of its documents each term occurs: terms are made distinct once for both."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, documents, kind = np.zeros(1 << 16, np.int64), 0, pa.int64()
         for batch in batches:
+            kind = batch.schema.field("doc_id").type
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
-                ids = [encode(t.as_py(), path) for t in part.column("text")]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array(list(map(packed, ids)), pa.binary())], names=["doc_id", "doc_tokens", "ids"])
+                rows = []
+                for text in part.column("text").to_pylist():
+                    ids = encode(text, path)
+                    own = np.unique(ids)
+                    if own[-1] >= len(total):
+                        total = np.append(total, np.zeros(int(own[-1]) + 1 - len(total), np.int64))
+                    total[own] += 1
+                    rows.append((len(ids), packed(ids), int((own * ORDERS[0]).min()), int((own * ORDERS[1]).min())))
+                documents += len(rows)
+                n, data, r1, r2 = zip(*rows, strict=True)
+                yield token_rows(part.column("doc_id"), n, data, r1, r2, [None] * len(rows))
+        at = np.flatnonzero(total)
+        yield token_rows(pa.nulls(1, kind), [0], [at.astype("<u4").tobytes() + total[at].astype("<i8").tobytes()], [0], [0], [documents])
 
     return run
 
 
-def document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1 << 16, np.int64)
-    for batch in batches:
-        for x in batch.column("ids"):
-            own = np.unique(unpacked(x.as_py()))
-            if own[-1] >= len(total):
-                total = np.append(total, np.zeros(int(own[-1]) + 1 - len(total), np.int64))
-            total[own] += 1
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["term", "df"])
+#: Odd multipliers modulo 2 ** 32: each puts the ids into a random order.
+ORDERS = np.array([2654435761, 2246822519], np.uint32)
 
 
-def rarest(df: np.ndarray) -> Callable:
-    """Adds r1, r2, the document's two rarest terms that others share: documents with rare terms in common sort together."""
+def token_rows(doc_id, n, data, r1, r2, documents) -> pa.RecordBatch:
+    columns = [pa.array(n, pa.int64()), pa.array(data, pa.binary()), pa.array(r1, pa.int64()), pa.array(r2, pa.int64()), pa.array(documents, pa.int64())]
+    return pa.RecordBatch.from_arrays([doc_id, *columns], names=["doc_id", "doc_tokens", "ids", "r1", "r2", "n_documents"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = np.full((batch.num_rows, 2), -1, np.int64)
-            for i, x in enumerate(batch.column("ids")):
-                own = np.unique(unpacked(x.as_py()))
-                own = own[df[own] > 1]
-                two = own[np.lexsort((own, df[own]))[:2]]
-                keys[i, : len(two)] = two
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys[:, 0]), pa.array(keys[:, 1])], names=[*batch.schema.names, "r1", "r2"])
 
-    return run
+def document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, df) from the partitions' last rows."""
+    for batch in batches:
+        for x in batch.column("ids").to_pylist():
+            n = len(x) // 12
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, "<u4", n).astype(np.int64)), pa.array(np.frombuffer(x, "<i8", n, 4 * n))], names=["term", "df"])
 
 
 class Index:
@@ -218,8 +224,8 @@ def pack_partition(df: np.ndarray, n: int, mean: float, length: int) -> Callable
         shard, tokens, kind = [], 0, pa.int64()
         for batch in batches:
             kind = batch.schema.field("doc_id").type
-            for doc_id, x in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True):
-                ids = unpacked(x.as_py())
+            for doc_id, x in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+                ids = unpacked(x)
                 if shard and (len(shard) == SHARD_DOCS or tokens + len(ids) > SHARD_TOKENS):
                     packer.shard(shard)
                     yield packer.drain(kind)
@@ -245,15 +251,16 @@ def pack_documents(docs: DataFrame, path: str, length: int = LENGTH, partitions:
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    tokens = save(texts.mapInArrow(tokenise(path), f"doc_id {kind}, doc_tokens long, ids binary"), "tokens")
+    fields = f"doc_id {kind}, doc_tokens long, ids binary, r1 long, r2 long, n_documents long"
+    rows = save(texts.mapInArrow(tokenise(path), fields), "tokens")
+    tokens, last = rows.where("n_documents is null"), rows.where("n_documents is not null")
     # one number a vocabulary entry and two sums
-    counts = tokens.mapInArrow(document_frequencies, "term long, df long").groupBy("term").agg(F.sum("df")).collect()
-    n, total = tokens.agg(F.count("*"), F.sum("doc_tokens")).first()
+    counts = last.select("ids").mapInArrow(document_frequencies, "term long, df long").groupBy("term").agg(F.sum("df")).collect()
+    n, total = rows.agg(F.sum("n_documents"), F.sum("doc_tokens")).first()
     df = np.zeros(max((t for t, _ in counts), default=0) + 1, np.int64)
     for t, c in counts:
         df[t] = c
     parts = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = tokens.mapInArrow(rarest(df), f"doc_id {kind}, doc_tokens long, ids binary, r1 long, r2 long")
     order = ["r1", "r2", "doc_id", F.crc32("ids")]
-    placed = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "ids")
-    return placed.mapInArrow(pack_partition(df, n, (total or 0) / max(n, 1) or 1.0, length), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    placed = tokens.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "ids")
+    return placed.mapInArrow(pack_partition(df, n or 0, (total or 0) / max(n or 0, 1) or 1.0, length), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

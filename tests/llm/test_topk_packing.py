@@ -93,3 +93,12 @@ def test_windows_gather_neighbours():
                 s += np.log(1 + (40 - df[t] + 0.5) / (df[t] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(d) / 200))
         brute.append(s)
     assert np.allclose(index.scores(0), brute)
+
+
+def test_encoding_is_the_librarys():
+    library = Tokenizer.from_file(BYTE_BPE)
+    r = random.Random(9)
+    texts = ["".join(r.choice(["a", "bc", "É", "é", " ", " ", "\n", "\t", ".", "'s", "12", "\xa0", "<|endoftext|>", "ß", "日", "\x1c", "\x85", "x" * 70]) for _ in range(r.randint(0, 40))) for _ in range(3000)]
+    for t in [*texts, "", " a", "a ", "a\n", "a\nb c", "a b\n\nc", "it's a\nb's"]:
+        ids = packing.encode(t, BYTE_BPE)
+        assert list(ids) == list(packing.unpacked(packing.packed(ids))) == [*library.encode(t, add_special_tokens=False).ids, 0], t
