@@ -71,14 +71,15 @@ def minmax(q: Queries) -> Callable:
     return run
 
 
-def histogram(q: Queries, low: np.ndarray, width: np.ndarray) -> Callable:
-    """Counts of scores by bin above each query's ``low``; scores outside its range aren't counted."""
+def histogram(q: Queries, low: np.ndarray, high: np.ndarray, width: np.ndarray) -> Callable:
+    """Counts of scores by bin above each query's ``low``; scores outside its range aren't counted, nor are queries whose range is one score."""
+    open_ = (high > low)[:, None]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(q.ids) * BINS, np.int64)
         for _, scores, counts in q.scored(batches):
             bins = (scores - low[:, None]) // width[:, None]
-            ok = counts & (bins >= 0) & (bins < BINS)
+            ok = counts & open_ & (scores >= low[:, None]) & (scores <= high[:, None])
             total += np.bincount((np.arange(len(q.ids))[:, None] * BINS + bins)[ok], minlength=len(total))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at // BINS), pa.array(at % BINS), pa.array(total[at])], names=["q", "bin", "c"])
@@ -112,13 +113,13 @@ def select_block(rows: DataFrame, q: Queries, k: int) -> DataFrame:
         low[i], high[i], want[i] = a, b, min(k, c)
     while (high > low).any():
         width = np.maximum(1, -(-(high - low + 1) // BINS))
-        bins = rows.mapInArrow(histogram(q, low, width), "q long, bin long, c long").groupBy("q", "bin").agg(F.sum("c").alias("c"))
+        bins = rows.mapInArrow(histogram(q, low, high, width), "q long, bin long, c long").groupBy("q", "bin").agg(F.sum("c").alias("c"))
         above = F.sum("c").over(Window.partitionBy("q").orderBy(F.desc("bin")))
         need = F.array(*(F.lit(int(x)) for x in want))
         # the first bin from the top that reaches the wanted count holds the k-th score
         hit = bins.withColumns({"upto": above, "need": F.get(need, F.col("q").cast("int"))}).where("upto >= need and upto - c < need")
         for i, b, upto, c in hit.select("q", "bin", "upto", "c").collect():
-            low[i], high[i], want[i] = low[i] + b * width[i], low[i] + (b + 1) * width[i] - 1, want[i] - (upto - c)
+            low[i], high[i], want[i] = low[i] + b * width[i], min(high[i], low[i] + (b + 1) * width[i] - 1), want[i] - (upto - c)
     found = rows.mapInArrow(best(q, low, want), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

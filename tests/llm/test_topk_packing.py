@@ -34,6 +34,21 @@ def test_top_k_by_brute_force(spark, monkeypatch, block, bins):
     assert top_k(emb.limit(0), emb.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("k", [2, 10, 40])
+def test_top_k_of_dense_scores(spark, k):
+    """Scores whose range is far over BINS, with the best within a BINS of each other; queries that settle at different passes."""
+    r = np.random.default_rng(1)
+    rows = [(i, [float(x), 1.0]) for i, x in enumerate([5000, 4999, 0, *r.integers(0, 9_000_000, 200), *r.integers(8_999_000, 9_000_000, 60)])]
+    asked = [(1000, [1.0, 0.0]), (1001, [-1.0, 0.0]), (1002, [0.0, 1.0]), (1003, [7.0, 3.0])]
+    schema = "vec_id long, embedding array<double>"
+    got = defaultdict(list)
+    for part in (rows[:3], rows):
+        for x in top_k(spark.createDataFrame(part, schema).repartition(3), spark.createDataFrame(asked, schema), k, 1).orderBy("query_id", "rank").collect():
+            got[len(part), x.query_id].append((-x.score, x.vec_id))
+        for q, v in asked:
+            assert got[len(part), q] == sorted((-int(v[0] * w[0] + v[1] * w[1]), i) for i, w in part)[:k]
+
+
 def prose(r, n):
     return " ".join("".join(r.choice("abcdefgé") for _ in range(r.randint(1, 8))) for _ in range(n))
 
