@@ -20,7 +20,7 @@ from .bpe import byte_symbols
 from .storage import save
 
 LENGTH, SEPARATOR = 1024, 0
-#: Documents and tokens of an index shard, at most (one longer document comes alone).
+#: Documents and tokens of an index shard, at most (one longer document comes alone); a seed asks its own shard and the next.
 SHARD_DOCS, SHARD_TOKENS = 512, 2_000_000
 # The constants of BM25.
 K1, B = 1.2, 0.75
@@ -63,9 +63,8 @@ def unpacked(data: bytes) -> np.ndarray:
 
 
 def tokenise(path: str) -> Callable:
-    """Per document its ids, and r1, r2: the least of its terms in two fixed random orders, so that documents with
-    many terms in common often sort together. A last row of each partition (n_documents set) holds, in place of
-    ids, in how many of its documents each term occurs: terms are made distinct once for both."""
+    """Per document its ids. A last row of each partition (n_documents set) holds, in place of ids, in how many of
+    its documents each term occurs; the separator is no term."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, documents, kind = np.zeros(1 << 16, np.int64), 0, pa.int64()
@@ -77,26 +76,47 @@ def tokenise(path: str) -> Callable:
                 for text in part.column("text").to_pylist():
                     ids = encode(text, path)
                     own = np.unique(ids)
-                    if own[-1] >= len(total):
+                    own = own[own != SEPARATOR]
+                    if len(own) and own[-1] >= len(total):
                         total = np.append(total, np.zeros(int(own[-1]) + 1 - len(total), np.int64))
                     total[own] += 1
-                    rows.append((len(ids), packed(ids), int((own * ORDERS[0]).min()), int((own * ORDERS[1]).min())))
+                    rows.append((len(ids), packed(ids)))
                 documents += len(rows)
-                n, data, r1, r2 = zip(*rows, strict=True)
-                yield token_rows(part.column("doc_id"), n, data, r1, r2, [None] * len(rows))
+                n, data = zip(*rows, strict=True)
+                yield token_rows(part.column("doc_id"), n, data, [None] * len(rows))
         at = np.flatnonzero(total)
-        yield token_rows(pa.nulls(1, kind), [0], [at.astype("<u4").tobytes() + total[at].astype("<i8").tobytes()], [0], [0], [documents])
+        yield token_rows(pa.nulls(1, kind), [0], [at.astype("<u4").tobytes() + total[at].astype("<i8").tobytes()], [documents])
 
     return run
 
 
-#: Odd multipliers modulo 2 ** 32: each puts the ids into a random order.
-ORDERS = np.array([2654435761, 2246822519], np.uint32)
+def token_rows(doc_id, n, data, documents) -> pa.RecordBatch:
+    columns = [pa.array(n, pa.int64()), pa.array(data, pa.binary()), pa.array(documents, pa.int64())]
+    return pa.RecordBatch.from_arrays([doc_id, *columns], names=["doc_id", "doc_tokens", "ids", "n_documents"])
 
 
-def token_rows(doc_id, n, data, r1, r2, documents) -> pa.RecordBatch:
-    columns = [pa.array(n, pa.int64()), pa.array(data, pa.binary()), pa.array(r1, pa.int64()), pa.array(r2, pa.int64()), pa.array(documents, pa.int64())]
-    return pa.RecordBatch.from_arrays([doc_id, *columns], names=["doc_id", "doc_tokens", "ids", "r1", "r2", "n_documents"])
+def rarity(df: np.ndarray) -> np.ndarray:
+    """Each term's place among the terms that documents share, rarest first; the others come last of all."""
+    place = np.empty(len(df), np.int64)
+    place[np.lexsort((np.arange(len(df)), df))] = np.arange(len(df))
+    return np.where(df > 1, place, len(df))
+
+
+def route(df: np.ndarray) -> Callable:
+    """Adds r1, r2: a document's two rarest terms that others share, so that documents with rare terms in common sort together."""
+    place = rarity(df)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = []
+            for x in batch.column("ids"):
+                own = place[unpacked(x.as_py())]
+                r1 = own.min()
+                keys.append((r1, own[own > r1].min(initial=len(place))))
+            r1, r2 = zip(*keys, strict=True) if keys else ((), ())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(r1, pa.int64()), pa.array(r2, pa.int64())], names=["doc_id", "ids", "r1", "r2"])
+
+    return run
 
 
 def document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,11 +127,18 @@ def document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
             yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, "<u4", n).astype(np.int64)), pa.array(np.frombuffer(x, "<i8", n, 4 * n))], names=["term", "df"])
 
 
+def term_counts(document: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A document's distinct terms and how often each occurs."""
+    terms, counts = np.unique(document, return_counts=True)
+    term = terms != SEPARATOR
+    return terms[term], counts[term]
+
+
 class Index:
-    """BM25 over one shard: postings of all its documents, corpus-wide document frequencies."""
+    """BM25 over some shards: postings of all their documents, corpus-wide document frequencies."""
 
-    def __init__(self, documents: list[np.ndarray], df: np.ndarray, n: int, mean: float):
-        terms, counts = zip(*(np.unique(d, return_counts=True) for d in documents), strict=True)
+    def __init__(self, documents: list[np.ndarray], df: np.ndarray, n: int, mean: float, known: list[tuple] | None = None):
+        terms, counts = zip(*(known or map(term_counts, documents)), strict=True)
         self.terms, sizes = terms, np.array([len(t) for t in terms])
         term, tf = np.concatenate(terms), np.concatenate(counts)
         doc = np.repeat(np.arange(len(documents)), sizes)
@@ -133,12 +160,12 @@ class Index:
 
 
 class Packer:
-    """Fills windows from one partition, shard by shard; what a shard leaves over joins the next one."""
+    """Fills windows from one partition, shard by shard: a shard's documents seed windows once the next shard is there, and find neighbours in both."""
 
     def __init__(self, df: np.ndarray, n: int, mean: float, length: int, first_sequence: int):
         self.df, self.n, self.mean, self.length, self.sequence = df, n, mean, length, first_sequence
         self.rows: list[tuple] = []
-        self.left: list[tuple] = []  # (doc_id, ids, start of what is left)
+        self.left: list[tuple] = []  # (doc_id, ids, start of what is left, the document's terms and counts)
 
     def put(self, pieces: list[tuple]) -> None:
         """One sequence of (doc_id, ids, start, end)."""
@@ -150,21 +177,25 @@ class Packer:
 
     def shard(self, documents: list[tuple]) -> None:
         """documents: (doc_id, ids). Whole windows of a long document stand alone; its tail seeds or fills a shared one."""
-        tails = self.left
+        seeds, tails = len(self.left), self.left
         for doc_id, ids in documents:
             whole = len(ids) // self.length * self.length
             for a in range(0, whole, self.length):
                 self.put([(doc_id, ids, a, a + self.length)])
             if whole < len(ids):
-                tails.append((doc_id, ids, whole))
-        self.left = []
-        if not tails:
+                tails.append((doc_id, ids, whole, term_counts(ids)))
+        self.fill(tails, seeds)
+
+    def fill(self, tails: list[tuple], seeds: int) -> None:
+        """Windows seeded by the first ``seeds`` of ``tails``, with neighbours among them all."""
+        self.left = tails
+        if not seeds:
             return
-        index = Index([ids for _, ids, _ in tails], self.df, self.n, self.mean)
-        start = np.array([a for _, _, a in tails])
-        remain = np.array([len(ids) for _, ids, _ in tails]) - start
+        index = Index([t[1] for t in tails], self.df, self.n, self.mean, [t[3] for t in tails])
+        start = np.array([t[2] for t in tails])
+        remain = np.array([len(t[1]) for t in tails]) - start
         total = int(remain.sum())
-        for seed in np.argsort(-remain, kind="stable"):
+        for seed in np.argsort(-remain[:seeds], kind="stable"):
             if not remain[seed]:
                 continue
             if total < self.length:
@@ -192,12 +223,13 @@ class Packer:
                     d = next(d for d in near if remain[d] > 0)
                     take(d, space)
             self.put(window)
-        self.left = [(doc_id, ids, int(a)) for (doc_id, ids, _), a, r in zip(tails, start, remain, strict=True) if r]
+        self.left = [(t[0], t[1], int(a), t[3]) for t, a, r in zip(tails, start, remain, strict=True) if r]
 
     def finish(self) -> None:
-        """The rest goes into sequences whose lengths are powers of two, which need no padding."""
-        rest = sum(len(ids) - a for _, ids, a in self.left)
-        todo = self.left[::-1]
+        """The last shard's windows; the rest goes into sequences whose lengths are powers of two, which need no padding."""
+        self.fill(self.left, len(self.left))
+        todo = [t[:3] for t in self.left[::-1]]
+        rest = sum(len(ids) - a for _, ids, a in todo)
         while rest:
             space = 1 << (rest.bit_length() - 1)
             rest -= space
@@ -251,7 +283,7 @@ def pack_documents(docs: DataFrame, path: str, length: int = LENGTH, partitions:
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    fields = f"doc_id {kind}, doc_tokens long, ids binary, r1 long, r2 long, n_documents long"
+    fields = f"doc_id {kind}, doc_tokens long, ids binary, n_documents long"
     rows = save(texts.mapInArrow(tokenise(path), fields), "tokens")
     tokens, last = rows.where("n_documents is null"), rows.where("n_documents is not null")
     # one number a vocabulary entry and two sums
@@ -262,5 +294,6 @@ def pack_documents(docs: DataFrame, path: str, length: int = LENGTH, partitions:
         df[t] = c
     parts = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["r1", "r2", "doc_id", F.crc32("ids")]
-    placed = tokens.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "ids")
+    routed = tokens.select("doc_id", "ids").mapInArrow(route(df), f"doc_id {kind}, ids binary, r1 long, r2 long")
+    placed = routed.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "ids")
     return placed.mapInArrow(pack_partition(df, n or 0, (total or 0) / max(n or 0, 1) or 1.0, length), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

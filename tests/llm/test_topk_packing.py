@@ -110,6 +110,20 @@ def test_windows_gather_neighbours():
     assert np.allclose(index.scores(0), brute)
 
 
+def test_related_documents_with_distant_ids_share_a_window(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_DOCS", 16)
+    r = random.Random(5)
+    common = [prose(r, 1) for _ in range(150)]
+    topics = [[prose(r, 1) + prose(r, 1) + "q" + str(k) for _ in range(12)] for k in range(60)]
+    rows = [(i, " ".join(r.choice(common) if r.random() < 0.6 else r.choice(topics[i % 60]) for _ in range(50))) for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    windows = defaultdict(set)
+    for p in pack_documents(docs, BYTE_BPE, partitions=2).collect():
+        windows[p.doc_id].add(p.sequence_id)
+    met = [bool(windows[a] & windows[a + 60 * k]) for a in range(60) for k in (1, 2, 3)]
+    assert sum(met) > 0.5 * len(met), sum(met) / len(met)
+
+
 def test_encoding_is_the_librarys():
     library = Tokenizer.from_file(BYTE_BPE)
     r = random.Random(9)
