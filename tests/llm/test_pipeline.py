@@ -1,6 +1,34 @@
 import random
 
+import numpy as np
+import pytest
+
 import corpus_pipeline
+from mentionforge.llm import arrays as A
+from mentionforge.llm import near_dedup
+
+
+def test_near_dedup_takes_pairs_of_four_fifths(spark):
+    """Pairs that share 100 - d of 100 + d shingles: 0.835, 0.818 and 0.802 go, 0.786 stays."""
+    rows = []
+    for k, d in enumerate([9, 10, 11, 12] * 10):
+        base = [f"w{k}x{j}" for j in range(104)]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base[:-d] + [f"v{k}x{j}" for j in range(d)]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = {x.doc_id for x in corpus_pipeline.near_dedup(spark, docs, "").collect()}
+    assert kept == {i for i, _ in rows if i % 2 == 0 or i // 2 % 4 == 3}
+
+
+@pytest.mark.parametrize("n", [9, 45, 450])
+def test_bands_meet_at_four_fifths(n):
+    """Sets of n elements that share 8 of 9: Jaccard 0.8."""
+    r = np.random.default_rng(n)
+    missed = 0
+    for _ in range(200):
+        h = r.integers(0, 1 << 63, n + n // 9, dtype=np.uint64) * A.U(2)
+        reg = near_dedup.registers([np.sort(h[:n]), np.sort(h[n // 9 :])])[:, : near_dedup.BANDS * near_dedup.BAND_ROWS]
+        missed += not (reg[0] == reg[1]).reshape(near_dedup.BANDS, -1).all(axis=1).any()
+    assert missed <= 2
 
 
 def test_every_stage_takes_effect(spark, tmp_path):
