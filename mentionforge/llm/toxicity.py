@@ -6,6 +6,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -33,17 +34,14 @@ LABELLED = 8_000
 SUPPORT, FEATURES = 4, 4_000
 PREFIXES = (4, 5, 6, 7, 8)
 
-#: What may be a disguised word: letters with signs or digits between them, or at least four single
-#: letters kept apart; and words with a letter three times in a row.
+#: What may be a disguised word: runs that mix letters with signs, also at their ends; words with a doubled
+#: letter; and at least three chunks of one or two letters kept apart.
 _SIGNS = re.escape("".join(LEET)) + r".\-_*~"
-DISGUISED = re.compile(
-    rf"(?<![^\W\d_])(?:[{_SIGNS}]*[^\W\d_]+(?:[{_SIGNS}]+[^\W\d_]+)+"
-    rf"|[{re.escape('@$!1345706')}][^\W\d_]{{2,}})(?![^\W\d_])"
-)
-APART_LETTERS = re.compile(r"(?<![^\W\d_])[^\W\d_](?:[ .\-_*~,/]{1,2}[^\W\d_]){3,}(?![^\W\d_])")
-TRIPLE = re.compile(r"([^\W\d_])\1\1")
-#: A longer candidate is left as it stands: disguises are words.
-LONGEST = 48
+DISGUISED = re.compile(rf"(?:[^\W\d_]|[{_SIGNS}])+")
+APART_LETTERS = re.compile(r"(?<![^\W\d_])[^\W\d_]{1,2}(?:[ .\-_*~,/]{1,2}[^\W\d_]{1,2}){2,}(?![^\W\d_])")
+DOUBLED = re.compile(r"([^\W\d_])\1")
+#: After so many characters, what all readings share is settled.
+SETTLE = 64
 WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -95,10 +93,12 @@ def learn_characters(docs: DataFrame) -> CharModel:
 
 # log chances of the channel: how a letter is written
 PLAIN, AS_SIGN, REPEATED, APART, STAYS = math.log(0.9), math.log(0.05), math.log(0.3), math.log(0.3), math.log(0.5)
+#: A single separator between chunks kept apart is a word end.
+ENDS = math.log(0.1)
 
 
-#: Single letters kept apart: their separators aren't word ends.
-SPELT = re.compile(r"[^\W\d_](?:[ .\-_*~,/][^\W\d_])+")
+#: Chunks kept apart: their single separators are seldom word ends.
+SPELT = re.compile(r"[^\W\d_]{1,2}(?:[ .\-_*~,/]{1,2}[^\W\d_]{1,2})+")
 
 
 def options(c: str, last: str, spelt: bool) -> list[tuple[str, float]]:
@@ -112,20 +112,24 @@ def options(c: str, last: str, spelt: bool) -> list[tuple[str, float]]:
     if last and last in LEET.get(c, ""):
         out.append(("", REPEATED))
     if c in SEPARATORS:
-        out += [("", APART)] if spelt else [("", APART), (" ", STAYS)]
+        out += [("", APART), (" ", ENDS if spelt else STAYS)]
     if not out or c in LEET:
         out.append((c, STAYS))
     return out
 
 
 def restore(span: str, model: CharModel) -> str:
-    """Viterbi over the lattice of what each character may stand for: the likeliest original under the character model."""
+    """Viterbi over the lattice of what each character may stand for: the likeliest original under the character
+    model. What all readings share is put aside as it settles, so a long span costs no more a character."""
+    settled: list[str] = []
     log_p, spelt = model.log_p, bool(SPELT.fullmatch(span))
     beams: dict[tuple[int, int, str], tuple[float, str]] = {(EDGE, EDGE, ""): (0.0, "")}
-    for c in span:
+    for at, c in enumerate(span):
+        # the second of two separators is as good a word end as not
+        single = spelt and not (at and c in SEPARATORS and span[at - 1] in SEPARATORS)
         new: dict[tuple[int, int, str], tuple[float, str]] = {}
         for (a, b, last), (score, text) in beams.items():
-            for letter, chance in options(c, last, spelt):
+            for letter, chance in options(c, last, single):
                 if not letter:
                     key, value, out = (a, b, last), score + chance, text
                 else:
@@ -134,13 +138,22 @@ def restore(span: str, model: CharModel) -> str:
                 if key not in new or new[key][0] < value:
                     new[key] = (value, out)
         beams = new
-    return max((score + float(log_p[a, b, EDGE]), text) for (a, b, _), (score, text) in beams.items())[1]
+        if at % SETTLE == SETTLE - 1:
+            done = commonprefix([text for _, text in beams.values()])
+            settled.append(done)
+            beams = {k: (score, text[len(done) :]) for k, (score, text) in beams.items()}
+    return "".join(settled) + max((score + float(log_p[a, b, EDGE]), text) for (a, b, _), (score, text) in beams.items())[1]
 
 
 def disguised(token: str) -> list[str]:
     """The parts of a lower-case token that may be disguises."""
-    found = [m[0] for m in DISGUISED.finditer(token)]
-    return found + [w for w in WORDS.findall(token) if TRIPLE.search(w)] if TRIPLE.search(token) else found
+    found = []
+    if not token.isalpha():
+        for m in DISGUISED.finditer(token):
+            span = m[0].strip(".-_*~")
+            if not span.isalpha() and WORDS.search(span):
+                found.append(span)
+    return found + [w for w in WORDS.findall(token) if DOUBLED.search(w)] if DOUBLED.search(token) else found
 
 
 class Restorer(dict):
@@ -148,12 +161,12 @@ class Restorer(dict):
 
     def __init__(self, model: CharModel, most: int = 300_000):
         self.model, self.most = model, most
+        self.spans: dict[str, list[str]] = {}
 
     def __missing__(self, token: str) -> tuple[str, ...]:
         found = WORDS.findall(token)
         for span in disguised(token):
-            if len(span) <= LONGEST:
-                found += WORDS.findall(restore(span, self.model))
+            found += WORDS.findall(restore(span, self.model))
         out = tuple(dict.fromkeys(found))
         if len(self) >= self.most:
             self.clear()
@@ -161,8 +174,18 @@ class Restorer(dict):
         return out
 
     def apart(self, text: str) -> set[str]:
-        """Words restored from letters kept apart in a lower-case text."""
-        return {w for m in APART_LETTERS.finditer(text) if len(m[0]) <= LONGEST for w in WORDS.findall(restore(m[0], self.model))}
+        """Words restored from letters kept apart in a lower-case text; short spans are remembered, a bounded number."""
+        found: set[str] = set()
+        for m in APART_LETTERS.finditer(text):
+            words = self.spans.get(m[0])
+            if words is None:
+                words = WORDS.findall(restore(m[0], self.model))
+                if len(m[0]) <= 32:
+                    if len(self.spans) >= 100_000:
+                        self.spans.clear()
+                    self.spans[m[0]] = words
+            found.update(words)
+        return found
 
     def words(self, text: str) -> set[str]:
         """The distinct words of a text as written, and of its disguised parts as restored."""

@@ -85,6 +85,37 @@ def test_disguises_are_undone(model, seen, word):
     assert restore(seen, model) == word
 
 
+@pytest.fixture(scope="module")
+def prose_model():
+    counts = np.zeros(toxicity.CLASSES**3, np.int64)
+    text = " ".join(["you are a stupid idiot and a loser", "an idiot and an asshole", "you bitch you ass", "the other water there about a place"] * 50)
+    k = [toxicity.CLASS_OF.get(c, toxicity.EDGE) for c in f"\n\n{text}\n\n"]
+    for a, b, c in zip(k, k[1:], k[2:], strict=False):
+        counts[(a * toxicity.CLASSES + b) * toxicity.CLASSES + c] += 1
+    return CharModel(counts)
+
+
+@pytest.mark.parametrize(
+    "seen,words",
+    [
+        ("y o u a r e a s t u p i d i d i o t a n d a l o s e r", "stupid idiot loser"),
+        ("y o u  a r e  a  s t u p i d  i d i o t  a n d  a  l o s e r", "stupid idiot loser"),
+        (" ".join("youareastupididiotandaloser" * 20), "stupid idiot loser"),
+        ("a n i d i o t", "idiot"),
+        ("st up id", "stupid"),
+        ("asshol3", "asshole"),
+        ("a$$", "ass"),
+        ("idi07", "idiot"),
+        ("8itch", "bitch"),
+        ("iddiot", "idiot"),
+        ("stuupiid", "stupid"),
+        ("1d10t" + "_stup1d" * 12, "idiot stupid"),
+    ],
+)
+def test_every_form_of_disguise_is_decoded(prose_model, seen, words):
+    assert set(words.split()) <= toxicity.Restorer(prose_model).words(f"the {seen} there")
+
+
 def test_viterbi_is_the_best_path(model):
     def paths(span, a, b, last):
         if not span:
