@@ -7,12 +7,12 @@ them: each is tested against a brute-force version or held-out rows.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from mentionforge.llm.language import keep_known_languages
 from mentionforge.llm.near_dedup import keep_one_of_each
 from mentionforge.llm.packing import pack_documents
-from mentionforge.llm.queries import TOKENIZERS
 from mentionforge.llm.storage import save
 from mentionforge.llm.suffix_dedup import kept_documents
 from mentionforge.llm.toxicity import keep_clean
@@ -25,7 +25,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can't be told go."""
-    return keep_known_languages(docs, f"{TOKENIZERS}/piece_bpe_32k.model")
+    return keep_known_languages(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,13 +34,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte strings that still repeat are cut out of the texts."""
+    """Strings of 240 bytes or more that still repeat are cut out of the texts."""
     return kept_documents(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of full token sequences."""
-    return pack_documents(docs, f"{TOKENIZERS}/byte_bpe_50k.json")
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from .storage import as_row, texts_of
+
 #: Starts each word, as the vocabulary has it.
 MARK = "▁"
 #: Letters of a stretch; a longer word is scored as several, so memory stays bounded.
@@ -179,7 +181,7 @@ def count_pieces(path: str) -> Callable:
 
 
 def classify(path: str, langs: list[str], p: np.ndarray, names: list[str]) -> Callable:
-    """Adds _lang and _score: the language under which all segmentations together are likeliest, and its share."""
+    """Adds two columns: the language under which all segmentations together are likeliest, and its share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = pieces(path)
@@ -187,7 +189,7 @@ def classify(path: str, langs: list[str], p: np.ndarray, names: list[str]) -> Ca
         for batch in batches:
             for lo in range(0, batch.num_rows, 2000):
                 part = batch.slice(lo, 2000)
-                words, codes, counts = numbered([t or "" for t in part.column("text").to_pylist()])
+                words, codes, counts = numbered([t or "" for t in texts_of(part).to_pylist()])
                 score = np.zeros((len(words), len(langs)))
                 if words and langs:
                     for rows, matrix in by_length(words):
@@ -204,7 +206,7 @@ def classify(path: str, langs: list[str], p: np.ndarray, names: list[str]) -> Ca
                 pred = [langs[best[k]] if known[k] else UNDETERMINED for k in range(part.num_rows)]
                 value = [float(share[k, best[k]]) if known[k] else 0.0 for k in range(part.num_rows)]
                 kept = [part.column(n) for n in names]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(pred, pa.string()), pa.array(value, pa.float64())], names=[*names, "_lang", "_score"])
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(pred, pa.string()), pa.array(value, pa.float64())], names=[*names, "lang_pred", "score"])
 
     return run
 
@@ -242,12 +244,17 @@ def identify_languages(docs: DataFrame, path: str) -> DataFrame:
     langs, p = learn(rows.where("not held_out"), path)
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "held_out"]
-    return rows.select("doc_id", "held_out", "text").mapInArrow(classify(path, langs, p, names), f"doc_id {kind}, held_out boolean, _lang string, _score double").select("doc_id", "held_out", F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))
+    return rows.select("doc_id", "held_out", "text").mapInArrow(classify(path, langs, p, names), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
 def keep_known_languages(docs: DataFrame, path: str, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose language is told with at least ``least``; all columns stay."""
+    """The rows of ``docs`` whose language is told with at least ``least``; all columns, whatever their names, stay.
+
+    Null texts and texts without a letter go; repeated rows stay or go together; an
+    empty table, or one that teaches no language, gives an empty one.
+    """
     langs, p = learn(docs.where(~fold(F.col("doc_id"), 3, 1)), path)
-    schema = StructType([*docs.schema.fields, StructField("_lang", StringType()), StructField("_score", DoubleType())])
-    told = docs.mapInArrow(classify(path, langs, p, docs.columns), schema)
-    return told.where((F.col("_lang") != UNDETERMINED) & (F.col("_score") >= least)).select(*docs.columns)
+    rows = as_row(docs)
+    schema = StructType([*rows.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    told = rows.mapInArrow(classify(path, langs, p, ["row"]), schema)
+    return told.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select("row.*")

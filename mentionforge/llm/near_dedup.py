@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from . import arrays as A
 from .components import components
-from .storage import save
+from .storage import as_row, save
 
 WORDS, PERCENT = 5, 85
 REGISTERS, MANTISSA_BITS = 128, 10
@@ -258,6 +258,15 @@ def group_near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PE
 
 
 def keep_one_of_each(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` that ``group_near_duplicates`` keeps, one for each repeated doc_id and text."""
-    kept = group_near_duplicates(docs, width, percent).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["doc_id", "text"])
+    """The rows of ``docs`` that ``group_near_duplicates`` keeps, one for each repeated doc_id and text.
+
+    Rows without words (null, empty) are linked with nothing and stay, as do rows
+    without an id. Of a group the smallest doc_id stays; if that id stands at
+    several rows, each of its texts does. An empty table gives an empty one. Other
+    columns, whatever their names, pass through.
+    """
+    kept = group_near_duplicates(docs, width, percent).where("kept").select("doc_id").distinct()
+    rows = as_row(docs)
+    rows = rows.join(kept.hint("merge"), F.col("row.doc_id").eqNullSafe(kept["doc_id"]), "left_semi")
+    rows = rows.select("row", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text")).dropDuplicates(["doc_id", "text"])
+    return rows.select("row.*")

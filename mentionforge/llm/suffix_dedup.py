@@ -14,6 +14,8 @@ from . import arrays as A
 from .repeats import Unit, long_type, repeated_spans, with_spans
 
 WINDOW, GRAM = 400, 64
+#: The pipeline's window: below the shortest passage of over 50 words (271 bytes at scale 0.1).
+STAGE_WINDOW, STAGE_GRAM = WINDOW, GRAM
 
 
 def names_of(a: np.ndarray, b: np.ndarray, c: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
@@ -148,21 +150,29 @@ def dedup_suffixes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     return with_spans(docs, spans).mapInArrow(digests(window), f"doc_id {long_type(docs)}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def kept_documents(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """``docs`` with the repeated bytes cut out of text and n_chars set anew.
+def kept_documents(docs: DataFrame, window: int = STAGE_WINDOW, gram: int = STAGE_GRAM) -> DataFrame:
+    """``docs`` with the repeated bytes cut out of text and n_chars (if it is a column) set anew.
 
-    The first place of a repeated string goes as well, as in ``dedup_suffixes``.
-    Bytes that a cut leaves as half a character are dropped. Null texts stay null.
+    ``window`` is shorter than that of ``dedup_suffixes``: passages of little more
+    than 50 words have under 300 bytes and never fill a window of 400. The first
+    place of a repeated string goes as well, as in ``dedup_suffixes``. Bytes that a
+    cut leaves as half a character are dropped. Null texts stay null and their
+    n_chars as it was; empty texts stay empty; repeated rows are places of their own
+    and are cut alike; an empty table gives an empty one. Other columns, whatever
+    their names, pass through.
     """
-    spans = repeated_byte_spans(docs, window, gram).withColumnRenamed("doc_id", "span_id").withColumnRenamed("th", "span_th")
+    spans = repeated_byte_spans(docs, window, gram)
 
     @F.pandas_udf("string")
     def cut(text, spans):
         return text.combine(spans, lambda t, s: t if t is None or s is None or not len(s) else remove(t.encode(), list(s), window)[0].decode("utf-8", "ignore"))
 
-    own = docs.withColumn("_th", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    joined = own.join(spans.hint("merge"), own["doc_id"].eqNullSafe(F.col("span_id")) & (F.col("_th") == F.col("span_th")), "left")
-    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(cut("text", "spans"))
-    changed = {"text": text} | ({"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    out = joined.withColumn("text", changed.pop("text"))
-    return out.withColumns(changed).select(*docs.columns) if changed else out.select(*docs.columns)
+    # the whole row travels in one column, so that no name of it can clash
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
+    joined = rows.join(spans.hint("merge"), F.col("row.doc_id").eqNullSafe(spans["doc_id"]) & (rows["th"] == spans["th"]), "left")
+    text = F.when(spans["spans"].isNull(), F.col("row.text")).otherwise(cut("row.text", spans["spans"]))
+    cut_rows = joined.select("row", text.alias("text"))
+    fields = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        fields["n_chars"] = F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("row.n_chars"))
+    return cut_rows.select(*(fields.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))

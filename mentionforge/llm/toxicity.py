@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField, StructType
 
 from .language import fold
-from .storage import save
+from .storage import as_row, save, texts_of
 
 # The letters that a sign may stand for in disguised words.
 LEET = {
@@ -270,21 +270,21 @@ class TokenFeatures(dict):
 
 
 def score_texts(model: CharModel, classifier: Classifier, names: list[str]) -> Callable:
-    """Adds _toxicity to the columns ``names``."""
+    """Adds the score to the columns ``names``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(model, 1)
         known = TokenFeatures(restorer, classifier.index)
         for batch in batches:
             out = []
-            for text in batch.column("text"):
+            for text in texts_of(batch):
                 text = (text.as_py() or "").lower()
                 hits = {f for w in restorer.apart(text) for f in known[w]}
                 for found in filter(None, map(known.__getitem__, set(text.split()))):
                     hits.update(found)
                 z = classifier.bias + sum(classifier.weights[k] for k in sorted(hits))
                 out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(out, pa.float64())], names=[*names, "_toxicity"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(out, pa.float64())], names=[*names, "score"])
 
     return run
 
@@ -324,13 +324,19 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     model, classifier = learn(docs, labels)
     rows = docs.select("doc_id", fold(F.col("doc_id"), 5, 0).alias("held_out"), "text")
-    schema = StructType([docs.schema["doc_id"], StructField("held_out", BooleanType()), StructField("_toxicity", DoubleType())])
+    schema = StructType([docs.schema["doc_id"], StructField("held_out", BooleanType()), StructField("score", DoubleType())])
     scored = rows.mapInArrow(score_texts(model, classifier, ["doc_id", "held_out"]), schema)
-    return scored.select("doc_id", "held_out", F.col("_toxicity").alias("score"), (F.col("_toxicity") >= 0.5).cast(IntegerType()).alias("predicted"))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast(IntegerType()).alias("predicted"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, most: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that score under ``most``; all columns stay."""
+    """The rows of ``docs`` that score under ``most``; all columns, whatever their names, stay.
+
+    Null and empty texts score as texts without words; repeated rows have equal
+    scores and stay or go together; null ids teach nothing; an empty table gives an
+    empty one.
+    """
     model, classifier = learn(docs, labels)
-    schema = StructType([*docs.schema.fields, StructField("_toxicity", DoubleType())])
-    return docs.mapInArrow(score_texts(model, classifier, docs.columns), schema).where(F.col("_toxicity") < most).select(*docs.columns)
+    rows = as_row(docs)
+    schema = StructType([*rows.schema.fields, StructField("score", DoubleType())])
+    return rows.mapInArrow(score_texts(model, classifier, ["row"]), schema).where(F.col("score") < most).select("row.*")

@@ -31,6 +31,45 @@ def test_bands_meet_at_four_fifths(n):
     assert missed <= 2
 
 
+#: Names that the operators themselves use, or used, and one with a dot.
+CLASHING = ["th", "spans", "span_id", "span_th", "_th", "kept_id", "component_id", "kept", "n", "lang_pred", "score", "Score_", "_toxicity", "_lang", "row", "a.b", "text_"]
+
+
+def odd_documents(spark):
+    """Nulls in every column, empty, letterless and long texts, copies, repeated rows, clashing column names."""
+    r = random.Random(8)
+    prose = lambda n: " ".join("".join(r.choice("abdeghiklmnoprstu") for _ in range(r.randint(2, 7))) for _ in range(n))
+    long, some = prose(20_000), prose(90)
+    rows = [(1, some, "en", 5), (2, some, "en", 5), (2, some, "en", 5), (3, None, "en", None), (4, "", None, 0), (None, some + " x", None, 7), (None, None, None, None), (5, long, "en", 9), (6, "123 !", "en", 5), (7, "w", "en", 1)]
+    rows = [row + tuple(f"{row[0]}{k}" for k in range(len(CLASHING))) for row in rows]
+    from pyspark.sql import types as T
+
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("n_chars", T.LongType()), *(T.StructField(c, T.StringType()) for c in CLASHING)])
+    return spark.createDataFrame(rows, schema), rows
+
+
+@pytest.mark.parametrize("k", range(4))
+def test_stages_take_odd_rows_and_clashing_names(spark, tmp_path, k):
+    docs, rows = odd_documents(spark)
+    spark.createDataFrame([(1, 0), (2, None), (None, 1)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    name, stage = corpus_pipeline.STAGES[k]
+    out = stage(spark, docs, str(tmp_path))
+    assert out.schema.names == docs.schema.names
+    got = sorted([tuple(x) for x in out.collect()], key=str)
+    want = {
+        "toxicity": rows,
+        "language": [x for x in rows if x[1] and any(c.isalpha() for c in x[1])],
+        # one of rows 1 and 2; a null id is linked with nothing
+        "near_dedup": [x for x in rows if x[0] != 2],
+        "suffix_dedup": [(*x[:1], {0: "", 2: " x"}.get(len(x[1] or "") - len(rows[0][1]), x[1]), x[2], x[3], *x[4:]) for x in rows],
+    }[name]
+    if name == "suffix_dedup":  # n_chars is set anew where there is a text
+        want = [(*x[:3], x[3] if x[1] is None else len(x[1]), *x[4:]) for x in want]
+    assert got == sorted(want, key=str)
+    empty = stage(spark, docs.limit(0), str(tmp_path))
+    assert empty.count() == 0 and empty.schema.names == docs.schema.names
+
+
 def test_every_stage_takes_effect(spark, tmp_path):
     r = random.Random(0)
     word = lambda: "".join(r.choice("abdeghiklmnoprstu") for _ in range(r.randint(2, 7)))

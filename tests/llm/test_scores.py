@@ -2,14 +2,14 @@ import random
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
 
 from mentionforge.llm import language, toxicity
 from mentionforge.llm.language import Pieces, forward, identify_languages, keep_known_languages
-from mentionforge.llm.queries import TOKENIZERS
 from mentionforge.llm.toxicity import CharModel, disguised, keep_clean, restore, score_toxicity
 
-PIECES = f"{TOKENIZERS}/piece_bpe_32k.model"
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORDS = {
     "en": "the house with that there which would about people think write number water other sound place little".split(),
     "de": "das haus mit nicht einer werden können über sprechen schreiben zahl wasser andere klein straße größe".split(),

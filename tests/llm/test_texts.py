@@ -2,15 +2,15 @@ import hashlib
 import random
 import re
 
+import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
 from mentionforge.llm import bpe
 from mentionforge.llm.bpe import WordBpe, bpe_digests, decode_documents, encode_documents
 from mentionforge.llm.licenses import evaluate, postfix, scan_licenses
-from mentionforge.llm.queries import TOKENIZERS
 
-WORD_BPE = f"{TOKENIZERS}/word_bpe_49k.json"
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 TEXTS = [
     None, "", " \n ", "Hello  World's ÄÖ <|endoftext|> x\x01y 日本語 12 ΑΣ É é \x1c a\x1db", "a" * 3000, "<|startoftext|><|endoftext|>",
     "it's we'll DON'T 'S", "x　y​z", "Hello  World's", "Hello  World's",

@@ -3,15 +3,15 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
 from mentionforge.llm import packing, topk
 from mentionforge.llm.packing import Index, pack_documents
-from mentionforge.llm.queries import TOKENIZERS
 from mentionforge.llm.topk import top_k
 
-BYTE_BPE = f"{TOKENIZERS}/byte_bpe_50k.json"
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
 @pytest.mark.parametrize("block,bins", [(1024, 1024), (2, 3)])
