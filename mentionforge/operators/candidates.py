@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -27,8 +27,8 @@ def score_candidates(mentions: DataFrame, names: DataFrame, fuzzy: bool = False)
     Per entity the best of: canonical name, alias, containment either way, and with
     ``fuzzy`` text similarity; a typed mention sees its type only and earns a bonus.
     Distinct (text, type) pairs are scored once. Exact and containment pairs come
-    from equality joins; fuzzy pairs from a join on type within length bounds that
-    lose no pair above the cut, so it is for catalogues of moderate size.
+    from equality joins; fuzzy pairs from an equality join on rare letters and bounds
+    that lose no pair above the cut. How many pairs are that similar is up to the names.
     """
     asked = mentions.select("text", "predicted_type").distinct().withColumn("m", X.normalize_text(F.col("text")))
     asked = asked.where("m <> ''")
@@ -53,20 +53,46 @@ def score_candidates(mentions: DataFrame, names: DataFrame, fuzzy: bool = False)
     return met.select("query_id", "mention_idx", "predicted_type", "entity_id", "confidence", "match_reason")
 
 
+def share_a_rare_letter(a: DataFrame, b: DataFrame, x: str, y: str, least: Column, lowest: float) -> DataFrame:
+    """The pairs of rows of ``a`` and ``b`` whose texts ``x`` and ``y`` can reach the ratio ``least`` (a column of ``a``, nowhere
+    under ``lowest``), and some others; a pair may come several times.
+
+    A ratio r means that r * (length + length) / 2 letters match, so at least r / (2 - r)
+    times a text's own length. Letters are told apart by how often they stood before
+    (the second e is another letter); rarest first, one of a text's first
+    length - matches + 1 letters is then among the other's. So texts meet by equality on
+    those letters; ``lowest`` is the least ratio that any pair must reach.
+    """
+    def letters(df: DataFrame, text: str) -> DataFrame:
+        each = F.split(F.col(text), "")
+        nth = F.transform(each, lambda ch, i: F.concat(ch, F.size(F.filter(F.slice(each, 1, i + 1), lambda o: o == ch)).cast("string")))
+        return df.withColumn("_l", nth)
+
+    def placed(df: DataFrame, text: str, ratio: Column) -> DataFrame:
+        ranked = F.array_sort(F.transform("_l", lambda v: F.struct(F.coalesce(F.element_at("_seen", v), F.lit(0).cast("long")).alias("n"), v.alias("v"))))
+        matches = F.ceil(ratio / (2 - ratio) * F.length(text) - 1e-9)
+        return df.withColumn("_key", F.explode(F.transform(F.slice(ranked, 1, F.greatest(F.lit(1), F.size("_l") - matches.cast("int") + 1)), lambda r: r["v"]))).drop("_l", "_seen")
+
+    a, b = letters(a, x), letters(b, y)
+    # how many names hold each letter: at most some numbers for each letter there is
+    seen = b.select(F.explode("_l").alias("v")).groupBy("v").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.collect_list(F.struct("v", "n"))).alias("_seen"))
+    left = placed(a.withColumn("_seen", seen.scalar()), x, least)
+    right = placed(b.withColumn("_seen", seen.scalar()), y, F.lit(lowest))
+    return left.join(right.hint("merge"), "_key").drop("_key")
+
+
 def fuzzy_pairs(asked: DataFrame, named: DataFrame) -> DataFrame:
-    """Pairs whose similarity can reach the cut: blocked on length buckets that the bounds allow, the bounds, then the ratio itself."""
+    """Pairs whose similarity can reach the cut: met by rare letters, then the bounds, then the ratio itself."""
     typed = F.col("predicted_type").isNotNull()
-    least = F.when(typed, (KEEP_MIN - TYPE_BONUS) / FUZZY_WEIGHT).otherwise(KEEP_MIN / FUZZY_WEIGHT)
-    # ratio >= r needs min / max length >= r / (2 - r): lengths then lie within two buckets of a logarithmic scale
-    share = least / (2 - least)
-    bucket = lambda c: F.floor(F.log(F.length(c).cast("double")) / F.log(F.lit(2.0))).cast("int")
-    a = asked.withColumn("_b", F.explode(F.array(*[bucket("m") + k for k in (-2, -1, 0, 1, 2)])))
-    b = named.withColumn("_b", bucket("n"))
-    pairs = a.join(small_or_shuffled(b), "_b").where(F.col("predicted_type").isNull() | (F.col("predicted_type") == F.col("e_type")))
-    lengths = F.least(F.length("m"), F.length("n")) >= share * F.greatest(F.length("m"), F.length("n")) - 1e-9
+    low, high = (KEEP_MIN - TYPE_BONUS) / FUZZY_WEIGHT, KEEP_MIN / FUZZY_WEIGHT
+    least = F.when(typed, low).otherwise(high)
+    met = share_a_rare_letter(asked, named, "m", "n", least, low)
+    met = met.where(F.col("predicted_type").isNull() | (F.col("predicted_type") == F.col("e_type")))
+    # ratio >= r needs min / max length >= r / (2 - r)
+    lengths = F.least(F.length("m"), F.length("n")) >= least / (2 - least) * F.greatest(F.length("m"), F.length("n")) - 1e-9
     apart = (F.col("m") != F.col("n")) & ~F.contains("m", "n") & ~F.contains("n", "m")
-    pairs = pairs.where(lengths & apart).where(X.ratio_bound(F.col("m"), F.col("n")) >= least - 1e-9)
-    return pairs.withColumns({"base": X.seq_ratio(F.col("m"), F.col("n")) * FUZZY_WEIGHT, "match_reason": F.lit("fuzzy text similarity")}).drop("_b")
+    met = met.where(lengths & apart).distinct().where(X.ratio_bound(F.col("m"), F.col("n")) >= least - 1e-9)
+    return met.withColumns({"base": X.seq_ratio(F.col("m"), F.col("n")) * FUZZY_WEIGHT, "match_reason": F.lit("fuzzy text similarity")})
 
 
 def rank_candidates(scored: DataFrame, limit: int = MAX_CANDIDATES) -> DataFrame:
@@ -167,12 +193,10 @@ def alarm_candidates(mentions: DataFrame, names: DataFrame, phrases: bool = True
     entries = exact
     if phrases:
         rest = asked.join(exact.select(*by).distinct().hint("merge"), by, "left_anti").where(~X.is_alarm_identifier(F.col("text")) & (F.col("m") != ""))
-        # ratio >= 0.9 needs lengths within a factor 0.818, so the rounded logarithms differ by one at most
-        step = lambda c: F.floor(F.log(F.length(c).cast("double")) / F.log(F.lit(1.25))).cast("int")
-        a = rest.withColumn("_b", F.explode(F.array(step("m") - 1, step("m"), step("m") + 1)))
-        b = named.where(~X.is_alarm_identifier(F.col("name"))).withColumn("_b", step("n"))
-        near = a.join(small_or_shuffled(b), "_b").where(X.ratio_bound(F.col("m"), F.col("n")) >= 0.9 - 1e-9).withColumn("_r", X.seq_ratio(F.col("m"), F.col("n"))).where("_r >= 0.9")
-        near = near.withColumns({"score": 0.78 + F.col("_r") * 0.1, "reason": F.lit("alarm phrase similarity")}).drop("_r", "_b")
+        b = named.where(~X.is_alarm_identifier(F.col("name")))
+        met = share_a_rare_letter(rest, b, "m", "n", F.lit(0.9), 0.9).distinct()
+        near = met.where(X.ratio_bound(F.col("m"), F.col("n")) >= 0.9 - 1e-9).withColumn("_r", X.seq_ratio(F.col("m"), F.col("n"))).where("_r >= 0.9")
+        near = near.withColumns({"score": 0.78 + F.col("_r") * 0.1, "reason": F.lit("alarm phrase similarity")}).drop("_r")
         entries = exact.unionByName(near)
     best = best_per_entity(entries, by)
     scored = best.select(*by, "entity_id", X.clamp_score(F.col("score")).alias("confidence"), F.col("reason").alias("match_reason"), X.alarm_dedup_key(F.col("name")).alias("dedup_key"))

@@ -4,18 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as X
 
 #: Length of the anchors that texts and keys meet on.
 GRAM = 6
-#: Most dictionary rows that are sent to every task; above, the join shuffles.
-BROADCAST_ROWS = 200_000
+#: What is sent to every task at most: rows, and bytes as JSON text; above either, the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 
 
-def small_or_shuffled(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` to be broadcast if a count shows it small enough, else for a sort-merge join."""
-    return df.hint("broadcast" if df.limit(limit + 1).count() <= limit else "merge")
+def small_or_shuffled(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` to be broadcast if its rows and their bytes are shown to be few, else for a sort-merge join."""
+    n, width = df.limit(rows + 1).agg(F.count("*"), F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()
+    return df.hint("broadcast" if n <= rows and (width or 0) <= size else "merge")
 
 
 def anchors(words: DataFrame, key: str, gram: int = GRAM) -> DataFrame:
@@ -31,21 +33,25 @@ def anchors(words: DataFrame, key: str, gram: int = GRAM) -> DataFrame:
 
 def occurrences(texts: DataFrame, words: DataFrame, text: str, key: str, gram: int | None = None) -> DataFrame:
     """Each row of ``texts`` with each row of ``words`` whose key its text contains, once for every
-    place (overlapping ones too), as 0-based at. Equal to a containment join, by equality on anchors."""
-    keys = anchors(words, key, gram or GRAM).persist()
-    sizes = [r[0] for r in keys.select(F.length("gram")).distinct().collect()]  # at most ``gram`` numbers
+    place (overlapping ones too), as 0-based at. Equal to a containment join, by equality on anchors.
+
+    Only a hash of the text travels with its pieces; the text itself is joined back
+    where an anchor was met, and compared there.
+    """
+    gram = gram or GRAM
+    sizes = [r[0] for r in words.where(F.length(key) > 0).select(F.least(F.length(key), F.lit(gram))).distinct().collect()]  # at most ``gram`` numbers
     if not sizes:
-        return texts.join(words.limit(0), F.lit(True)).withColumn("at", F.lit(0))
+        shape = T.StructType([*texts.schema.fields, *words.schema.fields, T.StructField("at", T.IntegerType())])
+        return texts.sparkSession.createDataFrame([], shape)
     t = F.col(text)
 
     def pieces(size: int) -> Column:
-        n = F.length(t) - size + 1
-        return F.transform(X.positions(n), lambda p: F.struct(p.alias("p"), F.substring(t, p + 1, F.lit(size)).alias("gram")))
+        return F.transform(X.positions(F.length(t) - size + 1), lambda p: F.struct(p.alias("p"), F.substring(t, p + 1, F.lit(size)).alias("gram")))
 
-    placed = texts.withColumn("_g", F.explode(F.flatten(F.array(*(pieces(s) for s in sorted(sizes))))))
-    placed = placed.select(*texts.columns, F.col("_g.p").alias("_p"), F.col("_g.gram").alias("gram"))
-    met = placed.join(small_or_shuffled(keys), "gram").withColumn("at", F.col("_p") - F.col("off"))
-    hit = met.where((F.col("at") >= 0) & (F.substring(t, F.col("at") + 1, F.length("_k")) == F.col("_k"))).drop("gram", "_p", "off")
+    placed = texts.select(F.xxhash64(text).alias("_h"), F.explode(F.flatten(F.array(*(pieces(s) for s in sorted(sizes))))).alias("_g"))
+    met = placed.select("_h", "_g.p", "_g.gram").join(small_or_shuffled(anchors(words, key, gram)), "gram")
+    met = met.select("_h", "_k", (F.col("p") - F.col("off")).alias("at")).where("at >= 0").distinct()
+    hit = texts.withColumn("_h", F.xxhash64(text)).join(met.hint("merge"), "_h").where(F.substring(t, F.col("at") + 1, F.length("_k")) == F.col("_k"))
     return hit.join(small_or_shuffled(words), F.col("_k") == words[key]).select(*texts.columns, *words.columns, "at")
 
 

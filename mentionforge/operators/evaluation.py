@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .quality import gate, gold_rules
+from .safety import redact
 
 COUNTS = ["tp", "fp", "fn", "tn", "nfp"]
 
@@ -117,3 +119,27 @@ def by_type(mention_cases: DataFrame) -> DataFrame:
 def report(totals_row: DataFrame, path: str) -> None:
     """The totals as a JSON report."""
     totals_row.select(F.to_json(F.struct(*totals_row.columns)).alias("value")).write.mode("overwrite").text(path)
+
+
+def read_report(spark: SparkSession, path: str) -> DataFrame:
+    """What ``report`` wrote, as one row."""
+    counts = ", ".join(f"{c} long" for c in ("total", "pass", "fail", *COUNTS))
+    return spark.read.schema(f"{counts}, precision double, recall double, notes string, passed boolean").json(path)
+
+
+def evaluate(gold: DataFrame, expected: DataFrame, results: DataFrame, actual: DataFrame, entities: DataFrame, path: str, strict: bool = False) -> dict[str, DataFrame]:
+    """The whole evaluation: gold data must pass its rules, then mentions and queries are scored and the totals reported at ``path``.
+
+    gold, expected: as in ``gold_rules``; results: query_id, status, n_mentions; actual: as in
+    ``score_mentions``. Gives violations, and unless one is an error also mention_cases, cases, totals,
+    types and failures. Gold data that break a rule are never scored.
+    """
+    violations = gold_rules(gold, expected, entities)
+    if not gate(violations):
+        return {"violations": violations}
+    mention_cases = score_mentions(expected, actual, strict).persist()
+    cases = score_cases(gold, results, mention_cases).persist()
+    whole = totals(cases)
+    report(redact(whole), path)
+    failures = cases.where(~F.col("passed")).select("query_id", "expected_status", "actual_status", "reason")
+    return {"violations": violations, "mention_cases": mention_cases, "cases": cases, "totals": whole, "types": by_type(mention_cases), "failures": failures}

@@ -9,6 +9,7 @@ from ..functions import text as X
 from ..operators import dictionary as D
 from ..operators import candidates as C
 from ..schemas import LAYERS, MAX_CANDIDATES
+from .proposals import merge_proposals
 
 MENTION = ["query_id", "mention_idx", "span_start", "span_end", "text"]
 
@@ -147,8 +148,18 @@ def query_results(queries: DataFrame, mentions: DataFrame) -> DataFrame:
     return out.select("query_id", status.alias("status"), F.coalesce("linked_ids", F.lit("")).alias("linked_ids"), "linked_entity_id", *counts)
 
 
-def catalog_mentions(queries: DataFrame, names: DataFrame) -> DataFrame:
-    """Names of catalogue entities, typed, and entity-shaped tokens, untyped, chosen greedily per query."""
+ALARM = "alarm"
+
+
+def catalog_mentions(queries: DataFrame, names: DataFrame, alarm_only: bool = False) -> DataFrame:
+    """Names of catalogue entities, typed, and entity-shaped tokens, untyped, chosen greedily per query. With ``alarm_only``:
+    names of alarms, alarm ids and numbers after an alarm keyword; a query's first stays."""
+    if alarm_only:
+        literal = D.detect_literal(queries, names.where(F.col("entity_type") == ALARM).select("name").distinct()).select("query_id", "span_start", "span_end", "text")
+        ids = queries.select("query_id", F.inline(X.regex_spans(F.col("query"), X.ALARM_ID)))
+        numbers = queries.select("query_id", F.inline(X.regex_spans(F.col("query"), X.NUMBER_AFTER_ALARM, 2)))
+        found = D.select_spans(literal.unionByName(ids).unionByName(numbers), "query_id", [F.lower("text")], ["text"])
+        return found.where("mention_idx = 0").withColumn("predicted_type", F.lit(ALARM))
     literal = D.detect_literal(queries, names.select("name", "entity_type").distinct())
     shaped = shaped_tokens(queries, trim=False).withColumn("entity_type", F.lit(None).cast("string"))
     both = literal.select("query_id", "span_start", "span_end", "text", "entity_type").unionByName(shaped)
@@ -156,6 +167,21 @@ def catalog_mentions(queries: DataFrame, names: DataFrame) -> DataFrame:
     return D.select_spans(both, "query_id", [F.col("text"), F.col("entity_type").isNull(), F.col("entity_type")], ["text", "entity_type"]).withColumnRenamed("entity_type", "predicted_type")
 
 
+def catalog_candidates(mentions: DataFrame, names: DataFrame, fuzzy: bool = False, alarm_only: bool = False) -> DataFrame:
+    """Ranked candidates of mentions: those typed alarm (all, with ``alarm_only``) by alarm keys and phrases, the others by name scores."""
+    columns = ["query_id", "mention_idx", "predicted_type", "entity_id", "confidence", "match_reason", "rank"]
+    of_alarms = F.lit(alarm_only) | F.coalesce(F.col("predicted_type") == ALARM, F.lit(False))
+    types = mentions.select("query_id", "mention_idx", "predicted_type")
+    alarms = C.alarm_candidates(mentions.where(of_alarms).select("query_id", "mention_idx", "text"), names.where(F.col("entity_type") == ALARM))
+    alarms = alarms.join(types.hint("merge"), ["query_id", "mention_idx"]).select(*columns)
+    if alarm_only:
+        return alarms
+    others = C.rank_candidates(C.score_candidates(mentions.where(~of_alarms), names, fuzzy)).select(*columns)
+    if not names.where(F.col("entity_type") == ALARM).limit(1).count():  # nothing to find for alarms
+        return others
+    return others.unionByName(alarms)
+
+
 def mention_results(mentions: DataFrame, ranked: DataFrame) -> DataFrame:
     """Status of each mention from its ranked candidates: under the threshold no match, within the margin ambiguous."""
     best = C.decide(ranked)
@@ -167,13 +193,29 @@ def mention_results(mentions: DataFrame, ranked: DataFrame) -> DataFrame:
     })
 
 
-def link_catalog(queries: DataFrame, entities: DataFrame, names: DataFrame, fuzzy: bool = False, selections: DataFrame | None = None, alarm_only: bool = False) -> DataFrame:
+def link_catalog(
+    queries: DataFrame, entities: DataFrame, names: DataFrame, fuzzy: bool = False, selections: DataFrame | None = None, alarm_only: bool = False,
+    proposals: DataFrame | None = None, fallback: bool = True,
+) -> DataFrame:
     """One row a query by the catalogue pipeline: status, linked_ids, linked_entity_id, summary_reason, data_layer,
-    top_ids (up to five candidates over all mentions) and counts. ``selections`` settles ambiguous mentions."""
+    top_ids (up to five candidates over all mentions), counts and the first error_code.
+
+    ``proposals`` (query_id, mentions: array of text, predicted_type) take the place of detected
+    mentions where they are sound; else the detected ones are linked and the query
+    is degraded, or fails without ``fallback``. ``selections`` settles ambiguous
+    mentions. ``alarm_only``: a catalogue of alarms, one mention a query.
+    """
     gated = request_gate(queries)
+    valid = gated.where("valid").select("query_id", "query")
     # each is read several times below
-    mentions = catalog_mentions(gated.where("valid").select("query_id", "query"), names).persist()
-    ranked = C.rank_candidates(C.score_candidates(mentions, names, fuzzy)).persist()
+    mentions = catalog_mentions(valid, names, alarm_only).select("query_id", "mention_idx", "text", "predicted_type")
+    said = None
+    if proposals is not None:
+        types = sorted(r[0] for r in names.select("entity_type").distinct().collect())  # a closed set
+        mentions, said = merge_proposals(valid, proposals, mentions, [*types, ALARM], fallback, alarm_only)
+        said = said.select("query_id", F.col("used"), (~F.col("used")).alias("bad"), F.col("error_code").alias("said_code"))
+    mentions = mentions.persist()
+    ranked = catalog_candidates(mentions, names, fuzzy, alarm_only).persist()
     results = mention_results(mentions, ranked)
     if selections is not None:
         results = C.apply_selection(results, ranked, selections, entities)
@@ -185,11 +227,19 @@ def link_catalog(queries: DataFrame, entities: DataFrame, names: DataFrame, fuzz
     tops = C.query_candidates(shown, MAX_CANDIDATES).groupBy("query_id").agg(F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("rank", "entity_id"))), lambda r: r["entity_id"])).alias("top_ids"))
     layers = C.highest_layer(shown.join(D.small_or_shuffled(entities.select("entity_id", "data_layer")), "entity_id"), "query_id")
     out = gated.join(per_query.hint("merge"), "query_id", "left").join(tops.hint("merge"), "query_id", "left").join(layers.hint("merge"), "query_id", "left")
-    needed = F.col("query").rlike(X.CATALOG_INTENT) & ~F.col("query").rlike(X.NOT_REQUIRED)
-    status = F.when(~F.col("valid"), "invalid_input").when(F.col("n_mentions").isNull(), F.when(needed, "no_match").otherwise("not_required"))
-    status = status.otherwise(status_catalog(F.col("n_mentions"), F.col("n_linked"), F.col("n_failed"), F.col("n_ambiguous"), F.col("degraded"), alarm_only))
+    if said is None:
+        out = out.withColumns({"used": F.lit(False), "bad": F.lit(False), "said_code": F.lit(None).cast("string")})
+    else:
+        out = out.join(said.hint("merge"), "query_id", "left")
+    intent = F.col("query").rlike(X.ALARM_INTENT if alarm_only else X.CATALOG_INTENT)
+    needed = intent if alarm_only else intent & ~F.col("query").rlike(X.NOT_REQUIRED)
+    # proposals without mentions say that there is nothing to find, unless alarms were looked for after them
+    empty = F.when(F.col("bad") & F.lit(not fallback), "dependency_failed").when(needed | (F.col("used") & F.lit(not alarm_only)), "no_match").otherwise("not_required")
+    status = F.when(~F.col("valid"), "invalid_input").when(F.col("n_mentions").isNull(), empty)
+    status = status.otherwise(status_catalog(F.col("n_mentions"), F.col("n_linked"), F.col("n_failed"), F.col("n_ambiguous"), F.col("degraded") | F.coalesce("bad", F.lit(False)), alarm_only))
+    code = F.when(~F.col("valid"), "invalid_input").otherwise(F.coalesce("said_code", "first_error_code"))
     return out.select(
         "query_id", status.alias("status"), F.coalesce("linked_ids", F.lit("")).alias("linked_ids"), "linked_entity_id", F.coalesce("summary_reason", F.lit("")).alias("summary_reason"),
         F.coalesce("data_layer", F.lit(LAYERS[0])).alias("data_layer"), F.coalesce("top_ids", F.lit("")).alias("top_ids"),
-        *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_mentions", "n_linked", "n_ambiguous")],
+        *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_mentions", "n_linked", "n_ambiguous")], code.alias("error_code"),
     )

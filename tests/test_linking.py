@@ -161,3 +161,58 @@ def test_similar_by_definition(spark):
         ranked = sorted(((-pair(a, b), b[0]) for b in rows if b[0] != a[0] and pair(a, b) > 0))[:3]
         want += [(a[0], i, -s) for s, i in ranked]
     assert got == want
+
+
+ALARMS = [
+    ("A1", "ALM-51020", ["disk array is full"]), ("A2", "ALM-51021", ["certificate is about to expire"]),
+    ("A3", "ALM-151", ["certificate is about to expire", "Certificate expires"]),
+]
+
+
+def alarm_tables(spark):
+    e = spark.createDataFrame([(i, "alarm", n, a, "d", {}, [], "L0_SYNTHETIC", "s", "active") for i, n, a in ALARMS], ENTITY)
+    names = e.select("entity_id", "entity_type", F.posexplode(F.concat(F.array("entity_name"), "alias")).alias("name_idx", "name")).withColumn("is_canonical", F.col("name_idx") == 0)
+    return e, names
+
+
+@pytest.mark.parametrize("text,status,linked,tops", [
+    ("What is alarm 51?", "no_match", "", ""),
+    ("Explain ALM-5102.", "no_match", "", ""),
+    ("Check ALM-51020 and ALM-51021", "linked", "A1", "A1"),
+    ("what to do if Certificate is about to expire?", "ambiguous", "", "A2,A3"),
+    ("Open the operations dashboard.", "not_required", "", ""),
+    ("Any alarm?", "no_match", "", ""),
+    ("  ", "invalid_input", "", ""),
+])
+def test_alarm_pipeline(spark, text, status, linked, tops):
+    e, names = alarm_tables(spark)
+    got = L.link_catalog(spark.createDataFrame([(1, text)], "query_id long, query string"), e, names, alarm_only=True).first()
+    assert (got.status, got.linked_ids, got.top_ids) == (status, linked, tops)
+
+
+def test_alarm_mentions_of_a_mixed_catalogue_go_to_alarm_keys(spark):
+    """A name that is part of an alarm's isn't one; the other types still match in part."""
+    e, names = alarm_tables(spark)
+    host = spark.createDataFrame([("N1", "ne", "host alpha", [], "d", {}, [], "L0_SYNTHETIC", "s", "active")], ENTITY)
+    names = names.unionByName(spark.createDataFrame([("N1", "ne", 0, "host alpha", True)], "entity_id string, entity_type string, name_idx int, name string, is_canonical boolean"))
+    q = spark.createDataFrame([(1, "check x"), (2, "check y"), (3, "check z")], "query_id long, query string")
+    said = spark.createDataFrame([(1, [("certificate is about to expir", "alarm")]), (2, [("ALM-5102", "alarm"), ("host alpha two", "ne")]), (3, [])], "query_id long, mentions array<struct<text:string,predicted_type:string>>")
+    got = {x.query_id: x for x in L.link_catalog(q, e.unionByName(host), names, proposals=said).collect()}
+    assert (got[1].status, got[1].top_ids) == ("ambiguous", "A2,A3")
+    assert (got[2].status, got[2].linked_ids) == ("partial", "N1")
+    assert (got[3].status, got[3].n_mentions) == ("no_match", 0)
+
+
+def test_proposals_replace_detected_mentions(spark):
+    e, names = alarm_tables(spark)
+    q = spark.createDataFrame([(k, "Check ALM-51020 now") for k in range(5)], "query_id long, query string")
+    kind = "query_id long, mentions array<struct<text:string,predicted_type:string>>"
+    said = spark.createDataFrame([(0, [("x", "ne"), ("151", None), ("ALM-151", "alarm")]), (1, [("ALM-151", "no_type")]), (2, None), (3, [("host", None)])], kind)
+    got = {x.query_id: x for x in L.link_catalog(q, e, names, alarm_only=True, proposals=said).collect()}
+    # a type outside the catalogue's, no list and no row at all are degraded; without an alarm what was detected counts
+    assert [(got[k].status, got[k].linked_ids, got[k].error_code) for k in range(5)] == [("linked", "A1", "llm_schema_error"), ("linked", "A1", "llm_schema_error"), ("linked", "A1", "llm_missing"), ("linked", "A1", None), ("linked", "A1", "llm_missing")]
+    good = spark.createDataFrame([(0, [("151", None), ("ALM-151", "alarm")]), (4, [])], kind)
+    got = {x.query_id: x for x in L.link_catalog(q, e, names, alarm_only=True, proposals=good, fallback=False).collect()}
+    # the first alarm-shaped mention counts, and no alarm is named 151
+    assert (got[0].status, got[0].n_mentions) == ("no_match", 1)
+    assert (got[1].status, got[1].error_code, got[4].linked_ids) == ("dependency_failed", "dependency_failed", "A1")
