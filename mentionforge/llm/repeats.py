@@ -10,12 +10,14 @@ windows out by minimiser:
 4. the text of one copy of every other run goes to its minimiser's bucket, where the
    operator's own method compares windows;
 5. a minimiser with more than ``HOT`` different runs is not gathered: its windows are
-   dealt out again by window fingerprint, as packed arrays;
+   dealt out again by window fingerprint, with their text, and windows of one
+   fingerprint are compared with each other;
 6. the found windows go back to every copy of their run and, joined by row, to the rows.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,12 +28,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import arrays as A
-from .storage import keyed_texts, same_row, save
+from .storage import discard, keyed_texts, same_row, save
 
-#: Most different runs, and most values in one run, that a minimiser's bucket gathers.
-HOT, HOT_VALUES = 256, 1 << 20
+#: Most different runs, and most values in all of them, that a minimiser's bucket gathers.
+HOT, HOT_VALUES = 256, 1 << 19
 #: Windows of a hot minimiser that one task sorts, about.
-HOT_TASK = 1 << 18
+HOT_TASK = 1 << 16
 FOUND = "anchor long, rhash long, n int, runs array<struct<a:int,b:int>>"
 
 
@@ -94,7 +96,7 @@ def packed(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(h, pa.int64()), pa.array(n, pa.int32()), pa.array(body, pa.binary())], names=["anchor", "rhash", "n", "body"])
 
 
-def in_buckets(unit: Unit, compare: Callable, size: int = 1 << 19) -> Callable:
+def in_buckets(unit: Unit, compare: Callable, size: int = 1 << 18) -> Callable:
     """Rows arrive sorted by anchor; whole buckets are compared together, about ``size`` bytes at a time."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -123,12 +125,16 @@ def in_buckets(unit: Unit, compare: Callable, size: int = 1 << 19) -> Callable:
     return run
 
 
+PRINTS = ["anchor", "part", "rhash", "n", "h", "at", "first", "body"]
+
+
 def fingerprints(unit: Unit) -> Callable:
-    """Hot runs to packed window fingerprints, one row for each part of the fingerprint space."""
+    """Hot runs to packed windows, one row for each part of the fingerprint space: fingerprints, places, and the stretch
+    of the run, from its unit ``first`` on, that these windows cover."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
+            out, size = [], 0
             for row in pdf.itertuples(index=False):
                 data = np.frombuffer(row.body, np.uint8)
                 values, _ = unit.values(data, np.array([0, len(data)]))
@@ -136,45 +142,81 @@ def fingerprints(unit: Unit) -> Callable:
                 part = (h >> A.U(40)).astype(np.int64) % row.parts
                 order = np.argsort(part, kind="stable")
                 cuts = np.flatnonzero(np.diff(part[order])) + 1
-                for places in np.split(order, cuts):
-                    out.append((row.anchor, int(part[places[0]]), row.rhash, row.n, h[places].tobytes(), places.astype(np.int32).tobytes()))
-                if len(out) > 4000:
-                    yield pd.DataFrame(out, columns=["anchor", "part", "rhash", "n", "h", "at"])
-                    out = []
-            yield pd.DataFrame(out, columns=["anchor", "part", "rhash", "n", "h", "at"])
+                pieces = [np.sort(p) for p in np.split(order, cuts)]
+                bodies = unit.cut(row.body, [{"start": int(p[0]), "n": int(p[-1] - p[0]) + 1} for p in pieces])
+                for places, body in zip(pieces, bodies, strict=True):
+                    out.append((row.anchor, int(part[places[0]]), row.rhash, row.n, h[places].tobytes(), places.astype(np.int32).tobytes(), int(places[0]), body))
+                    size += len(body) + 12 * len(places)
+                if size > 1 << 22:
+                    yield pd.DataFrame(out, columns=PRINTS)
+                    out, size = [], 0
+            yield pd.DataFrame(out, columns=PRINTS)
 
     return run
 
 
-def sort_fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows arrive sorted by (anchor, part); each group's equal fingerprints are found by sorting."""
+class Windows:
+    """The text of each window of some rows of packed windows."""
+
+    def __init__(self, unit: Unit, rows: list):
+        self.bodies = [r.body for r in rows]
+        self.row = np.repeat(np.arange(len(rows)), [len(r.at) // 4 for r in rows])
+        begin, end = [], []
+        for r in rows:
+            at = np.frombuffer(r.at, np.int32) - r.first
+            if unit.by_words:
+                gaps = np.flatnonzero(np.frombuffer(r.body, np.uint8) == 32)
+                starts, ends = np.append(0, gaps + 1), np.append(gaps, len(r.body))
+                begin.append(starts[at])
+                end.append(ends[at + unit.window - 1])
+            else:
+                begin.append(at)
+                end.append(at + unit.window)
+        self.begin, self.end = np.concatenate(begin).tolist(), np.concatenate(end).tolist()
+
+    def __getitem__(self, k: int) -> bytes:
+        return self.bodies[self.row[k]][self.begin[k] : self.end[k]]
+
+
+def sort_windows(unit: Unit) -> Callable:
+    """Rows arrive sorted by (anchor, part); each group's windows are sorted by fingerprint, and those of one
+    fingerprint are compared with the first of them. Two texts under one fingerprint are told apart."""
 
     def equal(rows: list) -> pd.DataFrame:
         h = np.concatenate([np.frombuffer(r.h, np.uint64) for r in rows])
         order = np.argsort(h, kind="stable")
-        same = h[order][1:] == h[order][:-1]
-        hit = np.zeros(len(h), bool)
-        hit[order[1:][same]] = True
-        hit[order[:-1][same]] = True
+        cuts = np.append(np.flatnonzero(np.append(True, h[order][1:] != h[order][:-1])), len(h))
+        texts, hit = Windows(unit, rows), np.zeros(len(h), bool)
+        for k in np.flatnonzero(np.diff(cuts) > 1):
+            group = order[cuts[k] : cuts[k + 1]]
+            first = texts[group[0]]
+            if all(texts[x] == first for x in group[1:]):
+                hit[group] = True
+            else:
+                counts = Counter(texts[x] for x in group)
+                hit[group] = [counts[texts[x]] > 1 for x in group]
         out, at = [], 0
         for r in rows:
             places = np.frombuffer(r.at, np.int32)
-            own = np.sort(places[hit[at : at + len(places)]])
+            own = places[hit[at : at + len(places)]]
             at += len(places)
             if len(own):
                 cut = np.flatnonzero(np.diff(own) > 1)
                 out.append((r.anchor, r.rhash, r.n, [{"a": int(a), "b": int(b)} for a, b in zip(own[np.append(0, cut + 1)], own[np.append(cut, len(own) - 1)], strict=True)]))
         return pd.DataFrame(out, columns=["anchor", "rhash", "n", "runs"])
 
-    held: list = []
-    for pdf in batches:
-        for row in pdf.itertuples(index=False):
-            if held and (row.anchor, row.part) != (held[-1].anchor, held[-1].part):
-                yield equal(held)
-                held = []
-            held.append(row)
-    if held:
-        yield equal(held)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list = []
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                if held and (row.anchor, row.part) != (held[-1].anchor, held[-1].part):
+                    yield equal(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield equal(held)
+
+    return run
 
 
 def repeated_spans(docs: DataFrame, unit: Unit, compare: Callable, name: str) -> DataFrame:
@@ -191,10 +233,10 @@ def repeated_spans(docs: DataFrame, unit: Unit, compare: Callable, name: str) ->
 
     each = live.groupBy("anchor", "rhash", "n").agg(F.count("*").alias("copies"), F.max("inner").alias("inner"), F.min(F.struct("doc_id", "th", "start")).alias("at"))
     each = save(each, f"{name}-each")
-    several = each.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("n").alias("windows"))
-    each = each.join(several.hint("merge"), "anchor")
-    open_ = each.where("kinds > 1 or copies = 1").withColumns({
-        "hot": F.expr(f"kinds > {HOT} or n > {HOT_VALUES}"),
+    several = each.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("n").alias("windows"), F.sum(F.col("n") + unit.window - 1).alias("size"))
+    counted = each.join(several.hint("merge"), "anchor")
+    open_ = counted.where("kinds > 1 or copies = 1").withColumns({
+        "hot": F.expr(f"kinds > {HOT} or size > {HOT_VALUES}"),
         "parts": F.expr(f"cast(1 + windows div {HOT_TASK} as int)"),
     })
     wanted = open_.select("at.*", F.struct("anchor", "rhash", "at.start", "n").alias("r")).groupBy("doc_id", "th").agg(F.collect_list("r").alias("runs"))
@@ -206,13 +248,14 @@ def repeated_spans(docs: DataFrame, unit: Unit, compare: Callable, name: str) ->
     cold = dealt.where("not hot").select("anchor", "rhash", "n", "body").repartition("anchor").sortWithinPartitions("anchor", "rhash", "n")
     cold_found = cold.mapInPandas(in_buckets(unit, compare), FOUND)
     hot = dealt.where("hot").select("anchor", "rhash", "n", "body", "parts")
-    prints = hot.mapInPandas(fingerprints(unit), "anchor long, part int, rhash long, n int, h binary, at binary")
-    hot_found = prints.repartition("anchor", "part").sortWithinPartitions("anchor", "part").mapInPandas(sort_fingerprints, FOUND)
+    prints = hot.mapInPandas(fingerprints(unit), "anchor long, part int, rhash long, n int, h binary, at binary, first int, body binary")
+    hot_found = prints.repartition("anchor", "part").sortWithinPartitions("anchor", "part").mapInPandas(sort_windows(unit), FOUND)
     compared = cold_found.unionByName(hot_found).groupBy("anchor", "rhash", "n").agg(F.flatten(F.collect_list("runs")).alias("runs"))
 
     whole = each.select("anchor", "rhash", "n", "copies")
     full = F.array(F.struct(F.lit(0).alias("a"), (F.col("n") - 1).alias("b")))
     some = save(whole.join(compared.hint("merge"), ["anchor", "rhash", "n"], "left").withColumn("runs", F.when(F.col("copies") > 1, full).otherwise(F.col("runs"))).where("runs is not null").drop("copies"), f"{name}-found")
+    discard(runs, each, bodies)
     back = live.select("doc_id", "th", "anchor", "rhash", "n", "start").join(some.hint("merge"), ["anchor", "rhash", "n"])
     moved = F.transform("runs", lambda r: F.struct((r["a"] + F.col("start")).alias("a"), (r["b"] + F.col("start")).alias("b")))
     return back.select("doc_id", "th", moved.alias("spans")).groupBy("doc_id", "th").agg(F.flatten(F.collect_list("spans")).alias("spans"))

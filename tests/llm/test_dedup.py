@@ -3,6 +3,7 @@ import hashlib
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from mentionforge.llm import repeats
@@ -71,15 +72,29 @@ def rows_of(df):
     return sorted((-1 if r.doc_id is None else r.doc_id, *r[1:]) for r in df.collect())
 
 
-@pytest.mark.parametrize("hot", [256, 3])
-def test_both_match_brute_force(spark, monkeypatch, hot):
+@pytest.mark.parametrize("hot,task", [(256, 1 << 16), (3, 1 << 16), (0, 40)])
+def test_both_match_brute_force(spark, monkeypatch, hot, task):
     monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(repeats, "HOT_TASK", task)
     rows = corpus()
     docs = spark.createDataFrame(rows, DOCS).repartition(5)
     assert rows_of(dedup_substrings(docs)) == brute_words(rows, 35)
     assert rows_of(dedup_suffixes(docs, 120, 24)) == brute_bytes(rows, 120)
 
 
+@pytest.mark.parametrize("by_words", [False, True])
+def test_windows_under_one_fingerprint_are_told_apart(by_words):
+    """Every window gets the same fingerprint; only equal texts count."""
+    unit = repeats.Unit(3, 2, by_words)
+    bodies = [b"a b c d e", b"x b c d y", b"q q q q"] if by_words else [b"abcde", b"xbcdy", b"qqqq"]
+    rows = []
+    for k, body in enumerate(bodies):
+        n = 2 if k == 2 else 3
+        rows.append((1, 0, k, n, np.zeros(n, np.uint64).tobytes(), np.arange(n, dtype=np.int32).tobytes(), 0, body))
+    got = pd.concat(repeats.sort_windows(unit)(iter([pd.DataFrame(rows, columns=repeats.PRINTS)])))
+    assert {r.rhash: r.runs for r in got.itertuples()} == {0: [{"a": 1, "b": 1}], 1: [{"a": 1, "b": 1}], 2: [{"a": 0, "b": 1}]}
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], DOCS)
     assert dedup_substrings(docs).count() == 0
