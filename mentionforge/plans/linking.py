@@ -170,16 +170,14 @@ def catalog_mentions(queries: DataFrame, names: DataFrame, alarm_only: bool = Fa
 def catalog_candidates(mentions: DataFrame, names: DataFrame, fuzzy: bool = False, alarm_only: bool = False) -> DataFrame:
     """Ranked candidates of mentions: those typed alarm (all, with ``alarm_only``) by alarm keys and phrases, the others by name scores."""
     columns = ["query_id", "mention_idx", "predicted_type", "entity_id", "confidence", "match_reason", "rank"]
+    by_name = lambda m: C.rank_candidates(C.score_candidates(m, names, fuzzy)).select(*columns)
+    alarms = names.where(F.col("entity_type") == ALARM)
+    if not alarm_only and alarms.isEmpty():
+        return by_name(mentions)  # a mention typed alarm finds nothing either way
     of_alarms = F.lit(alarm_only) | F.coalesce(F.col("predicted_type") == ALARM, F.lit(False))
-    types = mentions.select("query_id", "mention_idx", "predicted_type")
-    alarms = C.alarm_candidates(mentions.where(of_alarms).select("query_id", "mention_idx", "text"), names.where(F.col("entity_type") == ALARM))
-    alarms = alarms.join(types.hint("merge"), ["query_id", "mention_idx"]).select(*columns)
-    if alarm_only:
-        return alarms
-    others = C.rank_candidates(C.score_candidates(mentions.where(~of_alarms), names, fuzzy)).select(*columns)
-    if not names.where(F.col("entity_type") == ALARM).limit(1).count():  # nothing to find for alarms
-        return others
-    return others.unionByName(alarms)
+    found = C.alarm_candidates(mentions.where(of_alarms).select("query_id", "mention_idx", "text"), alarms)
+    found = found.join(mentions.select("query_id", "mention_idx", "predicted_type").hint("merge"), ["query_id", "mention_idx"]).select(*columns)
+    return found if alarm_only else by_name(mentions.where(~of_alarms)).unionByName(found)
 
 
 def mention_results(mentions: DataFrame, ranked: DataFrame) -> DataFrame:
