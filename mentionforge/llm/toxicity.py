@@ -6,6 +6,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import cached_property, lru_cache
 from os.path import commonprefix
 
 import numpy as np
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField, StructType
 
 from .language import fold
-from .storage import as_row, save, texts_of
+from .storage import as_row, discard, save, texts_of
 
 # The letters that a sign may stand for in disguised words.
 LEET = {
@@ -40,6 +41,8 @@ _SIGNS = re.escape("".join(LEET)) + r".\-_*~"
 DISGUISED = re.compile(rf"(?:[^\W\d_]|[{_SIGNS}])+")
 APART_LETTERS = re.compile(r"(?<![^\W\d_])[^\W\d_]{1,2}(?:[ .\-_*~,/]{1,2}[^\W\d_]{1,2}){2,}(?![^\W\d_])")
 DOUBLED = re.compile(r"([^\W\d_])\1")
+#: A run without a letter is a candidate if one of its signs is no digit ("@$$", not "2024") and not all are the same.
+NO_DIGITS = re.compile("[" + re.escape("".join(c for c in LEET if not c.isdigit())) + "]")
 #: After so many characters, what all readings share is settled.
 SETTLE = 64
 WORDS = re.compile(r"[^\W\d_]+")
@@ -80,6 +83,11 @@ class CharModel:
         p2 = (c2 + 5 * p1) / (c2.sum(axis=1, keepdims=True) + 5)
         self.log_p = np.log((c3 + 5 * p2) / (c3.sum(axis=2, keepdims=True) + 5)).astype(np.float32)
 
+    @cached_property
+    def flat(self) -> list[float]:
+        """``log_p`` as plain numbers, which single look-ups read faster; made where it is used."""
+        return self.log_p.reshape(-1).tolist()
+
 
 def learn_characters(docs: DataFrame) -> CharModel:
     """Over every text; at most one number for each triple of classes reaches the driver."""
@@ -101,13 +109,14 @@ ENDS = math.log(0.1)
 SPELT = re.compile(r"[^\W\d_]{1,2}(?:[ .\-_*~,/]{1,2}[^\W\d_]{1,2})+")
 
 
-def options(c: str, last: str, spelt: bool) -> list[tuple[str, float]]:
+@lru_cache(maxsize=1 << 16)
+def options(c: str, last: str, spelt: bool) -> tuple[tuple[str, float], ...]:
     """What an observed character may stand for, with its log chance: letters, or nothing."""
     if c.isalpha():
         out = [(c, PLAIN)]
         if c == last:
             out.append(("", REPEATED))
-        return out
+        return tuple(out)
     out = [(letter, AS_SIGN) for letter in LEET.get(c, "")]
     if last and last in LEET.get(c, ""):
         out.append(("", REPEATED))
@@ -115,34 +124,36 @@ def options(c: str, last: str, spelt: bool) -> list[tuple[str, float]]:
         out += [("", APART), (" ", ENDS if spelt else STAYS)]
     if not out or c in LEET:
         out.append((c, STAYS))
-    return out
+    return tuple(out)
 
 
 def restore(span: str, model: CharModel) -> str:
     """Viterbi over the lattice of what each character may stand for: the likeliest original under the character
     model. What all readings share is put aside as it settles, so a long span costs no more a character."""
     settled: list[str] = []
-    log_p, spelt = model.log_p, bool(SPELT.fullmatch(span))
-    beams: dict[tuple[int, int, str], tuple[float, str]] = {(EDGE, EDGE, ""): (0.0, "")}
+    flat, spelt, class_of = model.flat, bool(SPELT.fullmatch(span)), CLASS_OF.get
+    # states are (last two classes as one number, last letter)
+    beams: dict[tuple[int, str], tuple[float, str]] = {(EDGE * CLASSES + EDGE, ""): (0.0, "")}
     for at, c in enumerate(span):
         # the second of two separators is as good a word end as not
         single = spelt and not (at and c in SEPARATORS and span[at - 1] in SEPARATORS)
-        new: dict[tuple[int, int, str], tuple[float, str]] = {}
-        for (a, b, last), (score, text) in beams.items():
+        new: dict[tuple[int, str], tuple[float, str]] = {}
+        for (ab, last), (score, text) in beams.items():
             for letter, chance in options(c, last, single):
                 if not letter:
-                    key, value, out = (a, b, last), score + chance, text
+                    key, value, out = (ab, last), score + chance, text
                 else:
-                    k = EDGE if letter == " " else CLASS_OF.get(letter, OTHER)
-                    key, value, out = (b, k, letter), score + chance + float(log_p[a, b, k]), text + letter
-                if key not in new or new[key][0] < value:
+                    k = EDGE if letter == " " else class_of(letter, OTHER)
+                    key, value, out = (ab % CLASSES * CLASSES + k, letter), score + chance + flat[ab * CLASSES + k], text + letter
+                seen = new.get(key)
+                if seen is None or seen[0] < value:
                     new[key] = (value, out)
         beams = new
         if at % SETTLE == SETTLE - 1:
             done = commonprefix([text for _, text in beams.values()])
             settled.append(done)
             beams = {k: (score, text[len(done) :]) for k, (score, text) in beams.items()}
-    return "".join(settled) + max((score + float(log_p[a, b, EDGE]), text) for (a, b, _), (score, text) in beams.items())[1]
+    return "".join(settled) + max((score + flat[ab * CLASSES + EDGE], text) for (ab, _), (score, text) in beams.items())[1]
 
 
 def disguised(token: str) -> list[str]:
@@ -151,42 +162,48 @@ def disguised(token: str) -> list[str]:
     if not token.isalpha():
         for m in DISGUISED.finditer(token):
             span = m[0].strip(".-_*~")
-            if not span.isalpha() and WORDS.search(span):
+            if not span.isalpha() and (WORDS.search(span) or (len(span) > 2 and len(set(span)) > 1 and NO_DIGITS.search(span))):
                 found.append(span)
     return found + [w for w in WORDS.findall(token) if DOUBLED.search(w)] if DOUBLED.search(token) else found
 
 
 class Restorer(dict):
-    """token -> its words, as written and as restored; each token is decoded once, a bounded number is kept."""
+    """token -> its words, as written and as restored; tokens and short spans are decoded once, a bounded number is kept."""
 
     def __init__(self, model: CharModel, most: int = 300_000):
         self.model, self.most = model, most
         self.spans: dict[str, list[str]] = {}
 
-    def __missing__(self, token: str) -> tuple[str, ...]:
+    def look(self, token: str) -> list[str]:
         found = WORDS.findall(token)
         for span in disguised(token):
-            found += WORDS.findall(restore(span, self.model))
-        out = tuple(dict.fromkeys(found))
+            found += self.restored(span)
+        return found
+
+    def __missing__(self, token: str) -> tuple[str, ...]:
+        out = tuple(dict.fromkeys(self.look(token)))
         if len(self) >= self.most:
             self.clear()
         self[token] = out
         return out
 
     def apart(self, text: str) -> set[str]:
-        """Words restored from letters kept apart in a lower-case text; short spans are remembered, a bounded number."""
+        """Words restored from letters kept apart in a lower-case text."""
         found: set[str] = set()
         for m in APART_LETTERS.finditer(text):
-            words = self.spans.get(m[0])
-            if words is None:
-                words = WORDS.findall(restore(m[0], self.model))
-                if len(m[0]) <= 32:
-                    if len(self.spans) >= 100_000:
-                        self.spans.clear()
-                    self.spans[m[0]] = words
-            found.update(words)
+            found.update(self.restored(m[0]))
         return found
 
+    def restored(self, span: str) -> list[str]:
+        words = self.spans.get(span)
+        if words is None:
+            words = WORDS.findall(restore(span, self.model))
+            if len(span) <= 32:
+                if len(self.spans) >= self.most:
+                    self.spans.clear()
+                self.spans[span] = words
+        return words
+
     def words(self, text: str) -> set[str]:
         """The distinct words of a text as written, and of its disguised parts as restored."""
         text = text.lower()
@@ -262,19 +279,32 @@ class TokenFeatures(dict):
         self.restorer, self.index, self.most = restorer, index, most
 
     def __missing__(self, token: str) -> tuple[int, ...]:
-        found = tuple({self.index[f]: 0 for w in self.restorer.__missing__(token) for f in features(w) if f in self.index})
+        found = tuple({self.index[f]: 0 for w in self.restorer.look(token) for f in features(w) if f in self.index})
         if len(self) >= self.most:
             self.clear()
         self[token] = found
         return found
 
 
+#: What a worker process has decoded, by model: tasks that follow each other there share it.
+_DECODED: dict[int, TokenFeatures] = {}
+
+
+def decoded(model: CharModel, classifier: Classifier) -> TokenFeatures:
+    """The worker's bounded cache for this pair of models; another pair's is dropped."""
+    key = hash((model.log_p.tobytes(), classifier.weights.tobytes(), tuple(classifier.index)))
+    if key not in _DECODED:
+        _DECODED.clear()
+        _DECODED[key] = TokenFeatures(Restorer(model), classifier.index)
+    return _DECODED[key]
+
+
 def score_texts(model: CharModel, classifier: Classifier, names: list[str]) -> Callable:
     """Adds the score to the columns ``names``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = Restorer(model, 1)
-        known = TokenFeatures(restorer, classifier.index)
+        known = decoded(model, classifier)
+        restorer = known.restorer
         for batch in batches:
             out = []
             for text in texts_of(batch):
@@ -308,6 +338,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> tuple[Cha
     chosen = counted.where((F.col("t") >= SUPPORT) & (F.col("t") > 2 * expected)).withColumn("gain", F.col("t") * F.log(F.col("t") / expected)).orderBy(F.desc("gain"), "f").limit(FEATURES)
     index = {r.f: k for k, r in enumerate(chosen.select("f").collect())}
     rows = sample.where(half == 1).mapInArrow(present(model, index), "toxic int, x array<int>").toPandas()
+    discard(sample)
     order = sorted(range(len(rows)), key=lambda k: (rows["toxic"][k], list(rows["x"][k])))  # the same fit whatever the row order
     return model, Classifier.fit(index, [list(rows["x"][k]) for k in order], rows["toxic"].to_numpy(float)[order] if order else np.zeros(0))
 
@@ -317,7 +348,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     ``labels`` (doc_id, toxic) teach the classifier, but for rows whose
     crc32(doc_id) modulo 5 is 0, which are held out; a repeated id counts as toxic
-    if any of its labels does, null labels are ignored. A null or empty text is
+    if any of its labels does, null labels are ignored. At most about ``LABELLED``
+    labelled rows, a random part, fit the classifier; of their features the FEATURES
+    best that stand in SUPPORT toxic texts or more are weighed. The character model
+    counts every text. A null or empty text is
     scored as one without words; repeated rows give a row each; a null doc_id isn't
     held out; without labels all scores are low; an empty table gives an empty
     result; other columns are ignored.
