@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .storage import save
+
 SCALE = 1024
 #: Queries that a pass holds (the bound on what is broadcast), bins of a histogram, rows scored at once.
 BLOCK, BINS, ROWS = 1024, 1024, 2048
@@ -135,8 +137,8 @@ def top_k(embeddings: DataFrame, queries: DataFrame, k: int = 10, scale: int = S
     null or non-finite components and null ids take no part. A vec_id that repeats
     among the queries asks once, with its least vector; repeated candidates count
     as often as they occur. Empty tables give an empty result; other columns are
-    ignored. Queries go in blocks of BLOCK, each held by every task; candidates
-    are never gathered.
+    ignored. Queries go in blocks of BLOCK, each held by every task and written out when it
+    is done; candidates are never gathered.
     """
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     asked = queries.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id is not null and embedding is not null")
@@ -148,7 +150,7 @@ def top_k(embeddings: DataFrame, queries: DataFrame, k: int = 10, scale: int = S
     def flush() -> None:
         if held:
             q = Queries(np.array([r.vec_id for r in held], np.int64), np.floor(scale * np.array([r.embedding for r in held], np.float64).reshape(len(held), held[0].dim)), scale)
-            blocks.append(select_block(rows, q, k))
+            blocks.append(save(select_block(rows, q, k), "topk"))
             held.clear()
 
     for r in asked.orderBy("dim", "vec_id").toLocalIterator():  # a partition of queries at a time
