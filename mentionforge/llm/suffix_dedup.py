@@ -15,7 +15,7 @@ from .repeats import Unit, long_type, repeated_spans, with_spans
 
 WINDOW, GRAM = 400, 64
 #: The pipeline's window: below the shortest passage of over 50 words (271 bytes at scale 0.1).
-STAGE_WINDOW, STAGE_GRAM = WINDOW, GRAM
+STAGE_WINDOW, STAGE_GRAM = 240, 32
 
 
 def names_of(a: np.ndarray, b: np.ndarray, c: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:

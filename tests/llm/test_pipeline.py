@@ -31,6 +31,27 @@ def test_bands_meet_at_four_fifths(n):
     assert missed <= 2
 
 
+def test_suffix_stage_finds_passages_of_little_more_than_fifty_words(spark):
+    """Passages of 51 to 59 words and under 400 bytes, each in two documents, go whole; everything else stays."""
+    r = random.Random(4)
+    prose = lambda n: " ".join("".join(r.choice("abdeghiklmnoprstu") for _ in range(r.randint(2, 7))) for _ in range(n))
+    passages = []
+    while len(passages) < 12:
+        p = " " + prose(r.randint(51, 59)) + " "
+        if 250 <= len(p) < 400:
+            passages.append(p)
+    around = [(prose(r.randint(1, 80)), prose(r.randint(1, 80))) for _ in range(24)]
+    rows = [(k, a + passages[k % 12] + b) for k, (a, b) in enumerate(around)]
+    rows += [(100 + k, prose(r.randint(1, 200))) for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {x.doc_id: x.text for x in corpus_pipeline.suffix_dedup(spark, docs, "").collect()}
+    for k, (a, b) in enumerate(around):
+        # chance may add a letter at either end to what both places share
+        assert len(a) + len(b) - 4 <= len(got[k]) <= len(a) + len(b)
+        assert got[k][: len(a) - 2] == a[:-2] and got[k].endswith(b[2:])
+    assert all(got[100 + k] == rows[24 + k][1] for k in range(20))
+
+
 #: Names that the operators themselves use, or used, and one with a dot.
 CLASHING = ["th", "spans", "span_id", "span_th", "_th", "kept_id", "component_id", "kept", "n", "lang_pred", "score", "Score_", "_toxicity", "_lang", "row", "a.b", "text_"]
 
