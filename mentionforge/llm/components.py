@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import save
+from .storage import discard, save
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -13,7 +13,8 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round hangs every larger neighbour under a node's least neighbour, then
     every smaller one, until nothing moves; rounds grow with the logarithm of the
-    longest path. Links stay distributed, each round's are written out.
+    longest path. Links stay distributed; each round's are written out, and deleted
+    once the next one's are there.
     """
     edges = save(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
     state = None
@@ -25,10 +26,13 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least.hint("merge"), "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
         small = small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct()
-        edges = save(small, "small-star")
+        before, edges = edges, save(small, "small-star")
+        discard(before, large)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break
         state = now
     # every edge now leads from a node to its component
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    out = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    out.saved_at = edges.saved_at
+    return out

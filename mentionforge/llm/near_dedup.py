@@ -5,19 +5,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays as A
 from .components import components
-from .storage import as_row, save
+from .storage import as_row, discard, save
 
 WORDS, PERCENT = 5, 85
 REGISTERS, MANTISSA_BITS = 128, 10
 BANDS, BAND_ROWS = 25, 5
-#: Rows and shingles of one side, about, that a task compares where a bucket still holds several components.
+#: Rows and shingles of a side, about, that a task compares where a bucket still holds several components.
 BLOCK, BLOCK_SHINGLES = 2048, 2_000_000
 EMPTY = 0xFFFF
 
@@ -117,8 +116,12 @@ def zero_counts(n: np.ndarray) -> np.ndarray:
 
 def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
     """Jaccard estimate from equal registers, less the collisions that unrelated sets of these sizes give."""
-    same = (a == b).mean(axis=1)
-    chance = (zero_counts(na) * zero_counts(nb)).sum(axis=1) / (1 << MANTISSA_BITS)
+    return corrected((a == b).mean(axis=1), (zero_counts(na) * zero_counts(nb)).sum(axis=1))
+
+
+def corrected(same: np.ndarray, zeros: np.ndarray) -> np.ndarray:
+    """The share of equal registers less that by chance; zeros: how likely two registers have equal leading zeros."""
+    chance = zeros / (1 << MANTISSA_BITS)
     return np.clip((same - chance) / (1 - chance), 0, 1)
 
 
@@ -139,46 +142,61 @@ def likely(percent: int):
 
 
 def across(percent: int):
-    """Links between the components that meet in one block, one for each pair of components.
-
-    Exact overlaps come from an inverted index of the block's full sets. Every pair
-    across components has a side outside the largest one, so only those rows ask.
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        sets = [np.frombuffer(x, A.U) for x in pdf["set"]]
-        node, n = pdf["node"].to_numpy(), np.array([len(s) for s in sets])
-        comp, size = np.unique(pdf["comp"].to_numpy(), return_inverse=True, return_counts=True)[1:]
-        h, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
-        order = np.argsort(h, kind="stable")
-        row = row[order]
-        new = np.append(True, h[order][1:] != h[order][:-1])
-        first = np.flatnonzero(new)
-        count = np.diff(np.append(first, len(h)))
-        term = np.empty(len(h), np.int64)
-        term[order] = np.cumsum(new) - 1
-        ends = np.cumsum(n)
+    """Links between the components of askers and residents of each block, one for each pair of components: pairs whose
+    corrected estimate is near the threshold are confirmed on their full sets. Rows arrive sorted by block."""
+
+    def linked(rows: list[tuple]) -> list[tuple[int, int]]:
+        rows.sort(key=lambda r: not r[0])  # askers first
+        sets = [np.frombuffer(r[3], A.U) for r in rows]
+        node, comp = ([r[k] for r in rows] for k in (1, 2))
+        first = sum(r[0] for r in rows)
+        reg, n, comps = registers(sets), np.array([len(s) for s in sets]), np.array(comp)
+        zeros = zero_counts(n)
         links: dict[tuple[int, int], tuple[int, int]] = {}
-        for k in np.flatnonzero(comp != size.argmax()):
-            own = term[ends[k] - n[k] : ends[k]]
-            places = np.arange(count[own].sum()) + np.repeat(first[own] - np.cumsum(count[own]) + count[own], count[own])
-            common = np.bincount(row[places], minlength=len(sets))
-            for j in np.flatnonzero((100 * common >= percent * (n[k] + n - common)) & (comp != comp[k])):
-                links[min(comp[k], comp[j]), max(comp[k], comp[j])] = (node[k], node[j])
-        return pd.DataFrame(list(links.values()), columns=["a", "b"], dtype=np.int64)
+        for k in range(first):
+            other = first + np.flatnonzero((comps[first:] != comp[k]) & (100 * np.minimum(n[first:], n[k]) >= percent * np.maximum(n[first:], n[k])))
+            if not len(other):
+                continue
+            likeness = corrected((reg[other] == reg[k]).mean(axis=1), zeros[other] @ zeros[k])
+            for j in other[likeness >= floor(np.full(len(other), n[k]), n[other], percent)].tolist():
+                pair = (min(comp[k], comp[j]), max(comp[k], comp[j]))
+                if pair not in links and enough(sets[k], sets[j], percent):
+                    links[pair] = (node[k], node[j])
+        return list(links.values())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        at = None
+        for batch in batches:
+            found = []
+            columns = [batch.column(c).to_pylist() for c in ("key", "i", "j", "asks", "node", "comp", "set")]
+            for key, i, j, *row in zip(*columns, strict=True):
+                if (key, i, j) != at:
+                    found += linked(held)
+                    held, at = [], (key, i, j)
+                held.append(tuple(row))
+            yield pairs(found)
+        yield pairs(linked(held))
 
     return run
 
 
+def pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*found, strict=True) if found else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def enough(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sets, sorted, share ``percent`` of all their elements."""
+    both = np.sort(np.concatenate((a, b)))
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (len(a) + len(b) - common)
+
+
 def overlap(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for a, b in zip(batch.column("sa"), batch.column("sb"), strict=True):
-                a, b = np.frombuffer(a.as_py(), A.U), np.frombuffer(b.as_py(), A.U)
-                both = np.sort(np.concatenate((a, b)))
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= percent * (len(a) + len(b) - common))
+            keep = [enough(np.frombuffer(a.as_py(), A.U), np.frombuffer(b.as_py(), A.U), percent) for a, b in zip(batch.column("sa"), batch.column("sb"), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -237,19 +255,26 @@ def group_near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PE
     links = verified(with_reg.mapInArrow(likely(percent), "a long, b long"))
     found = components(links)
 
-    # buckets that still hold several components: compare their rows across components
+    # buckets that still hold several components: their rows are compared across components
     placed = live.join(found.hint("merge"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
     placed = save(placed.join(live_nodes.select("node", "n").hint("merge"), "node"), "near-placed")
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("c"), F.sum("n").alias("m")).where("x < y")
-    mixed = mixed.select("key", F.expr(f"cast(greatest(1 + (c - 1) div {BLOCK}, 1 + (m - 1) div {BLOCK_SHINGLES}) as int)").alias("blocks"))
-    left = placed.drop("n").join(mixed.hint("merge"), "key").join(sets.hint("merge"), "node")
-    # a bucket too large for one task meets itself block by block
-    left = left.withColumn("own", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
-    left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    left = left.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "comp", "set")
-    more = save(left.groupBy("key", "i", "j").applyInPandas(across(percent), "a long, b long").distinct(), "near-across")
+    per_comp = placed.groupBy("key", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("m"))
+    mixed = per_comp.groupBy("key").agg(F.count("*").alias("comps"), F.sum("c").alias("c"), F.sum("m").alias("m"), F.max("c").alias("most"), F.max_by("comp", F.struct("c", "comp")).alias("largest")).where("comps > 1")
+    # every pair across components has a side outside the largest one: those rows ask, all others are asked
+    blocks = lambda rows: f"cast(1 + ({rows} - 1) div {BLOCK} as int)"
+    mixed = mixed.select("key", "largest", F.expr(blocks("c - most")).alias("asking"), F.expr(f"greatest({blocks('c')}, cast(1 + (m - 1) div {BLOCK_SHINGLES} as int))").alias("asked"))
+    left = placed.drop("n").join(mixed.hint("merge"), "key")
+    place = lambda parts: F.expr(f"cast(pmod(xxhash64(node), {parts}) as int)")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+    askers = left.where("comp <> largest").withColumn("i", place("asking")).withColumn("j", every("asked")).withColumn("asks", F.lit(True))
+    residents = left.withColumn("i", every("asking")).withColumn("j", place("asked")).withColumn("asks", F.lit(False))
+    met = askers.unionByName(residents).select("key", "i", "j", "asks", "node", "comp").join(sets.hint("merge"), "node")
+    met = met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    more = save(met.mapInArrow(across(percent), "a long, b long").distinct(), "near-across")
     if not more.isEmpty():
-        found = components(links.unionByName(more))
+        first, found = found, components(links.unionByName(more))
+        discard(first)
+    discard(live, live_nodes, sets, stars, links, placed, more)
 
     node_of = nodes.select("s1", "s2", "n", "node").join(found.hint("merge"), "node", "left").select("s1", "s2", "n", F.coalesce("component", "node").alias("component"))
     out = rows.drop("reg").join(node_of.hint("merge"), ["s1", "s2", "n"], "left")
