@@ -5,9 +5,11 @@ from __future__ import annotations
 import codecs
 import hashlib
 import heapq
+import itertools
 import json
 import re
 import unicodedata
+from collections import deque
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -17,10 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 END = "</w>"
-#: Words whose encodings a worker keeps, and the longest such word; a constant bound on memory.
-CACHE_WORDS, CACHE_CHARS = 300_000, 48
-#: Base symbols read at a time beyond the lookahead.
-CHUNK = 1024
+#: Words whose encodings a worker keeps (up to twice as many for a while), and the longest such word; a constant bound on memory.
+CACHE_WORDS, CACHE_CHARS = 250_000, 48
+#: Base symbols read at a time beyond the lookahead, and characters of a text that are worked on at a time.
+CHUNK, SECTION = 1024, 1 << 16
 NEVER = 1 << 60
 
 
@@ -41,14 +43,16 @@ class WordBpe:
         self.special = {t["content"]: t["id"] for t in model["added_tokens"]}
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["model"]["merges"]]
         self.ranks = {m: i for i, m in enumerate(merges)}
-        self.id_texts = {t: str(i) for t, i in self.vocab.items()}
         self.text_of = {i: t for t, i in (self.vocab | self.special).items()}
+        self.bytes_of = {i: t.encode() for i, t in self.text_of.items()}
+        self.decimal = {i: str(i).encode() for i in self.text_of}
         self.symbols = byte_symbols()
         self.byte_of = {s: b for b, s in enumerate(self.symbols)}
         self.lookahead = self.sufficient_lookahead(merges)
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
         self.spaces = re.compile(r"[\t-\r \x85\xa0  -     　]+")
+        self.letter, self.number = regex.compile(r"\p{L}"), regex.compile(r"\p{N}")
         self.controls = re.compile(r"[\x1c-\x1f]")
 
     @staticmethod
@@ -142,35 +146,113 @@ class WordBpe:
             else:
                 held.extend(s for _, s in zip(range(CHUNK), source, strict=False))
 
+    def normal(self, text: str) -> str:
+        """NFC and lower case, letter by letter."""
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        return text.lower()
+
     def words(self, text: str) -> list[str]:
         """Normalised text, split at white space; every piece lies inside one of these words."""
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # letters are lowered one by one
-        text = text.lower()
+        text = self.normal(text)
         if self.controls.search(text):
             return [w for w in self.spaces.split(text) if w]
         return text.split()
 
-    def tokens(self, word: str) -> Iterator[str]:
-        for piece in [word] if word.isascii() and word.isalpha() else self.pieces.findall(word):
-            yield from self.piece(piece)
-
-    def piece(self, piece: str) -> Iterable[str]:
-        if len(piece) > CACHE_CHARS:
-            return self.stream(self.symbols[b] for b in piece.encode())
+    def sections(self, text: str) -> Iterator[str]:
+        """``text`` in parts of about SECTION characters, cut before white space; a longer run without any comes alone."""
+        at = 0
+        while at < len(text):
+            if len(text) - at <= 2 * SECTION:
+                end = len(text)
+            else:
+                gap = self.spaces.search(text, at + SECTION)
+                end = gap.start() if gap else len(text)
+                if end - at > 2 * SECTION:  # what stands before the long run is a part of its own
+                    last = text.rfind(" ", at, at + SECTION)
+                    end = last if last > at else end
+            yield text[at:end]
+            at = end
+
+    def letters(self, text: str) -> Iterator[str]:
+        """The normalised characters of a long text; it is normalised in parts, cut where no characters combine."""
+        at = 0
+        while at < len(text):
+            end = min(len(text), at + SECTION)
+            while end < len(text) and (unicodedata.category(text[end])[0] == "M" or "\u1160" <= text[end] <= "\u11ff"):
+                end += 1
+            yield from self.normal(text[at:end])
+            at = end
+
+    def numbered(self, characters: Iterator[str]) -> Iterator[tuple[int, str]]:
+        """(number of its piece, character) for the characters of a text as they come: what ``pieces`` finds, two characters ahead."""
+        kinds: dict[str, str] = {}
+        kind = lambda c: kinds.get(c) or kinds.setdefault(c, "L" if self.letter.match(c) else "N" if self.number.match(c) else " " if self.spaces.match(c) else "O")
+        ahead = deque(itertools.islice(characters, 3))
+        piece, now, left = 0, "", 0
+        while ahead:
+            c = ahead.popleft()
+            ahead.extend(itertools.islice(characters, 1))
+            if left:  # inside a contraction
+                left -= 1
+            elif (k := kind(c)) == " ":
+                now = ""
+                continue
+            elif k != now or k == "N":
+                piece += 1
+                now = k
+                if c == "'":
+                    two = "".join(itertools.islice(ahead, 2))
+                    left = 2 if two in ("re", "ve", "ll") else 1 if two[:1] in ("s", "t", "m", "d") and two else 0
+                    now = "" if left else now
+            yield piece, c
+
+    def of_word(self, word: str) -> Iterator[int]:
+        """The ids of a normalised word as they become stable."""
+        for piece in self.pieces.findall(word):
+            for t in self.stream(self.symbols[b] for b in piece.encode()):
+                yield self.vocab[t]
+
+    def of_piece(self, piece: str) -> tuple[int, ...]:
+        """The ids of a short piece: one within the lookahead is stable at its end only, so it is read at once."""
         symbols = list(piece) if piece.isascii() and piece.isalpha() else [self.symbols[b] for b in piece.encode()]
         symbols[-1] += END
-        return self.merged(symbols)
+        return tuple([self.vocab[t] for t in self.merged(symbols)])
+
+    def of_long(self, text: str) -> Iterator[int]:
+        """The ids of a text that has long runs without white space, as they become stable; no run is ever held whole."""
+        for _, characters in itertools.groupby(self.numbered(self.letters(text)), key=lambda x: x[0]):
+            for t in self.stream(self.symbols[b] for _, c in characters for b in c.encode()):
+                yield self.vocab[t]
+
+    def parts(self, text: str) -> Iterator[str]:
+        """Special tokens and what stands between them, in order."""
+        at = 0
+        for m in self.split_special.finditer(text):
+            yield text[at : m.start()]
+            yield m[0]
+            at = m.end()
+        yield text[at:] if at else text
+
+    def blocks(self, text: str, kept: Kept) -> Iterator[list[int]]:
+        """The ids of ``text``, some thousands at a time: words of up to CACHE_CHARS by way of ``kept``, longer ones as their tokens become stable."""
+        for part in self.parts(text):
+            if part in self.special:
+                yield [self.special[part]]
+                continue
+            for section in self.sections(part):
+                if len(section) > 2 * SECTION:
+                    yield from batched(self.of_long(section))
+                    continue
+                words = self.words(section)
+                if words and max(map(len, words)) > CACHE_CHARS:
+                    yield from batched(i for w in words for i in (kept[w] if len(w) <= CACHE_CHARS else self.of_word(w)))
+                else:
+                    yield list(itertools.chain.from_iterable(map(kept.__getitem__, words)))
 
     def encode(self, text: str) -> Iterator[int]:
         """The ids of ``text``, one by one."""
-        for part in self.split_special.split(text):
-            if part in self.special:
-                yield self.special[part]
-            else:
-                for word in self.words(part):
-                    for t in self.tokens(word):
-                        yield self.vocab[t]
+        return itertools.chain.from_iterable(self.blocks(text, Kept(self)))
 
     def token_texts(self, ids: Iterable[int]) -> str:
         """The library's rendering without a decoder: token texts joined by a space."""
@@ -190,63 +272,82 @@ class WordBpe:
         yield machine.decode(b"", True)
 
 
+class Renderer:
+    """Ids to the text that the library's decoding gives, as they arrive: tokens, joined by spaces, as bytes that a UTF-8
+    state machine turns into characters."""
+
+    def __init__(self, bpe: WordBpe):
+        self.bytes_of = bpe.bytes_of
+        self.machine = codecs.getincrementaldecoder("utf-8")("strict")
+        self.first = True
+
+    def feed(self, ids: list[int]) -> str:
+        if not ids:
+            return ""
+        data = b" ".join(map(self.bytes_of.__getitem__, ids))
+        data, self.first = data if self.first else b" " + data, False
+        return self.machine.decode(data)
+
+    def end(self) -> str:
+        return self.machine.decode(b"", True)
+
+
+class Kept(dict):
+    """Short word -> its ids; its pieces are kept as words of their own. Of what is there when it is full, the words that come
+    again before it next is stay."""
+
+    def __init__(self, bpe: WordBpe):
+        self.bpe, self.old = bpe, {}
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        ids = self.old.pop(word, None)
+        if ids is None:
+            ids = self.ids(word)
+        if len(self) >= CACHE_WORDS:
+            self.old = dict(self)
+            self.clear()
+        self[word] = ids
+        return ids
+
+    def ids(self, word: str) -> tuple[int, ...]:
+        pieces = [word] if word.isascii() and word.isalpha() else self.bpe.pieces.findall(word)
+        return self.bpe.of_piece(word) if pieces == [word] else tuple(itertools.chain.from_iterable([self[p] for p in pieces]))
+
+
+def batched(ids: Iterable[int]) -> Iterator[list[int]]:
+    ids = iter(ids)
+    while some := list(itertools.islice(ids, 4096)):
+        yield some
+
+
 @lru_cache(maxsize=2)
 def word_bpe(path: str) -> WordBpe:
     return WordBpe(path)
 
 
-class Kept(dict):
-    """word -> its ids and token texts, each joined by spaces; emptied when full."""
-
-    def __init__(self, bpe: WordBpe, texts: dict[str, str]):
-        self.bpe, self.texts = bpe, texts
-
-    def __missing__(self, word: str) -> str:
-        if word.isascii() and word.isalpha():
-            tokens = self.bpe.piece(word)
-            ids, text = " ".join([self.bpe.id_texts[t] for t in tokens]), " ".join(tokens)
-        else:  # its pieces are kept as words of their own
-            pieces = self.bpe.pieces.findall(word)
-            if pieces == [word]:
-                tokens = list(self.bpe.piece(word))
-                ids, text = " ".join([self.bpe.id_texts[t] for t in tokens]), " ".join(tokens)
-            else:
-                ids = " ".join([self[p] for p in pieces])
-                text = " ".join([self.texts[p] for p in pieces])
-        self[word], self.texts[word] = ids, text
-        return ids
+@lru_cache(maxsize=2)
+def kept_words(path: str) -> Kept:
+    """The worker's own cache; tasks that follow each other there share it."""
+    return Kept(word_bpe(path))
+
+
+def digest(bpe: WordBpe, text: str, kept: Kept) -> tuple[int, str, str]:
+    """How many ids ``text`` has, the digest of the ids and that of what they decode to: both are fed as ids become stable."""
+    n, of_ids, of_text, renderer = 0, hashlib.sha256(), hashlib.sha256(), Renderer(bpe)
+    for ids in bpe.blocks(text, kept):
+        if ids:
+            of_ids.update((b" " if n else b"") + b" ".join(map(bpe.decimal.__getitem__, ids)))
+            of_text.update(renderer.feed(ids).encode())
+            n += len(ids)
+    of_text.update(renderer.end().encode())
+    return n, of_ids.hexdigest(), of_text.hexdigest()
 
 
 def digests(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = word_bpe(path)
-        texts: dict[str, str] = {}
-        kept = Kept(bpe, texts)
-
-        def joined(words: list[str]) -> tuple[str, str]:
-            if words and max(map(len, words)) > CACHE_CHARS:
-                rows = [(kept[w], texts[w]) if len(w) <= CACHE_CHARS else long(w) for w in words]
-                return " ".join([a for a, _ in rows if a]), " ".join([b for _, b in rows if b])
-            if len(kept) + len(words) > CACHE_WORDS:  # before, not between, the two look-ups
-                kept.clear()
-                texts.clear()
-            return " ".join(map(kept.__getitem__, words)), " ".join(map(texts.__getitem__, words))
-
-        def long(word: str) -> tuple[str, str]:
-            tokens = list(bpe.tokens(word))
-            return " ".join([str(bpe.vocab[t]) for t in tokens]), " ".join(tokens)
-
+        bpe, kept = word_bpe(path), kept_words(path)
         for batch in batches:
-            rows = []
-            for text in batch.column("text"):
-                text = text.as_py()
-                if "<|" in text and bpe.split_special.search(text):
-                    pairs = [(str(bpe.special[p]), p) if p in bpe.special else joined(bpe.words(p)) for p in bpe.split_special.split(text)]
-                    ids, decoded = (" ".join(x for x in side if x) for side in zip(*pairs, strict=True))
-                else:
-                    ids, decoded = joined(bpe.words(text))
-                rows.append((ids.count(" ") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
-            n, a, b = list(zip(*rows, strict=True)) or [()] * 3
+            n, a, b = list(zip(*[digest(bpe, text.as_py(), kept) for text in batch.column("text")], strict=True)) or [()] * 3
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
@@ -256,9 +357,11 @@ def bpe_digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for each row of ``docs`` (doc_id, text).
 
     Ids are those of the vocabulary file at ``path`` without added tokens, and
-    decoding renders them as that file does. A null or empty text has no ids (the
-    digest of nothing); repeated rows give a row each; an empty table gives an
-    empty result; other columns are ignored.
+    decoding renders them as that file does. Ids go into their digest and through the
+    decoder as they become stable, so a task holds a text, some thousand ids and a
+    bounded cache of short words' ids. A null or empty text has no ids (the digest of
+    nothing); repeated rows give a row each; an empty table gives an empty result;
+    other columns are ignored.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(digests(path), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
