@@ -33,18 +33,49 @@ NOTICES = {
     "the unlicense": "unlicense",
     "boost software license": "bsl-1.0",
     "eclipse public license": "epl",
+    "academic free license": "afl",
+    "artistic license": "artistic",
+    "bsd 2 clause": "bsd",
+    "bsd 3 clause": "bsd",
+    "business source license": "busl",
+    "common development and distribution license": "cddl",
+    "creative commons attribution noncommercial": "cc-by-nc",
+    "creative commons attribution non commercial": "cc-by-nc",
+    "creative commons attribution noderivatives": "cc-by-nd",
+    "creative commons attribution sharealike": "cc-by-sa",
+    "creative commons attribution share alike": "cc-by-sa",
+    "creative commons zero": "cc0",
+    "european union public licence": "eupl",
+    "gnu free documentation license": "gfdl",
+    "gnu gpl": "gpl",
+    "gnu lgpl": "lgpl",
+    "microsoft public license": "ms-pl",
+    "open database license": "odbl",
+    "open software license": "osl",
+    "python software foundation license": "psf",
+    "server side public license": "sspl",
+    "sil open font license": "ofl",
+    "the software is provided as is without warranty of any kind": "mit",
+    "university of illinois ncsa open source license": "ncsa",
+    "zlib license": "zlib",
+    "no rights reserved": "cc0",
+    "some rights reserved": "cc-by",
+    "confidential and proprietary": "proprietary",
+    "proprietary and confidential": "proprietary",
+    "unauthorized copying": "proprietary",
 }
 TAG = "spdx license identifier"
 # How freely a work may be used under a licence, by the start of its identifier.
 FREEDOM = {
-    "agpl": 0.2, "apache": 1.0, "bsd": 1.0, "bsl": 1.0, "cc-by-nc": 0.2, "cc-by-nd": 0.2, "cc-by-sa": 0.5, "cc-by": 0.9, "cc0": 1.0, "epl": 0.6,
-    "gpl": 0.3, "isc": 1.0, "lgpl": 0.5, "mit": 1.0, "mpl": 0.6, "public-domain": 1.0, "reserved": 0.0, "unlicense": 1.0,
+    "afl": 0.9, "agpl": 0.2, "apache": 1.0, "artistic": 0.7, "bsd": 1.0, "bsl": 1.0, "busl": 0.1, "cddl": 0.6, "cc-by-nc": 0.2, "cc-by-nd": 0.2, "cc-by-sa": 0.5, "cc-by": 0.9, "cc0": 1.0, "epl": 0.6,
+    "eupl": 0.5, "gfdl": 0.3, "gpl": 0.3, "isc": 1.0, "lgpl": 0.5, "mit": 1.0, "mpl": 0.6, "ms-pl": 0.8, "ncsa": 1.0, "odbl": 0.5, "ofl": 0.8, "osl": 0.4,
+    "proprietary": 0.0, "psf": 1.0, "public-domain": 1.0, "reserved": 0.0, "sspl": 0.2, "unlicense": 1.0, "zlib": 1.0,
 }
 UNKNOWN_FREEDOM = 0.4
 #: Every byte that isn't part of a word becomes a space; A-Z become a-z.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-TAG_TEXT = re.compile(r"spdx[^a-z0-9\x80-\U0010ffff]+license[^a-z0-9\x80-\U0010ffff]+identifier[ \t]*:?[ \t]*([^\n\r]*)", re.IGNORECASE)
-TOKEN = re.compile(r"\(|\)|[A-Za-z0-9][A-Za-z0-9.+:-]*")
+TAGGED = re.compile(r"spdx[^a-z0-9\x80-\U0010ffff]+license[^a-z0-9\x80-\U0010ffff]+identifier[ \t]*:?", re.IGNORECASE)
+TOKEN = re.compile(r"[()\n]|[A-Za-z0-9][A-Za-z0-9.+:-]*")
 OPERATORS = {"or": 1, "and": 2, "with": 3}
 
 
@@ -52,18 +83,23 @@ def freedom(licence: str) -> float:
     return next((FREEDOM[k] for k in sorted(FREEDOM, key=len, reverse=True) if licence.startswith(k)), UNKNOWN_FREEDOM)
 
 
-def postfix(expression: str) -> list[str]:
-    """Shunting-yard: the longest well-formed start of ``expression``, operands and operators in postfix order.
+def postfix(text: str, at: int = 0) -> list[str]:
+    """Shunting-yard: the longest well-formed expression that starts at ``at``, operands and operators in postfix order.
 
-    Reading stops where two operands meet without an operator, so prose that
-    follows a tag on its line is left alone; a dangling operator is dropped.
+    Reading stops at the end of the line, unless a bracket is open, and where two
+    operands meet without an operator, so prose that follows a tag is left alone; a
+    dangling operator is dropped.
     """
     out: list[str] = []
     stack: list[str] = []
     want_operand = True
-    for token in TOKEN.findall(expression):
+    for m in TOKEN.finditer(text, at):
+        token = m[0]
         word = token.lower().rstrip(".:")
-        if token == "(":
+        if token == "\n":
+            if "(" not in stack:
+                break
+        elif token == "(":
             if not want_operand:
                 break
             stack.append(token)
@@ -90,12 +126,12 @@ def postfix(expression: str) -> list[str]:
     return out + [s for s in reversed(stack) if s != "("]
 
 
-def evaluate(expression: str) -> tuple[set[str], float | None]:
-    """The licences that ``expression`` names and its freedom: ``or`` takes the better side,
+def evaluate(expression: list[str]) -> tuple[set[str], float | None]:
+    """The licences that an expression in postfix order names and its freedom: ``or`` takes the better side,
     ``and`` the worse, ``with`` eases its licence by an exception."""
     names: set[str] = set()
     stack: list[tuple[str, float]] = []
-    for token in postfix(expression):
+    for token in expression:
         if token not in OPERATORS:
             stack.append((token, freedom(token)))
         elif len(stack) > 1:
@@ -132,12 +168,14 @@ def scan(text: bytes, machine: ahocorasick.Automaton) -> tuple:
     labels = {BASE[p] for _, p in base}
     free, expressions = None, []
     if tagged:
-        for m in TAG_TEXT.finditer(text.decode("utf-8", "replace")):
-            names, value = evaluate(m[1])
+        raw = text.decode("utf-8", "replace")
+        for m in TAGGED.finditer(raw):
+            expression = postfix(raw, m.end())
+            names, value = evaluate(expression)
             if value is not None:
                 more |= names
                 free = value if free is None else min(free, value)
-                expressions.append(" ".join(postfix(m[1])))
+                expressions.append(" ".join(expression))
     first = last = None
     if base:
         padded = f" {joined.decode('utf-8', 'replace')} "

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import public_tokenizers
 import pytest
@@ -50,6 +51,32 @@ def test_stream_needs_no_more_than_its_lookahead(monkeypatch, library):
         assert list(b.encode(t)) == library.encode(t, add_special_tokens=False).ids
 
 
+def test_runs_without_space_are_encoded_in_parts(monkeypatch, library):
+    """Sections of a few characters: cuts fall beside marks, contractions, numbers, specials and spaces of all kinds."""
+    monkeypatch.setattr(bpe, "SECTION", 4)
+    b = WordBpe(WORD_BPE)
+    for t in noise(5, 300, "ab'srveldtmΣéİ12!\u0301\u0327\u1161\u1100각日\u00a0\x1c \t", 90) + ["<|endoftext|>" + "x'll" * 30, "the 'd've house " * 9]:
+        want = library.encode(t, add_special_tokens=False).ids
+        assert list(b.encode(t)) == want, t
+        n, of_ids, of_text = bpe.digest(b, t, bpe.Kept(b))
+        assert n == len(want) and of_ids == hashlib.sha256(" ".join(map(str, want)).encode()).hexdigest()
+        assert of_text == hashlib.sha256(library.decode(want, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_memory_does_not_grow_with_a_word(monkeypatch):
+    """One word of three times the length takes no more memory beside the text itself."""
+    monkeypatch.setattr(bpe, "SECTION", 2048)
+    b = WordBpe(WORD_BPE)
+    peaks = []
+    for n in (60_000, 180_000):
+        text = ("thean" * n)[:n]
+        tracemalloc.start()
+        bpe.digest(b, text, bpe.Kept(b))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 1.2 * peaks[0]
+
+
 def test_lookahead_by_brute_force():
     """With a small list, cutting the text anywhere leaves all tokens beyond the lookahead alone."""
     r = random.Random(4)
@@ -105,8 +132,9 @@ def test_license_base_matches_brute_force(spark):
 def test_license_expressions(spark):
     assert postfix("MIT OR GPL-2.0-only AND (BSD-3-Clause OR ISC)") == ["mit", "gpl-2.0-only", "bsd-3-clause", "isc", "or", "and", "or"]
     assert postfix("MIT and") == ["mit"] and postfix("") == [] and postfix(") or") == []
-    assert evaluate("GPL-2.0-only WITH Classpath-exception-2.0") == ({"gpl-2.0-only"}, 0.4)
-    assert evaluate("(MIT OR GPL-3.0) AND MPL-2.0") == ({"mit", "gpl-3.0", "mpl-2.0"}, 0.6)
-    text = "# SPDX-License-Identifier: (MIT OR Apache-2.0)\nLicensed under the GNU General Public License."
+    assert postfix("(MIT OR\n * ISC) AND\nZlib") == ["mit", "isc", "or"] and postfix("MIT\nOR ISC") == ["mit"]
+    assert evaluate(postfix("GPL-2.0-only WITH Classpath-exception-2.0")) == ({"gpl-2.0-only"}, 0.4)
+    assert evaluate(postfix("(MIT OR GPL-3.0) AND MPL-2.0")) == ({"mit", "gpl-3.0", "mpl-2.0"}, 0.6)
+    text = "# SPDX-License-Identifier: (MIT OR\n#   Apache-2.0)\nLicensed under the GNU General Public License."
     row = scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert row.labels == "apache-2.0,gpl,mit" and row.base_labels == "gpl" and row.expressions == "mit apache-2.0 or" and row.freedom == 1.0
