@@ -18,8 +18,8 @@ from .storage import as_row, texts_of
 
 #: Starts each word, as the vocabulary has it.
 MARK = "▁"
-#: Letters of a stretch; a longer word is scored as several, so memory stays bounded.
-STRETCH = 32
+#: Places of a word whose pieces are looked up at a time, and after how many places the sums are scaled up again.
+BLOCK, RESCALE = 4096, 32
 #: Added to every piece count, and the least chance of a character outside the vocabulary.
 SMOOTHING, LEAST = 0.1, 1e-7
 UNDETERMINED = "und"
@@ -87,55 +87,86 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-def forward(lattice: list[np.ndarray], p: np.ndarray) -> np.ndarray:
-    """Per word and place the chance of all segmentations of the part before it; p: piece by language, a last row of zeros."""
-    m, n = lattice[0].shape
-    alpha = np.zeros((n + 1, m, p.shape[1]))
-    alpha[0] = 1
-    for i in range(1, n + 1):
-        for size in range(1, min(i, len(lattice)) + 1):
-            alpha[i] += alpha[i - size] * p[lattice[size - 1][:, i - size]]
-    return alpha
+def lattices(vocabulary: Pieces, codes: np.ndarray, backwards: bool = False) -> Iterator[tuple[int, int, list[np.ndarray]]]:
+    """The lattice of words of one length, for BLOCK starts at a time: (first start, end of the starts, lattice)."""
+    n = codes.shape[1]
+    for lo in range(0, n, BLOCK)[:: -1 if backwards else 1]:
+        hi = min(n, lo + BLOCK)
+        found = vocabulary.lattice(codes[:, lo : min(n, hi + vocabulary.longest - 1)])
+        yield lo, hi, [f[:, : hi - lo] for f in found]
+
+
+def forward(vocabulary: Pieces, codes: np.ndarray, p: np.ndarray, seen: Callable | None = None) -> np.ndarray:
+    """Per word (row of codes) and language the log chance of all segmentations together; p: piece by language, a last
+    row of zeros. Holds the sums of the places that the longest piece spans, scaled up as they shrink, whatever the
+    length of the words. ``seen(place, sums, logs)`` is told each place's sum."""
+    m, n = codes.shape
+    size = vocabulary.longest + 1
+    ring, logs = np.zeros((size, m, p.shape[1])), np.zeros((m, p.shape[1]))
+    ring[0] = 1
+    for lo, hi, lattice in lattices(vocabulary, codes):
+        for s in range(lo, hi):
+            if s and s % RESCALE == 0:
+                most = ring.max(axis=0)
+                ring /= most
+                logs += np.log(most)
+            own = ring[s % size]
+            if seen:
+                seen(s, own, logs)
+            for k, found in enumerate(lattice, 1):
+                if s - lo < found.shape[1]:
+                    ring[(s + k) % size] += own * p[found[:, s - lo]]
+            own[:] = 0
+    return np.log(ring[n % size]) + logs
+
+
+def expected(vocabulary: Pieces, codes: np.ndarray, p: np.ndarray, weight: np.ndarray, total: np.ndarray) -> None:
+    """Adds to ``total`` (piece by language) how often each piece stands in a segmentation, by its chance;
+    weight: word by language. p is one language's. Holds four numbers a letter."""
+    m, n = codes.shape
+    alpha, alpha_log, beta, beta_log = (np.zeros((n + 1, m)) for _ in range(4))
 
+    def seen(s: int, sums: np.ndarray, logs: np.ndarray) -> None:
+        alpha[s], alpha_log[s] = sums[:, 0], logs[:, 0]
 
-def expected(lattice: list[np.ndarray], p: np.ndarray, weight: np.ndarray, total: np.ndarray) -> None:
-    """Adds to ``total`` (piece by language) how often each piece stands in a segmentation, by its chance;
-    weight: word by language. p is one language's."""
-    m, n = lattice[0].shape
-    alpha = forward(lattice, p)[:, :, 0]
-    beta = np.zeros((n + 1, m))
+    whole = forward(vocabulary, codes, p, seen)[:, 0]
     beta[n] = 1
-    for i in range(n - 1, -1, -1):
-        for size in range(1, min(n - i, len(lattice)) + 1):
-            beta[i] += beta[i + size] * p[lattice[size - 1][:, i], 0]
-    for i in range(n):
-        for size in range(1, min(n - i, len(lattice)) + 1):
-            piece = lattice[size - 1][:, i]
-            at = np.flatnonzero(piece >= 0)
-            if len(at):
-                share = alpha[i, at] * p[piece[at], 0] * beta[i + size, at] / alpha[n, at]
-                for g in range(weight.shape[1]):
-                    total[:, g] += np.bincount(piece[at], share * weight[at, g], len(total))
-
-
-def stretches(text: str) -> list[str]:
-    """The marked lower-case words of a text; longer ones in stretches."""
-    out = []
-    for w in LETTERS.findall(text.lower()):
-        w = MARK + w
-        out += [w] if len(w) <= STRETCH else [w[k : k + STRETCH] for k in range(0, len(w), STRETCH)]
-    return out
-
-
-def by_length(words: list[str], at_once: int = 1 << 15) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(indices, code matrix) for words of one length at a time."""
+    for lo, hi, lattice in lattices(vocabulary, codes, backwards=True):
+        for s in range(hi - 1, lo - 1, -1):
+            base = beta_log[s + 1]
+            for k, found in enumerate(lattice, 1):
+                if s - lo < found.shape[1]:
+                    beta[s] += p[found[:, s - lo], 0] * (beta[s + k] if n <= RESCALE else beta[s + k] * np.exp(beta_log[s + k] - base))
+            beta_log[s] = base
+            if s % RESCALE == 0 and n > RESCALE:
+                beta_log[s] += np.log(beta[s])
+                beta[s] = 1
+        for k, found in enumerate(lattice, 1):
+            start = np.arange(lo, lo + found.shape[1])
+            with np.errstate(divide="ignore"):  # places that no segmentation reaches
+                share = np.log(alpha[start]) + alpha_log[start] + np.log(beta[start + k]) + beta_log[start + k]
+            share = np.exp(share - whole) * p[found.T, 0]
+            at = np.flatnonzero(found.T >= 0)
+            piece, share, word = found.T.reshape(-1)[at], share.reshape(-1)[at], at % m
+            for g in range(weight.shape[1]):
+                total[:, g] += np.bincount(piece, share * weight[word, g], len(total))
+
+
+def marked_words(text: str) -> list[str]:
+    """The marked lower-case words of a text."""
+    return [MARK + w for w in LETTERS.findall(text.lower())]
+
+
+def by_length(words: list[str], at_once: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(indices, code matrix) for words of one length at a time, about ``at_once`` letters."""
     sizes = np.array([len(w) for w in words])
     codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.uint64)
     begin = np.cumsum(sizes) - sizes
     for n in np.unique(sizes):
         rows = np.flatnonzero(sizes == n)
-        for k in range(0, len(rows), at_once):
-            part = rows[k : k + at_once]
+        many = max(1, min(1 << 15, at_once // int(n)))
+        for k in range(0, len(rows), many):
+            part = rows[k : k + many]
             yield part, codes[begin[part][:, None] + np.arange(n)]
 
 
@@ -145,7 +176,7 @@ def numbered(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
     codes: list[int] = []
     counts = np.zeros(len(texts), np.int64)
     for k, t in enumerate(texts):
-        words = stretches(t)
+        words = marked_words(t)
         counts[k] = len(words)
         codes += [known.setdefault(w, len(known)) for w in words]
     return list(known), np.array(codes, np.int64), counts
@@ -170,7 +201,7 @@ def count_pieces(path: str) -> Callable:
                 weight = np.bincount(codes * len(langs) + np.repeat(which, counts), minlength=len(words) * len(langs)).reshape(len(words), len(langs))
                 total = np.zeros((vocabulary.unknown + 1, len(langs)))
                 for rows, matrix in by_length(words):
-                    expected(vocabulary.lattice(matrix), p, weight[rows], total)
+                    expected(vocabulary, matrix, p, weight[rows], total)
                 for g, lang in enumerate(langs):
                     totals[lang] = totals.get(lang, 0) + total[:, g]
         for lang, total in totals.items():
@@ -193,7 +224,7 @@ def classify(path: str, langs: list[str], p: np.ndarray, names: list[str]) -> Ca
                 score = np.zeros((len(words), len(langs)))
                 if words and langs:
                     for rows, matrix in by_length(words):
-                        score[rows] = np.log(forward(vocabulary.lattice(matrix), table)[-1])
+                        score[rows] = forward(vocabulary, matrix, table)
                 total = np.zeros((part.num_rows, len(langs)))
                 full = np.flatnonzero(counts)
                 if len(full) and langs:
@@ -234,7 +265,8 @@ def identify_languages(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, held_out, lang_pred, score for each row of ``docs`` (doc_id, text, lang).
 
     Piece probabilities are learned per language from rows with text and lang whose
-    crc32(doc_id) modulo 3 isn't 1 (those are held out). lang_pred is ``und`` with
+    crc32(doc_id) modulo 3 isn't 1 (those are held out); a word is scored whole,
+    whatever its length, over all its segmentations. lang_pred is ``und`` with
     score 0 if the text is null, has no letter, or nothing could be learned; ties
     go to the first language in order. Repeated rows are counted and answered each;
     a null doc_id isn't held out, an empty table gives an empty result, and other

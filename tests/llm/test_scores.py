@@ -42,15 +42,47 @@ def test_forward_sums_all_segmentations():
 
     for word in ("▁house", "▁größe", "▁日本", "▁the", "▁stritch"):
         codes = np.array([[ord(c) for c in word]], np.uint64)
-        lattice = v.lattice(codes)
-        assert np.allclose(forward(lattice, p)[-1][0], brute(word))
+        assert np.allclose(np.exp(forward(v, codes, p))[0], brute(word))
         one = np.zeros((v.unknown + 1, 1))
-        language.expected(lattice, p[:, :1], np.ones((1, 1)), one)
+        language.expected(v, codes, p[:, :1], np.ones((1, 1)), one)
         # every segmentation covers the word once
         lengths = np.array([len(t) for t in v.texts] + [1])
         assert np.isclose((one[:, 0] * lengths).sum(), len(word))
 
 
+@pytest.mark.parametrize("n", [31, 32, 33, 70, 900])
+def test_long_words_are_summed_whole(monkeypatch, n):
+    """Words beyond the rescaling and the block, against plain sums over places in logarithms."""
+    monkeypatch.setattr(language, "BLOCK", 64)
+    v = Pieces(PIECES)
+    r = np.random.default_rng(n)
+    p = np.vstack([r.random((v.unknown + 1, 2)) * 10.0 ** -r.integers(1, 7, (v.unknown + 1, 1)), np.zeros((1, 2))])
+    index = {t: k for k, t in enumerate(v.texts)}
+    letters = random.Random(n)
+    words = ["▁" + "".join(letters.choice("thewaterhousestraßegröße日本人語") for _ in range(n - 1)) for _ in range(3)]
+    codes = np.array([[ord(c) for c in w] for w in words], np.uint64)
+    got, one = forward(v, codes, p), np.zeros((v.unknown + 1, 2))
+    weight = np.array([[1.0, 0], [2, 0], [0, 3]])
+    language.expected(v, codes, p[:, :1], weight, one)
+    want = np.zeros_like(one)
+    for w, word in enumerate(words):
+        pieces = [[(k, i) for k in range(1, min(v.longest, n - s) + 1) if (i := index.get(word[s : s + k], v.unknown if k == 1 else None)) is not None] for s in range(n)]
+        for g in range(2):
+            a, b = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
+            a[0] = b[n] = 0
+            for s in range(n):
+                for k, i in pieces[s]:
+                    a[s + k] = np.logaddexp(a[s + k], a[s] + np.log(p[i, g]))
+            assert np.isclose(got[w, g], a[n])
+            if g == 0:
+                for s in range(n - 1, -1, -1):
+                    b[s] = np.logaddexp.reduce([b[s + k] + np.log(p[i, 0]) for k, i in pieces[s]])
+                for s in range(n):
+                    for k, i in pieces[s]:
+                        want[i] += weight[w] * np.exp(a[s] + np.log(p[i, 0]) + b[s + k] - a[n])
+    assert np.allclose(one, want)
+
+
 def test_language_of_held_out_rows(spark):
     r = random.Random(1)
     rows = [(i, text_in(r, lang := r.choice(["en", "de"]), r.randint(3, 60)), lang) for i in range(300)]
@@ -79,7 +111,7 @@ def model():
     return CharModel(counts)
 
 
-@pytest.mark.parametrize("seen,word", [("1d10t", "idiot"), ("s.t.u.p.i.d", "stupid"), ("l o s e r", "loser"), ("stuuupid", "stupid"), ("$tup1d", "stupid"), ("l0ser", "loser")])
+@pytest.mark.parametrize("seen,word", [("1d10t", "idiot"), ("s.t.u.p.i.d", "stupid"), ("l o s e r", "loser"), ("stuuupid", "stupid"), ("$tup1d", "stupid"), ("l0ser", "loser"), ("$7up!d", "stupid")])
 def test_disguises_are_undone(model, seen, word):
     assert seen in disguised(seen) + [m[0] for m in toxicity.APART_LETTERS.finditer(f"the {seen} there")]
     assert restore(seen, model) == word
@@ -105,6 +137,12 @@ def prose_model():
         ("st up id", "stupid"),
         ("asshol3", "asshole"),
         ("a$$", "ass"),
+        ("a55", "ass"),
+        ("@$$", "ass"),
+        ("@$$h0le", "asshole"),
+        ("8!7(h", "bitch"),
+        ("1d!07", "idiot"),
+        ("!d!07", "idiot"),
         ("idi07", "idiot"),
         ("8itch", "bitch"),
         ("iddiot", "idiot"),
