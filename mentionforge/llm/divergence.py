@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
@@ -18,21 +19,21 @@ from .storage import save
 
 MIN_DOCS, SMOOTHING, UNIT, TOP = 30, 5, 1_000_000_000, 50
 #: A block of documents: at most so many documents (two bytes tell them apart) and bytes, one longer document alone.
-BLOCK_DOCS, BLOCK_BYTES = 2000, 4 << 20
+BLOCK_DOCS, BLOCK_BYTES = 8000, 16 << 20
 #: Counts that a task holds before it passes them on; numbers of a matrix; rows of (source, term) that are compared in one task; sources compared at once.
 HELD, CELLS, BUCKET, SOURCES = 2_000_000, 4_000_000, 50_000, 256
 #: Letters A-Z, a-z and everything beyond ASCII.
 TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-CHUNKS = pa.schema([("block", pa.int64()), ("chunk", pa.binary()), ("postings", pa.binary()), ("langs", pa.list_(pa.string())), ("sources", pa.list_(pa.string()))])
-TERMS = pa.schema([("block", pa.int64()), ("terms", pa.list_(pa.binary())), ("postings", pa.binary()), ("langs", pa.list_(pa.string())), ("sources", pa.list_(pa.string()))])
+CHUNKS = pa.schema([("block", pa.int64()), ("chunk", pa.binary()), ("header", pa.bool_()), ("data", pa.binary())])
+TERMS = pa.schema([("block", pa.int64()), ("terms", pa.binary()), ("data", pa.binary())])
 POSTING = np.dtype([("doc", "<u2"), ("n", "<u2")])
 
 
 def chunk_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks of documents as rows: each different white-space chunk of a block with its postings, which tell the documents
-    of the block that hold it and how often. One row of a block has its documents' lang and source in place of postings;
-    its chunk is the block's number, so that such rows spread."""
+    of the block that hold it and how often. One row of a block, its header, has its documents' langs and sources as JSON in
+    place of postings; its chunk is the block's number, so that headers spread."""
     blocks, part = count(), TaskContext.get().partitionId() << 32
     index: dict[bytes, int] = defaultdict(count().__next__)
     ids, docs, counts, langs, sources, size = [], [], [], [], [], 0
@@ -55,9 +56,8 @@ def chunk_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)] if chunks else []
         for lo in range(0, len(chunks), 10_000):
             some = chunks[lo : lo + 10_000]
-            nothing = pa.nulls(len(some), pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), block)), pa.array(some, pa.binary()), pa.array(rows[lo : lo + 10_000], pa.binary()), nothing, nothing], schema=CHUNKS)
-        yield pa.RecordBatch.from_pylist([{"block": block, "chunk": str(block).encode(), "postings": None, "langs": list(langs), "sources": list(sources)}], schema=CHUNKS)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), block)), pa.array(some, pa.binary()), pa.array(np.zeros(len(some), bool)), pa.array(rows[lo : lo + 10_000], pa.binary())], schema=CHUNKS)
+        yield pa.RecordBatch.from_pylist([{"block": block, "chunk": str(block).encode(), "header": True, "data": json.dumps([langs, sources]).encode()}], schema=CHUNKS)
         index = defaultdict(count().__next__)
         size = 0
         for held in (ids, docs, counts, langs, sources):
@@ -80,23 +80,23 @@ def chunk_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Terms in place of chunks, from rows in the chunks' order: a chunk's rows stand together, so each is cut up once.
-    Chunks without terms go."""
-    last, terms = None, []
+    """Terms, joined by blanks, in place of chunks, from rows in the chunks' order: a chunk's rows stand together, so each
+    is cut up once. Chunks without terms go; a header has null terms."""
+    last, terms = None, b""
     for batch in batches:
         found, keep = [], []
-        for i, (chunk, header) in enumerate(zip(batch.column("chunk").to_pylist(), batch.column("postings").is_null().to_pylist(), strict=True)):
+        for i, (chunk, header) in enumerate(zip(batch.column("chunk").to_pylist(), batch.column("header").to_pylist(), strict=True)):
             if header:
                 keep.append(i)
-                found.append([])
+                found.append(None)
                 continue
             if chunk != last:
-                last, terms = chunk, TERM.findall(chunk.translate(LOWER))
+                last, terms = chunk, b" ".join(TERM.findall(chunk.translate(LOWER)))
             if terms:
                 keep.append(i)
                 found.append(terms)
-        rows = batch.take(pa.array(keep, pa.int64()))
-        yield pa.RecordBatch.from_arrays([rows.column("block"), pa.array(found, pa.list_(pa.binary())), *(rows.column(c) for c in ("postings", "langs", "sources"))], schema=TERMS)
+        at = pa.array(keep, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("block").take(at), pa.array(found, pa.binary()), batch.column("data").take(at)], schema=TERMS)
 
 
 def groups_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -145,15 +145,12 @@ def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([langs.take(group), sources.take(group), words.take(pa.array(key[some] >> 32)), pa.array(n[some]), pa.array(docs[some])], names=["lang", "source", "term", "n", "docs"])
 
     for table in groups_of(batches, ["block"]):
-        header = table.filter(table["postings"].is_null()).to_pylist()[0]
-        group = np.array([groups.setdefault(g, len(groups)) for g in zip(header["langs"], header["sources"], strict=True)], np.int64)
-        rows = table.filter(table["postings"].is_valid())
-        column = rows["terms"].combine_chunks()
-        flat = column.flatten().dictionary_encode()
-        own = np.array([terms.setdefault(t, len(terms)) for t in flat.dictionary.to_pylist()], np.int64)
-        term = own[np.asarray(flat.indices)] if len(flat) else np.zeros(0, np.int64)
-        per_row = np.diff(np.asarray(column.offsets)) if len(column) else np.zeros(0, np.int64)
-        data = rows["postings"].to_pylist()
+        langs, sources = json.loads(table.filter(table["terms"].is_null())["data"][0].as_py())
+        group = np.array([groups.setdefault(g, len(groups)) for g in zip(langs, sources, strict=True)], np.int64)
+        rows = table.filter(table["terms"].is_valid())
+        cut, data = [x.split() for x in rows["terms"].to_pylist()], rows["data"].to_pylist()
+        per_row = np.array([len(x) for x in cut], np.int64)
+        term = np.fromiter((terms.setdefault(t, len(terms)) for x in cut for t in x), np.int64, per_row.sum())
         many = np.array([len(x) for x in data], np.int64) // POSTING.itemsize
         postings = np.frombuffer(b"".join(data), POSTING)
         # each term of a row meets each posting of it
@@ -178,9 +175,8 @@ def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """lang, source, term, n, docs: every term's occurrences and documents in each (lang, source)."""
-    some = lambda f: ", ".join(f"{x.name} {'long' if x.type == pa.int64() else 'array<' + ('binary' if x.type.value_type == pa.binary() else 'string') + '>' if pa.types.is_list(x.type) else 'binary'}" for x in f)
-    chunks = docs.mapInArrow(chunk_counts, some(CHUNKS))
-    cut = chunks.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(tokenise, some(TERMS))
+    chunks = docs.mapInArrow(chunk_counts, "block long, chunk binary, header boolean, data binary")
+    cut = chunks.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(tokenise, "block long, terms binary, data binary")
     counted = cut.repartition("block").sortWithinPartitions("block").mapInArrow(count_terms, "lang string, source string, term string, n long, docs long")
     return counted.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
