@@ -19,21 +19,22 @@ from .storage import save
 
 MIN_DOCS, SMOOTHING, UNIT, TOP = 30, 5, 1_000_000_000, 50
 #: A block of documents: at most so many documents (two bytes tell them apart) and bytes, one longer document alone.
-BLOCK_DOCS, BLOCK_BYTES = 8000, 16 << 20
+BLOCK_DOCS, BLOCK_BYTES = 32_768, 32 << 20
 #: Counts that a task holds before it passes them on; numbers of a matrix; rows of (source, term) that are compared in one task; sources compared at once.
-HELD, CELLS, BUCKET, SOURCES = 2_000_000, 4_000_000, 50_000, 256
+HELD, CELLS, BUCKET, SOURCES = 1_000_000, 4_000_000, 50_000, 256
 #: Letters A-Z, a-z and everything beyond ASCII.
 TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-CHUNKS = pa.schema([("block", pa.int64()), ("chunk", pa.binary()), ("header", pa.bool_()), ("data", pa.binary())])
+CHUNKS = pa.schema([("block", pa.int64()), ("chunk", pa.binary()), ("data", pa.binary())])
 TERMS = pa.schema([("block", pa.int64()), ("terms", pa.binary()), ("data", pa.binary())])
-POSTING = np.dtype([("doc", "<u2"), ("n", "<u2")])
+#: A document of a block, and how often it holds the chunk; larger counts take several postings.
+POSTING, MOST = np.dtype([("doc", "<u2"), ("n", "u1")]), 255
 
 
 def chunk_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks of documents as rows: each different white-space chunk of a block with its postings, which tell the documents
     of the block that hold it and how often. One row of a block, its header, has its documents' langs and sources as JSON in
-    place of postings; its chunk is the block's number, so that headers spread."""
+    place of postings; its chunk is a blank, which no chunk holds, and the block's number, so that headers spread."""
     blocks, part = count(), TaskContext.get().partitionId() << 32
     index: dict[bytes, int] = defaultdict(count().__next__)
     ids, docs, counts, langs, sources, size = [], [], [], [], [], 0
@@ -42,11 +43,11 @@ def chunk_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nonlocal index, size
         block = part | next(blocks)
         which, doc, n = np.concatenate(ids or [np.zeros(0, np.int64)]), np.repeat(np.arange(len(docs)), docs), np.concatenate(counts or [np.zeros(0, np.int64)])
-        times = -(-n // 65535)  # counts of more than two bytes take several postings
+        times = -(-n // MOST)
         which, doc, n = np.repeat(which, times), np.repeat(doc, times), np.repeat(n, times)
         last = np.cumsum(times) - 1
-        full = np.full(len(n), 65535)
-        full[last] = n[last] - (times - 1) * 65535
+        full = np.full(len(n), MOST)
+        full[last] = n[last] - (times - 1) * MOST
         order = np.argsort(which, kind="stable")
         postings = np.empty(len(order), POSTING)
         postings["doc"], postings["n"] = doc[order], full[order]
@@ -56,8 +57,8 @@ def chunk_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)] if chunks else []
         for lo in range(0, len(chunks), 10_000):
             some = chunks[lo : lo + 10_000]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), block)), pa.array(some, pa.binary()), pa.array(np.zeros(len(some), bool)), pa.array(rows[lo : lo + 10_000], pa.binary())], schema=CHUNKS)
-        yield pa.RecordBatch.from_pylist([{"block": block, "chunk": str(block).encode(), "header": True, "data": json.dumps([langs, sources]).encode()}], schema=CHUNKS)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), block)), pa.array(some, pa.binary()), pa.array(rows[lo : lo + 10_000], pa.binary())], schema=CHUNKS)
+        yield pa.RecordBatch.from_pylist([{"block": block, "chunk": b" %d" % block, "data": json.dumps([langs, sources]).encode()}], schema=CHUNKS)
         index = defaultdict(count().__next__)
         size = 0
         for held in (ids, docs, counts, langs, sources):
@@ -85,8 +86,8 @@ def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last, terms = None, b""
     for batch in batches:
         found, keep = [], []
-        for i, (chunk, header) in enumerate(zip(batch.column("chunk").to_pylist(), batch.column("header").to_pylist(), strict=True)):
-            if header:
+        for i, chunk in enumerate(batch.column("chunk").to_pylist()):
+            if chunk.startswith(b" "):
                 keep.append(i)
                 found.append(None)
                 continue
@@ -130,19 +131,28 @@ def summed(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """lang, source, term, n (occurrences), docs (documents with the term), summed over the blocks of a task."""
+    """lang, term, docs (documents of the language with the term), sources: [source, occurrences, documents] of each source as
+    JSON; summed over the blocks of a task."""
     terms: dict[bytes, int] = {}
     groups: dict[tuple, int] = {}
     held, size = [], 0
 
-    def drain() -> Iterator[pa.RecordBatch]:
-        key, n, docs = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.zeros(0, np.int64),) * 3
-        words = pa.array(list(terms), pa.binary()).cast(pa.string())
-        langs, sources = (pa.array([g[i] for g in groups], pa.string()) for i in (0, 1))
-        for lo in range(0, len(key), 50_000):
-            some = slice(lo, lo + 50_000)
-            group = pa.array(key[some] & 0xFFFFFFFF)
-            yield pa.RecordBatch.from_arrays([langs.take(group), sources.take(group), words.take(pa.array(key[some] >> 32)), pa.array(n[some]), pa.array(docs[some])], names=["lang", "source", "term", "n", "docs"])
+    def drain(key: np.ndarray, n: np.ndarray, docs: np.ndarray) -> Iterator[pa.RecordBatch]:
+        langs = list(dict.fromkeys(lang for lang, _ in groups))
+        group = key & 0xFFFFFFFF
+        lang = np.array([langs.index(x) for x, _ in groups], np.int64)[group]
+        order = np.lexsort((lang, key >> 32))
+        term, lang, docs = (key >> 32)[order], lang[order], docs[order]
+        names = [f"[{json.dumps(source)}," for _, source in groups]
+        entries = [f"{names[g]}{a},{b}]" for g, a, b in zip(group[order].tolist(), n[order].tolist(), docs.tolist(), strict=True)]
+        first = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (lang[1:] != lang[:-1]))))
+        ends = [*first[1:].tolist(), len(term)]
+        total = np.add.reduceat(docs, first)
+        words, langs = pa.array(list(terms), pa.binary()).cast(pa.string()), pa.array(langs, pa.string())
+        for lo in range(0, len(first), 50_000):
+            at = first[lo : lo + 50_000]
+            sources = ["[" + ",".join(entries[a:b]) + "]" for a, b in zip(at.tolist(), ends[lo : lo + 50_000], strict=True)]
+            yield pa.RecordBatch.from_arrays([langs.take(pa.array(lang[at])), words.take(pa.array(term[at])), pa.array(total[lo : lo + 50_000]), pa.array(sources, pa.string())], names=["lang", "term", "docs", "sources"])
 
     for table in groups_of(batches, ["block"]):
         langs, sources = json.loads(table.filter(table["terms"].is_null())["data"][0].as_py())
@@ -166,19 +176,24 @@ def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = [summed(*(np.concatenate(x) for x in zip(*held, strict=True)))]
             size = len(held[0][0])
             if size > HELD:
-                yield from drain()
+                yield from drain(*held[0])
                 held, size, terms, groups = [], 0, {}, {}
-    if held:
-        held = [summed(*(np.concatenate(x) for x in zip(*held, strict=True)))]
-        yield from drain()
+    if size:
+        yield from drain(*summed(*(np.concatenate(x) for x in zip(*held, strict=True))))
 
 
-def term_counts(docs: DataFrame) -> DataFrame:
-    """lang, source, term, n, docs: every term's occurrences and documents in each (lang, source)."""
-    chunks = docs.mapInArrow(chunk_counts, "block long, chunk binary, header boolean, data binary")
+def kept_terms(docs: DataFrame, least: int) -> DataFrame:
+    """lang, source, term, n, lang_n, one: occurrences of the terms that ``least`` documents of a language hold, in each of its
+    sources and in all; ``one`` is 1 in one row of a term."""
+    chunks = docs.mapInArrow(chunk_counts, "block long, chunk binary, data binary")
     cut = chunks.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(tokenise, "block long, terms binary, data binary")
-    counted = cut.repartition("block").sortWithinPartitions("block").mapInArrow(count_terms, "lang string, source string, term string, n long, docs long")
-    return counted.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    counted = cut.repartition("block").sortWithinPartitions("block").mapInArrow(count_terms, "lang string, term string, docs long, sources string")
+    of_term = Window.partitionBy("lang", "term")
+    kept = counted.withColumn("lang_docs", F.sum("docs").over(of_term)).where(F.col("lang_docs") >= least)
+    each = kept.select("lang", "term", F.explode(F.from_json("sources", "array<array<string>>")).alias("s"))
+    found = each.select("lang", "term", F.get("s", F.lit(0)).alias("source"), F.get("s", F.lit(1)).cast("long").alias("n")).groupBy("lang", "term", "source").agg(F.sum("n").alias("n"))
+    one = (F.min("source").over(of_term) == F.col("source")).cast("int")
+    return found.select("lang", "source", "term", "n", F.sum("n").over(of_term).alias("lang_n"), one.alias("one"))
 
 
 def pair_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,9 +252,7 @@ def source_divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP)
     ignored. A group's sums are held in 64 bits, which fails rather than wraps.
     """
     rows = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source")))
-    of_term = Window.partitionBy("lang", "term")
-    counted = term_counts(rows).withColumns({"lang_docs": F.sum("docs").over(of_term), "lang_n": F.sum("n").over(of_term), "one": (F.min("source").over(of_term) == F.col("source")).cast("int")})
-    kept = save(counted.where(F.col("lang_docs") >= min_docs).select("lang", "source", "term", "n", "lang_n", "one"), "kept-terms")
+    kept = save(kept_terms(rows, min_docs), "kept-terms")
     langs = kept.groupBy("lang").agg(F.sum("n").alias("lang_total"), F.sum("one").alias("v"), F.ceil(F.count("*") / BUCKET).cast("int").alias("buckets"))
     totals = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     groups = rows.select("lang", "source").distinct().join(totals.hint("merge"), ["lang", "source"], "left").join(langs.hint("merge"), "lang", "left")
