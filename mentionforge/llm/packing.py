@@ -28,6 +28,9 @@ K1, B = 1.2, 0.75
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Beyond these the two libraries' Unicode tables may differ, so the slower, defining one is used.
 OTHER_SCRIPTS = re.compile(r"[^\x00-˿‐-‧‰-›]")
+#: The faster library's pattern keeps a place for each character of a run of white space and gives up at a million; longer runs
+#: than this go through the defining one.
+LONG_SPACE = re.compile(r"\s{10000}")
 
 
 @lru_cache(maxsize=2)
@@ -46,7 +49,7 @@ def encoders(path: str) -> tuple[tiktoken.Encoding, Tokenizer]:
 def encode(text: str, path: str) -> np.ndarray:
     """The ids of ``text`` without added tokens, then the separator."""
     fast, library = encoders(path)
-    if OTHER_SCRIPTS.search(text):
+    if OTHER_SCRIPTS.search(text) or LONG_SPACE.search(text):
         ids = library.encode(text, add_special_tokens=False).ids
     else:
         ids = fast.encode_to_numpy(text, allowed_special="all")

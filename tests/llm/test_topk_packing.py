@@ -140,3 +140,16 @@ def test_fast_ids_are_the_librarys_for_every_character_it_takes():
     texts = [t for c in taken for t in (c, f"a{c}b", f" {c} {c}1", f"'{c}s  {c}{c}", f"{c} \n{c}\t")]
     for t, e in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True):
         assert fast.encode_to_numpy(t, allowed_special="all").tolist() == e.ids, t
+
+
+def test_long_white_space_is_encoded(spark):
+    """Runs that the faster library can't split, and long runs of everything else, equal to the defining library, through Spark."""
+    library = Tokenizer.from_file(BYTE_BPE)
+    n = 2_000_000
+    texts = [" " * n, "\n" * n, "a" + " " * n + "b  c", "\n" * n + "x", " \n\t" * (n // 3) + "end", "x" + " " * 10_001, "7" * n, "ab" * n, "-=" * (n // 10), "it's" * n]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    rows = docs.mapInArrow(packing.tokenise(BYTE_BPE), "doc_id long, doc_tokens long, ids binary, n_documents long").where("n_documents is null").collect()
+    for x in rows:
+        want = library.encode(texts[x.doc_id], add_special_tokens=False).ids
+        assert packing.unpacked(x.ids).tolist() == [*want, packing.SEPARATOR], x.doc_id
+    assert pack_documents(docs.where("doc_id in (1, 3)"), BYTE_BPE).agg({"length": "sum"}).first()[0] == sum(x.doc_tokens for x in rows if x.doc_id in (1, 3))
