@@ -18,8 +18,8 @@ from .storage import as_row, texts_of
 
 #: Starts each word, as the vocabulary has it.
 MARK = "▁"
-#: Places of a word whose pieces are looked up at a time, and after how many places the sums are scaled up again.
-BLOCK, RESCALE = 4096, 32
+#: Places of a word whose pieces are looked up at a time, and what sums may shrink to before they are scaled up again.
+BLOCK, SHRUNK = 4096, 1e-200
 #: Added to every piece count, and the least chance of a character outside the vocabulary.
 SMOOTHING, LEAST = 0.1, 1e-7
 UNDETERMINED = "und"
@@ -96,6 +96,12 @@ def lattices(vocabulary: Pieces, codes: np.ndarray, backwards: bool = False) ->
         yield lo, hi, [f[:, : hi - lo] for f in found]
 
 
+def safe_steps(p: np.ndarray) -> int:
+    """After how many places sums that begin at 1 may have shrunk to SHRUNK, as each place can be passed by one piece:
+    the fewer the smaller the least chance, which falls as the training text grows."""
+    return max(1, int(np.log(SHRUNK) / np.log(min(p.min(), 0.1))))
+
+
 def forward(vocabulary: Pieces, codes: np.ndarray, p: np.ndarray, seen: Callable | None = None) -> np.ndarray:
     """Per word (row of codes) and language the log chance of all segmentations together; p: piece by language, a last
     row of zeros. Holds the sums of the places that the longest piece spans, scaled up as they shrink, whatever the
@@ -104,9 +110,10 @@ def forward(vocabulary: Pieces, codes: np.ndarray, p: np.ndarray, seen: Callable
     size = vocabulary.longest + 1
     ring, logs = np.zeros((size, m, p.shape[1])), np.zeros((m, p.shape[1]))
     ring[0] = 1
+    every = safe_steps(p[:-1])
     for lo, hi, lattice in lattices(vocabulary, codes):
         for s in range(lo, hi):
-            if s and s % RESCALE == 0:
+            if s and s % every == 0:
                 most = ring.max(axis=0)
                 ring /= most
                 logs += np.log(most)
@@ -131,14 +138,15 @@ def expected(vocabulary: Pieces, codes: np.ndarray, p: np.ndarray, weight: np.nd
 
     whole = forward(vocabulary, codes, p, seen)[:, 0]
     beta[n] = 1
+    every = safe_steps(p[:-1])
     for lo, hi, lattice in lattices(vocabulary, codes, backwards=True):
         for s in range(hi - 1, lo - 1, -1):
             base = beta_log[s + 1]
             for k, found in enumerate(lattice, 1):
                 if s - lo < found.shape[1]:
-                    beta[s] += p[found[:, s - lo], 0] * (beta[s + k] if n <= RESCALE else beta[s + k] * np.exp(beta_log[s + k] - base))
+                    beta[s] += p[found[:, s - lo], 0] * (beta[s + k] if n <= every else beta[s + k] * np.exp(beta_log[s + k] - base))
             beta_log[s] = base
-            if s % RESCALE == 0 and n > RESCALE:
+            if s % every == 0 and n > every:
                 beta_log[s] += np.log(beta[s])
                 beta[s] = 1
         for k, found in enumerate(lattice, 1):

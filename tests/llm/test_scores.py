@@ -83,6 +83,44 @@ def test_long_words_are_summed_whole(monkeypatch, n):
     assert np.allclose(one, want)
 
 
+@pytest.mark.parametrize("least", [1e-13, 1e-15, 1e-20])
+def test_chances_of_very_large_training_texts(least):
+    """Words of 10,000 letters that a language hasn't seen: finite, and equal to sums in logarithms."""
+    v = Pieces(PIECES)
+    p = np.full((v.unknown + 2, 2), least)
+    p[:, 1] = 1e-3
+    p[-2] = 1e-7
+    p[-1] = 0
+    index = {t: k for k, t in enumerate(v.texts)}
+    r = random.Random(7)
+    for n in (49, 10_000):
+        word = "▁" + "".join(r.choice("thewaterkanaかなqzx") for _ in range(n - 1))
+        got = forward(v, np.array([[ord(c) for c in word]], np.uint64), p)[0]
+        for g in range(2):
+            a = np.full(n + v.longest + 1, -np.inf)
+            a[0] = 0
+            for s in range(n):
+                for k in range(1, min(v.longest, n - s) + 1):
+                    i = index.get(word[s : s + k], v.unknown if k == 1 else None)
+                    if i is not None:
+                        a[s + k] = np.logaddexp(a[s + k], a[s] + np.log(p[i, g]))
+            assert np.isfinite(got[g]) and np.isclose(got[g], a[n])
+
+
+def test_scores_stay_finite_when_counts_are_large(spark):
+    """A language with 10 ** 13 counted pieces and one with few: words of letters that neither has seen."""
+    v = Pieces(PIECES)
+    counts = np.zeros((v.unknown + 1, 2))
+    counts[:500] = 2e10, 3.0
+    p = counts + language.SMOOTHING
+    p /= p.sum(axis=0)
+    p[-1] = np.maximum(p[-1] / 1000, language.LEAST)
+    texts = ["z" * 48, "か" * 5000, "zzyzx " * 100, "q" * 20_000, "", "the water"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = rows.mapInArrow(language.classify(PIECES, ["en", "xx"], p, ["text"]), "text string, lang_pred string, score double").collect()
+    assert all(0 <= x.score <= 1 for x in got) and all(x.lang_pred == "und" if not x.text else x.lang_pred in ("en", "xx") and x.score >= 0.5 for x in got)
+
+
 def test_language_of_held_out_rows(spark):
     r = random.Random(1)
     rows = [(i, text_in(r, lang := r.choice(["en", "de"]), r.randint(3, 60)), lang) for i in range(300)]
