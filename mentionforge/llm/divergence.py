@@ -10,11 +10,13 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.dictionary import small_or_shuffled
+from .arrays import text_buffers
 from .storage import save
 
 MIN_DOCS, SMOOTHING, UNIT, TOP = 30, 5, 1_000_000_000, 50
@@ -144,31 +146,37 @@ def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((lang, key >> 32))
         term, lang, docs = (key >> 32)[order], lang[order], docs[order]
         names = [f"[{json.dumps(source)}," for _, source in groups]
-        entries = [f"{names[g]}{a},{b}]" for g, a, b in zip(group[order].tolist(), n[order].tolist(), docs.tolist(), strict=True)]
         first = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (lang[1:] != lang[:-1]))))
-        ends = [*first[1:].tolist(), len(term)]
+        edges = np.append(first, len(term))
         total = np.add.reduceat(docs, first)
         words, langs = pa.array(list(terms), pa.binary()).cast(pa.string()), pa.array(langs, pa.string())
+        group, n = group[order], n[order]
         for lo in range(0, len(first), 50_000):
-            at = first[lo : lo + 50_000]
-            sources = ["[" + ",".join(entries[a:b]) + "]" for a, b in zip(at.tolist(), ends[lo : lo + 50_000], strict=True)]
+            at, own = first[lo : lo + 50_000], edges[lo : lo + 50_001]
+            some = slice(own[0], own[-1])
+            entries = [f"{names[g]}{x},{y}]" for g, x, y in zip(group[some].tolist(), n[some].tolist(), docs[some].tolist(), strict=True)]
+            ends = (own - own[0]).tolist()
+            sources = ["[" + ",".join(entries[i:j]) + "]" for i, j in zip(ends, ends[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([langs.take(pa.array(lang[at])), words.take(pa.array(term[at])), pa.array(total[lo : lo + 50_000]), pa.array(sources, pa.string())], names=["lang", "term", "docs", "sources"])
 
     for table in groups_of(batches, ["block"]):
         langs, sources = json.loads(table.filter(table["terms"].is_null())["data"][0].as_py())
         group = np.array([groups.setdefault(g, len(groups)) for g in zip(langs, sources, strict=True)], np.int64)
         rows = table.filter(table["terms"].is_valid())
-        cut, data = [x.split() for x in rows["terms"].to_pylist()], rows["data"].to_pylist()
-        per_row = np.array([len(x) for x in cut], np.int64)
-        term = np.fromiter((terms.setdefault(t, len(terms)) for x in cut for t in x), np.int64, per_row.sum())
-        many = np.array([len(x) for x in data], np.int64) // POSTING.itemsize
-        postings = np.frombuffer(b"".join(data), POSTING)
-        # each term of a row meets each posting of it
-        row = np.repeat(np.arange(len(data)), per_row)
-        wide = many[row]
-        at = np.arange(wide.sum()) - np.repeat(np.cumsum(wide) - wide, wide) + np.repeat((np.cumsum(many) - many)[row], wide)
-        doc, n = postings["doc"][at].astype(np.int64), postings["n"][at].astype(np.int64)
-        key, n = summed(np.repeat(term, wide) << 32 | doc, n)
+        column = pc.split_pattern(rows["terms"].combine_chunks().cast(pa.string()), " ")
+        flat = column.flatten().dictionary_encode()
+        own = np.array([terms.setdefault(t.encode(), len(terms)) for t in flat.dictionary.to_pylist()], np.int64)
+        term, per_row = own[np.asarray(flat.indices)] if len(flat) else own, np.diff(np.asarray(column.offsets)) if len(column) else own
+        data, ends = text_buffers(rows["data"].combine_chunks())
+        postings, ends = data.view(POSTING), ends // POSTING.itemsize
+        first, parts = np.cumsum(per_row) - per_row, [(own, own)]
+        for lo in range(0, len(per_row), 50_000):  # each term of a row meets each posting of it
+            row = np.repeat(np.arange(lo, min(len(per_row), lo + 50_000)), per_row[lo : lo + 50_000])
+            wide = ends[row + 1] - ends[row]
+            at = np.arange(wide.sum()) - np.repeat(np.cumsum(wide) - wide - ends[row], wide)
+            which = term[first[lo] : first[lo] + len(row)]
+            parts.append((np.repeat(which, wide) << 32 | postings["doc"][at], postings["n"][at].astype(np.int64)))
+        key, n = summed(*(np.concatenate(x) for x in zip(*parts[1:] or parts, strict=True)))
         key, n, docs = summed(key >> 32 << 32 | group[key & 0xFFFFFFFF], n, np.ones(len(key), np.int64))
         held.append((key, n, docs))
         size += len(key)
