@@ -61,8 +61,12 @@ def share_a_rare_letter(a: DataFrame, b: DataFrame, x: str, y: str, least: Colum
     times a text's own length. Letters are told apart by how often they stood before
     (the second e is another letter); rarest first, one of a text's first
     length - matches + 1 letters is then among the other's. So texts meet by equality on
-    those letters; ``lowest`` is the least ratio that any pair must reach.
+    those letters and on the scale of their lengths, which differ at most by the factor (2 - r) / r;
+    ``lowest`` is the least ratio that any pair must reach.
     """
+    factor = (2 - lowest) / lowest + 1e-6
+    scale = lambda text, by: F.floor(F.log(F.length(text) * F.lit(float(by))) / F.log(F.lit(factor)))
+
     def letters(df: DataFrame, text: str) -> DataFrame:
         each = F.split(F.col(text), "")
         nth = F.transform(each, lambda ch, i: F.concat(ch, F.size(F.filter(F.slice(each, 1, i + 1), lambda o: o == ch)).cast("string")))
@@ -78,7 +82,8 @@ def share_a_rare_letter(a: DataFrame, b: DataFrame, x: str, y: str, least: Colum
     seen = b.select(F.explode("_l").alias("v")).groupBy("v").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.collect_list(F.struct("v", "n"))).alias("_seen"))
     left = placed(a.withColumn("_seen", seen.scalar()), x, least)
     right = placed(b.withColumn("_seen", seen.scalar()), y, F.lit(lowest))
-    return left.join(right.hint("merge"), "_key").drop("_key")
+    left = left.withColumn("_scale", F.explode(F.sequence(scale(x, (1 - 1e-9) / factor), scale(x, (1 + 1e-9) * factor))))
+    return left.join(right.withColumn("_scale", scale(y, 1)).hint("merge"), ["_key", "_scale"]).drop("_key", "_scale")
 
 
 def fuzzy_pairs(asked: DataFrame, named: DataFrame) -> DataFrame:

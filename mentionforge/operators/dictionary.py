@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
+from ..sources.store import write_out
 
 #: Length of the anchors that texts and keys meet on.
 GRAM = 6
@@ -49,7 +50,7 @@ def occurrences(texts: DataFrame, words: DataFrame, text: str, key: str, gram: i
         return F.transform(X.positions(F.length(t) - size + 1), lambda p: F.struct(p.alias("p"), F.substring(t, p + 1, F.lit(size)).alias("gram")))
 
     placed = texts.select(F.xxhash64(text).alias("_h"), F.explode(F.flatten(F.array(*(pieces(s) for s in sorted(sizes))))).alias("_g"))
-    met = placed.select("_h", "_g.p", "_g.gram").join(small_or_shuffled(anchors(words, key, gram)), "gram")
+    met = placed.select("_h", "_g.p", "_g.gram").join(small_or_shuffled(write_out(anchors(words, key, gram), "anchors")), "gram")
     met = met.select("_h", "_k", (F.col("p") - F.col("off")).alias("at")).where("at >= 0").distinct()
     hit = texts.withColumn("_h", F.xxhash64(text)).join(met.hint("merge"), "_h").where(F.substring(t, F.col("at") + 1, F.length("_k")) == F.col("_k"))
     return hit.join(small_or_shuffled(words), F.col("_k") == words[key]).select(*texts.columns, *words.columns, "at")
@@ -111,11 +112,19 @@ def select_spans(mentions: DataFrame, by: str, order: list[Column], keep: list[s
     return grouped.select(by, F.posexplode(chosen).alias("mention_idx", "_m")).select(by, "mention_idx", "_m.*")
 
 
-def rebuild_words(entities: DataFrame) -> DataFrame:
+def rebuild_words(entities: DataFrame, ids: DataFrame | None = None, stored: DataFrame | None = None) -> DataFrame:
     """The word table of active entities: one row for the name and each alias, keys computed anew, a key once
-    an entity (the name before an alias)."""
+    an entity (the name before an alias). With ``ids`` (entity_id) only those entities' words are made; the
+    words of all others are taken from ``stored``, if given."""
+    columns = ["entity_id", "entity_type", "entity_word", "normalized_key", "source"]
+    if ids is not None:
+        ids = ids.select("entity_id").distinct()
+        entities = entities.join(ids.hint("merge"), "entity_id", "left_semi")
     names = entities.where(F.coalesce("status", F.lit("active")) == "active")
     named = names.select("entity_id", "entity_type", F.posexplode(F.concat(F.array("entity_name"), F.coalesce("alias", F.array().cast("array<string>")))).alias("idx", "entity_word"))
     keyed = named.withColumn("normalized_key", X.normalize_word(F.col("entity_word"))).where("normalized_key <> ''")
     first = keyed.groupBy("entity_id", "normalized_key").agg(F.min_by(F.struct("idx", "entity_type", "entity_word"), "idx").alias("w"))
-    return first.select("entity_id", "w.entity_type", "w.entity_word", "normalized_key", F.when(F.col("w.idx") == 0, "entity_name").otherwise("confirmed_alias").alias("source"))
+    made = first.select("entity_id", "w.entity_type", "w.entity_word", "normalized_key", F.when(F.col("w.idx") == 0, "entity_name").otherwise("confirmed_alias").alias("source"))
+    if ids is None or stored is None:
+        return made
+    return stored.select(*columns).join(ids.hint("merge"), "entity_id", "left_anti").unionByName(made)

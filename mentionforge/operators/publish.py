@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources import store
 from . import quality as Q
 from .dictionary import rebuild_words
 
@@ -18,15 +19,27 @@ def upsert(current: DataFrame, changes: DataFrame) -> DataFrame:
     return kept.unionByName(last.where("op = 'upsert'").select(*current.columns))
 
 
+def violations(after: DataFrame, words: DataFrame) -> DataFrame:
+    """What the rules find in an entity table and its words."""
+    return Q.union([Q.required(after, "entities", "entity_id", ["entity_id", "entity_type", "entity_name"]), Q.duplicate_ids(after, "entities", "entity_id"), Q.dangling_relations(after), Q.duplicate_relations(after), Q.alias_rules(after), Q.key_conflicts(words)])
+
+
 def publish(current: DataFrame, changes: DataFrame, path: str, version: str) -> tuple[DataFrame, bool]:
-    """The violations of the table after ``changes``, and whether it was written, with its words, as a new version directory."""
-    after = upsert(current, changes).persist()
+    """The violations of the table after ``changes``, and whether it is there, with its words, as a version directory.
+
+    A file ``complete`` is written last; a version without it may be published again, one with it is left as it is.
+    """
+    spark, done = current.sparkSession, f"{path}/{version}/complete"
+    after = upsert(current, changes)
     words = rebuild_words(after)
-    found = Q.union([Q.required(after, "entities", "entity_id", ["entity_id", "entity_type", "entity_name"]), Q.duplicate_ids(after, "entities", "entity_id"), Q.dangling_relations(after), Q.duplicate_relations(after), Q.alias_rules(after), Q.key_conflicts(words)])
+    found = violations(after, words)
+    if store.exists(spark, done):
+        return found, True
     ok = Q.gate(found)
     if ok:
-        after.write.parquet(f"{path}/{version}/entities")
-        words.write.parquet(f"{path}/{version}/entity_words")
+        after.write.mode("overwrite").parquet(f"{path}/{version}/entities")
+        words.write.mode("overwrite").parquet(f"{path}/{version}/entity_words")
+        store.create_once(spark, done, version)
     return found, ok
 
 

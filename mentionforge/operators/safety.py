@@ -48,11 +48,15 @@ def safe_attributes(attributes: Column) -> Column:
 
 def redact(df: DataFrame) -> DataFrame:
     """Every value under a field or map key whose name holds a forbidden part becomes [REDACTED], at any depth;
-    decided from the schema, without a function per row."""
+    decided from the schema, without a function per row. A map's values may be hidden row by row, so those that aren't
+    text become text: numbers and the like as they are written, anything nested as JSON."""
 
     def forbidden(name: str) -> bool:
         return any(p in name.lower() for p in REDACTED_PARTS)
 
+    def words_of(key: Column, kind: T.DataType) -> Column:
+        return key.cast("string") if isinstance(kind, T.AtomicType) else F.to_json(key)
+
     def clean(c: Column, kind: T.DataType) -> Column:
         if isinstance(kind, T.StructType):
             fields = [(F.lit(HIDDEN) if forbidden(f.name) else clean(c[f.name], f.dataType)).alias(f.name) for f in kind.fields]
@@ -60,9 +64,12 @@ def redact(df: DataFrame) -> DataFrame:
         if isinstance(kind, T.ArrayType) and not isinstance(kind.elementType, T.AtomicType):
             return F.transform(c, lambda x: clean(x, kind.elementType))
         if isinstance(kind, T.MapType):
-            if isinstance(kind.valueType, T.StringType):
-                return F.transform_values(c, lambda k, v: F.when(_holds(k, REDACTED_PARTS), HIDDEN).otherwise(v))
-            return F.transform_values(c, lambda k, v: clean(v, kind.valueType))
+            def hide(k: Column, v: Column) -> Column:
+                inner = clean(v, kind.valueType)
+                nested = isinstance(kind.valueType, (T.StructType, T.ArrayType, T.MapType))
+                return F.when(_holds(words_of(k, kind.keyType), REDACTED_PARTS), HIDDEN).otherwise(F.to_json(inner) if nested else inner.cast("string"))
+
+            return F.transform_values(c, hide)
         return c
 
     return df.select(*[(F.lit(HIDDEN) if forbidden(f.name) else clean(F.col(f.name), f.dataType)).alias(f.name) for f in df.schema.fields])

@@ -9,6 +9,7 @@ from ..functions import text as X
 from ..operators import dictionary as D
 from ..operators import candidates as C
 from ..schemas import LAYERS, MAX_CANDIDATES
+from ..sources.store import write_out
 from .proposals import merge_proposals
 
 MENTION = ["query_id", "mention_idx", "span_start", "span_end", "text"]
@@ -73,7 +74,7 @@ def unknown_tokens(queries: DataFrame, known: DataFrame) -> DataFrame:
 
 def all_mentions(queries: DataFrame, words: DataFrame) -> DataFrame:
     """Known and unknown mentions in span order."""
-    known = known_mentions(queries, words).persist()
+    known = write_out(known_mentions(queries, words), "known-mentions")
     unknown = D.select_spans(unknown_tokens(queries, known), "query_id", [F.col("text")], ["text"])
     both = known.drop("mention_idx").withColumn("known", F.lit(True)).unionByName(unknown.drop("mention_idx").withColumn("known", F.lit(False)))
     return D.select_spans(both, "query_id", [F.col("text")], ["text", "known"])
@@ -192,8 +193,8 @@ def mention_results(mentions: DataFrame, ranked: DataFrame) -> DataFrame:
 
 
 def link_catalog(
-    queries: DataFrame, entities: DataFrame, names: DataFrame, fuzzy: bool = False, selections: DataFrame | None = None, alarm_only: bool = False,
-    proposals: DataFrame | None = None, fallback: bool = True,
+    queries: DataFrame, entities: DataFrame, names: DataFrame, fuzzy: bool = True, selections: DataFrame | None = None, alarm_only: bool = False,
+    proposals: DataFrame | None = None, fallback: bool = True, type_hints: list[str] | None = None,
 ) -> DataFrame:
     """One row a query by the catalogue pipeline: status, linked_ids, linked_entity_id, summary_reason, data_layer,
     top_ids (up to five candidates over all mentions), counts and the first error_code.
@@ -201,24 +202,28 @@ def link_catalog(
     ``proposals`` (query_id, mentions: array of text, predicted_type) take the place of detected
     mentions where they are sound; else the detected ones are linked and the query
     is degraded, or fails without ``fallback``. ``selections`` settles ambiguous
-    mentions. ``alarm_only``: a catalogue of alarms, one mention a query.
+    mentions. ``type_hints``: names of other types aren't looked for; alarms as the only hint, or
+    ``alarm_only``: a catalogue of alarms, one mention a query. ``fuzzy`` scores names by similarity as well.
     """
-    gated = request_gate(queries)
+    alarm_only = alarm_only or type_hints == [ALARM]
+    # what is read several times below is written out, so that no plan holds another's whole past
+    gated = write_out(request_gate(queries), "catalog-queries")
     valid = gated.where("valid").select("query_id", "query")
-    # each is read several times below
-    mentions = catalog_mentions(valid, names, alarm_only).select("query_id", "mention_idx", "text", "predicted_type")
+    names = write_out(names, "catalog-names")
+    looked_for = names.where(F.col("entity_type").isin(type_hints)) if type_hints else names
+    mentions = catalog_mentions(valid, looked_for, alarm_only).select("query_id", "mention_idx", "text", "predicted_type")
     said = None
     if proposals is not None:
         types = sorted(r[0] for r in names.select("entity_type").distinct().collect())  # a closed set
         mentions, said = merge_proposals(valid, proposals, mentions, [*types, ALARM], fallback, alarm_only)
         said = said.select("query_id", F.col("used"), (~F.col("used")).alias("bad"), F.col("error_code").alias("said_code"))
-    mentions = mentions.persist()
-    ranked = catalog_candidates(mentions, names, fuzzy, alarm_only).persist()
+    mentions = write_out(mentions, "catalog-mentions")
+    ranked = write_out(catalog_candidates(mentions, names, fuzzy, alarm_only), "catalog-ranked")
     results = mention_results(mentions, ranked)
     if selections is not None:
         results = C.apply_selection(results, ranked, selections, entities)
     results = results.withColumn("degraded", F.coalesce("degraded", F.lit(False)) if "degraded" in results.columns else F.lit(False))
-    results = results.persist()
+    results = write_out(results, "catalog-results")
     degraded = results.groupBy("query_id").agg(F.bool_or("degraded").alias("degraded"))
     per_query = rollup(results).join(degraded.hint("merge"), "query_id")
     shown = ranked.join(results.where((F.col("status") != "no_match") | F.col("predicted_type").isNotNull()).select("query_id", "mention_idx").hint("merge"), ["query_id", "mention_idx"], "left_semi")

@@ -329,13 +329,30 @@ tp as (select query_id, string_agg(entity_id, ',' order by r) as top_ids from (s
     select query_id, entity_id, arg_min(confidence, mention_idx) as confidence from sh group by 1, 2)) where r <= 5 group by 1)"""
 
 
-@query(f"""with recursive {_CATALOG} select q.query_id, case when ag.query_id is null then case when template = 2 then 'not_required' else 'no_match' end when l = n then 'linked' when l > 0 then 'partial' when a > 0 then 'ambiguous' else 'no_match' end as status,
+_CATALOG_ROWS = """select q.query_id, case when ag.query_id is null then case when template = 2 then 'not_required' else 'no_match' end when l = n then 'linked' when l > 0 then 'partial' when a > 0 then 'ambiguous' else 'no_match' end as status,
     coalesce(linked_ids, '') as linked_ids, case when l = 1 then one end as linked_entity_id, coalesce(summary_reason, '') as summary_reason, 'L0_SYNTHETIC' as data_layer, coalesce(top_ids, '') as top_ids,
     coalesce(n, 0) as n_mentions, coalesce(l, 0) as n_linked, coalesce(a, 0) as n_ambiguous, cast(null as varchar) as error_code
-from fx_queries q left join ag on ag.query_id = q.query_id left join tp on tp.query_id = q.query_id""")
+from fx_queries q left join ag on ag.query_id = q.query_id left join tp on tp.query_id = q.query_id"""
+
+
+@query(f"with recursive {_CATALOG} {_CATALOG_ROWS}")
 def link_catalog(spark, sf_dir):
     """All queries through the catalogue pipeline."""
     e = V.entities(spark, sf_dir)
+    return L.link_catalog(V.queries(spark, sf_dir), e, V.entity_names(e), fuzzy=False)
+
+
+@query("with recursive " + _CATALOG.replace("entity_type from nm)", "entity_type from nm where entity_type in ('supplier', 'region'))") + _CATALOG_ROWS)
+def link_catalog_hints(spark, sf_dir):
+    """The catalogue pipeline told to look for suppliers and regions: other names aren't found, other tokens still are."""
+    e = V.entities(spark, sf_dir)
+    return L.link_catalog(V.queries(spark, sf_dir), e, V.entity_names(e), fuzzy=False, type_hints=["supplier", "region"])
+
+
+@query()
+def link_catalog_fuzzy(spark, sf_dir):
+    """All queries through the catalogue pipeline with similar names, which SQL lacks. Tests compare all rows with the definition."""
+    e = V.entities(spark, sf_dir)
     return L.link_catalog(V.queries(spark, sf_dir), e, V.entity_names(e))
 
 
@@ -361,7 +378,7 @@ from pr left join ag using (query_id) left join ex using (query_id) left join nr
 def link_proposals(spark, sf_dir):
     """The catalogue pipeline with proposed mentions: sound ones are linked, else detected ones are and the query is degraded."""
     e, q = V.entities(spark, sf_dir), V.queries(spark, sf_dir)
-    return L.link_catalog(q, e, V.entity_names(e), proposals=proposed(q)).select("query_id", "status", "error_code", "n_mentions")
+    return L.link_catalog(q, e, V.entity_names(e), fuzzy=False, proposals=proposed(q)).select("query_id", "status", "error_code", "n_mentions")
 
 
 # alarms: suppliers under the type alarm, named by identifiers

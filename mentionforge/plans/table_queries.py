@@ -2,36 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import dictionary as D
 from ..operators import evaluation as E
+from ..operators import ledger as LG
 from ..operators import publish as P
 from ..operators import quality as Q
 from ..operators import safety as S
 from ..operators.similar import similar
 from ..sources import files
 from ..sources import views as V
+from ..sources.store import folder
 from ..streaming import link_stream as LS
 from . import linking as L
 from .linking_queries import _P2
 from .registry import query
 
 
-def folder(spark, name: str) -> str:
-    """A new folder that all executors share: in the cluster's ``spark.checkpoint.dir``, or a local one in local mode."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 FX = V.oracle_ctes("fx_entities")
 NUM = "try_cast(substr(entity_id, 3) as bigint)"
 
@@ -154,6 +143,45 @@ def publish_refused(spark, sf_dir):
     return found.withColumn("written", F.lit(written))
 
 
+def _published(spark, sf_dir):
+    """A base folder: each entity type loaded by a request of its own, then changes, sent twice, and a refused request."""
+    e, base = V.entities(spark, sf_dir), folder(spark, "published")
+    load = e.withColumns({"request_id": F.concat(F.lit("load-"), "entity_type"), "op": F.lit("upsert"), "seq": F.lit(0)})
+    assert LG.publish_requests(spark, base, load).written
+    changes = _changes(e).withColumns({"request_id": F.lit("change"), "alias": F.when(F.col("entity_id").startswith("X:"), F.array().cast("array<string>")).otherwise(F.col("alias"))})
+    assert LG.publish_requests(spark, base, changes).number == 2
+    assert not LG.publish_requests(spark, base, changes.unionByName(load)).written
+    assert not LG.publish_requests(spark, base, _changes(e).withColumn("request_id", F.lit("clash"))).written
+    return base
+
+
+@query(f"""with {FX}, {_CHANGES}, after as (select entity_id, entity_name as name, alias1 from fx_entities where entity_id not in (select entity_id from last)
+    union all select l.entity_id, name, (select e.alias1 from fx_entities e where e.entity_id = l.entity_id) from last l where op = 'upsert')
+select entity_id, name as entity_word, lower(replace(name, ' ', '')) as normalized_key, cast(2 as integer) as number from after union all select entity_id, alias1, lower(replace(alias1, ' ', '')), 2 from after where alias1 is not null""")
+def publish_requests(spark, sf_dir):
+    """The words of the current version after requests that came once, twice or not soundly."""
+    now = LG.read_version(spark, _published(spark, sf_dir))
+    return now.words.select("entity_id", "entity_word", "normalized_key", F.lit(now.number).alias("number"))
+
+
+@query(f"with {FX} select distinct concat('load-', entity_type) as request_id, cast(1 as integer) as number from fx_entities union all select 'change', 2")
+def request_ledger(spark, sf_dir):
+    """The requests that were taken in, with their versions."""
+    return LG.requests(spark, _published(spark, sf_dir))
+
+
+@query(f"""with {FX}, n as (select entity_id, case when entity_type = 'supplier' and {NUM} % 3 = 0 then concat(entity_name, ' II') else entity_name end as name, alias1 from fx_entities where not (entity_type = 'supplier' and {NUM} % 7 = 0)),
+r as (select entity_id, name as w, 0 as i from n union all select entity_id, alias1, 1 from n where alias1 is not null)
+select entity_id, lower(replace(w, ' ', '')) as normalized_key, arg_min(w, i) as entity_word, case when min(i) = 0 then 'entity_name' else 'confirmed_alias' end as source from r group by 1, 2""")
+def rebuild_words_of(spark, sf_dir):
+    """Words after some suppliers took new names and some left: those made anew for them, the others as they were."""
+    e, n = V.entities(spark, sf_dir), F.expr(NUM)
+    supplier = F.col("entity_type") == "supplier"
+    after = e.where(~supplier | (n % 7 != 0)).withColumn("entity_name", F.when(supplier & (n % 3 == 0), F.concat("entity_name", F.lit(" II"))).otherwise(F.col("entity_name")))
+    touched = e.where(supplier & ((n % 3 == 0) | (n % 7 == 0)))
+    return D.rebuild_words(after, touched, D.rebuild_words(e)).select("entity_id", "normalized_key", "entity_word", "source")
+
+
 # ---- rules: the view is spoilt by rule, so that each finds something -----------
 def spoilt(spark, sf_dir):
     n = F.expr(NUM)
@@ -296,6 +324,19 @@ def redact(spark, sf_dir):
     return r.select("event_id", "payload", "user_token", F.col("s.kind").alias("kind"), F.col("s.inner.Host").alias("inner_host"), F.col("s.inner.value").alias("inner_value"), F.col("m")["base_url"].alias("map_url"), F.col("m")["user"].alias("map_user"))
 
 
+@query("""select event_id, '[REDACTED]' as api_token, cast(user_id as varchar) as user, '[REDACTED]' as secret, concat('["', event_type, '","x"]') as tags, '{"password":"[REDACTED]","kind":"' || event_type || '"}' as inner from events""")
+def redact_maps(spark, sf_dir):
+    """Maps of numbers, of arrays and of structures: values under forbidden keys go, the others are kept as text."""
+    e = V.table(spark, sf_dir, "events")
+    r = S.redact(e.select(
+        "event_id", F.create_map(F.lit("API_token"), "user_id", F.lit("user"), "user_id").alias("numbers"),
+        F.create_map(F.lit("secret"), F.array("event_type"), F.lit("tags"), F.array("event_type", F.lit("x"))).alias("lists"),
+        F.create_map(F.lit("inner"), F.struct(F.lit("x").alias("password"), F.col("event_type").alias("kind"))).alias("parts"),
+    ))
+    get = lambda m, k: F.col(m)[k]
+    return r.select("event_id", get("numbers", "API_token").alias("api_token"), get("numbers", "user").alias("user"), get("lists", "secret").alias("secret"), get("lists", "tags").alias("tags"), get("parts", "inner").alias("inner"))
+
+
 @query("""select concat('p', page_id) as source, 1 as findings, false as ok from pages where regexp_matches(url, 'https?://[^\\s"''<>]+') union all select concat('p', page_id), 0, true from pages where not regexp_matches(url, 'https?://[^\\s"''<>]+')
 union all select concat('e', event_id), case event_id % 4 when 0 then 2 when 1 then 1 when 2 then 1 else 0 end, event_id % 4 = 3 from events""")
 def secret_scan(spark, sf_dir):
@@ -476,7 +517,7 @@ def link_stream(spark, sf_dir):
     queries.write.parquet(source)
     words, entities = V.words(spark, sf_dir), V.entities(spark, sf_dir)
     stream = spark.readStream.schema(queries.schema).parquet(source)
-    LS.link_stream(stream, lambda: (words, entities, "v1"), out, folder(spark, "stream-checkpoint")).awaitTermination()
+    LS.link_stream(stream, lambda pinned: (words, entities, "v1"), out, folder(spark, "stream-checkpoint")).awaitTermination()
     return spark.read.parquet(out).select("query_id", "status", "linked_ids", "data_version")
 
 

@@ -4,23 +4,64 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import ENTITY, ENTITY_WORD, GOLD, LEGACY_NAMES, LEGACY_SOURCES
+from .store import empty_files
+
+
+#: What a field of each kind may be in a JSON document, by the type that Spark tells of it.
+_KINDS = {T.StringType: "STRING|VOID", T.BooleanType: "BOOLEAN|VOID", T.IntegerType: "BIGINT|VOID", T.MapType: "OBJECT<.*>|VOID"}
+
+
+def _fits(value: Column, kind: T.DataType) -> Column:
+    """Whether a JSON value (variant) is null or of ``kind``."""
+    said = F.schema_of_variant(value)
+    if isinstance(kind, T.ArrayType):
+        element = {T.StringType: "STRING|VOID", T.IntegerType: "BIGINT|VOID", T.StructType: "OBJECT<.*>|VOID"}[type(kind.elementType)]
+        return said.rlike(rf"(?s)^(VOID|ARRAY<({element})>)$")
+    return said.rlike(rf"(?s)^({_KINDS[type(kind)]})$")
+
+
+def document_problems(spark: SparkSession, path: str, shape: T.StructType, member: str) -> DataFrame:
+    """file, problem: what keeps the JSON documents at ``path`` from holding ``member`` as a list of rows of ``shape``:
+    text that isn't JSON, a root that is no object or lacks the list, metadata that is no object, an item that is no
+    object or has a field of another type."""
+    text = F.regexp_replace(F.decode("content", "UTF-8"), "^\\uFEFF", "")
+    docs = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.try_parse_json(text).alias("v"))
+    root = F.schema_of_variant("v")
+    part = lambda name: F.try_variant_get("v", f"$.{name}", "variant")
+    rows, meta = part(member), F.schema_of_variant(part("metadata"))
+    is_list = F.coalesce(F.schema_of_variant(rows).startswith("ARRAY<"), F.lit(False))
+    problem = (
+        F.when(F.col("v").isNull(), "not JSON").when(~root.startswith("OBJECT<"), "the root is no object").when(~is_list, f"no list {member}")
+        .when(meta.isNotNull() & ~meta.rlike("(?s)^(OBJECT<.*>|VOID)$"), "metadata is no object")
+    )
+    roots = docs.select("file", problem.alias("problem")).where("problem is not null")
+    items = docs.where(is_list).select("file", F.explode(F.try_variant_get("v", f"$.{member}", "array<variant>")).alias("item"))
+    field = lambda f: F.try_variant_get("item", f"$.{f.name}", "variant")
+    wrong = F.concat_ws(", ", *[F.when(field(f).isNotNull() & ~_fits(field(f), f.dataType), f.name) for f in shape.fields])
+    told = F.when(F.col("item").isNull() | ~F.schema_of_variant("item").startswith("OBJECT<"), "an item is no object").when(wrong != "", F.concat(F.lit("wrong type: "), wrong))
+    return roots.unionByName(items.select("file", told.alias("problem")).where("problem is not null").distinct())
 
 
 def _read(spark: SparkSession, path: str, row: T.StructType, member: str, layout: str, legacy: bool) -> DataFrame:
-    """Rows of ``member`` of one JSON document (layout document), or one row a line (lines), or parquet."""
+    """Rows of ``member`` of one JSON document (layout document), or one row a line (lines), or parquet. A document
+    that isn't as it should be is an error at once, a line that isn't JSON one when it is read."""
     old = {new: name for name, new in LEGACY_NAMES.items()} if legacy else {}
     shape = T.StructType([T.StructField(old.get(f.name, f.name), f.dataType) for f in row.fields])
     if layout == "document":
+        wrong = document_problems(spark, path, shape, member).limit(20).collect()  # a few to name in the error
+        said = [f"{r.file}: {r.problem}" for r in wrong] + [f"{f}: empty" for f in empty_files(spark, path)]
+        if said:
+            raise ValueError("; ".join(sorted(said)))
         whole = T.StructType([T.StructField(member, T.ArrayType(shape))])
-        rows = spark.read.schema(whole).option("multiLine", True).json(path).select(F.inline(member))
+        rows = spark.read.schema(whole).option("multiLine", True).option("mode", "FAILFAST").json(path).select(F.inline(member))
     else:
         reader = spark.read.schema(shape)
-        rows = reader.json(path) if layout == "lines" else reader.parquet(path)
+        rows = reader.option("mode", "FAILFAST").json(path) if layout == "lines" else reader.parquet(path)
     return rows.select(*[F.col(old.get(f.name, f.name)).alias(f.name) for f in row.fields])
 
 

@@ -10,18 +10,24 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.safety import redact
 from ..plans.linking import link_contains
+from ..sources import store
 
 
-def link_stream(queries: DataFrame, snapshot: Callable[[], tuple[DataFrame, DataFrame, str]], path: str, checkpoint: str) -> StreamingQuery:
+def link_stream(queries: DataFrame, snapshot: Callable[[str | None], tuple[DataFrame, DataFrame, str]], path: str, checkpoint: str) -> StreamingQuery:
     """Links each micro-batch of a query stream by containment and appends the results to ``path``.
 
-    ``snapshot()`` gives (words, entities, data_version) once a batch, so that a
-    batch sees one version; the version goes with its rows. A batch that is retried
-    replaces its own directory, so results are there once.
+    ``snapshot(None)`` gives the current (words, entities, data_version) and ``snapshot(version)``
+    that version's. A batch's version is written beside the checkpoint, once, before the batch is worked
+    on, so a batch that is retried sees the version of its first attempt, whatever was
+    published meanwhile. The version goes with the rows. A retried batch replaces its own directory, so results are there once.
     """
 
     def batch(rows: DataFrame, number: int) -> None:
-        words, entities, version = snapshot()
+        spark, pin = rows.sparkSession, f"{checkpoint}-versions/{number}"
+        pinned = store.read_small(spark, pin)
+        words, entities, version = snapshot(pinned or None)
+        if not pinned:
+            store.create_once(spark, pin, version)
         out = link_contains(rows, words, entities).withColumn("data_version", F.lit(version))
         out.write.mode("overwrite").parquet(f"{path}/batch={number}")
 

@@ -3,10 +3,13 @@
 import difflib
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
-from mentionforge.operators.candidates import fuzzy_pairs
+from mentionforge.operators.candidates import fuzzy_pairs, share_a_rare_letter
 from mentionforge.operators.similar import similar
+from mentionforge.plans import linking as L
+from mentionforge.schemas import FUZZY_WEIGHT, KEEP_MIN, TYPE_BONUS
 from mentionforge.sources import views as V
 
 SF = "/root/testdata/sf0.001"
@@ -60,6 +63,62 @@ def test_score_fuzzy(spark, entities):
     assert sorted(map(str, got.values())) == sorted(map(str, filter(None, want.values())))
 
 
+def test_link_catalog_fuzzy(spark, entities):
+    """Every mention scored against every name, then decided and rolled up by hand."""
+    queries = V.queries(spark, SF).where("query is not null")
+    found = L.catalog_mentions(queries, V.names(spark, SF)).collect()
+    names = [(e["entity_id"], e["entity_type"], flat(n), j) for e in entities for j, n in enumerate(names_of(e))]
+    decided = {}
+    for text, kind in {(m.text, m.predicted_type) for m in found}:
+        m, best = flat(text), {}
+        for i, own, n, j in names:
+            if kind in (None, own):
+                score = (0.99 if j == 0 else 0.92) if m == n else 0.78 if m in n or n in m else ratio(m, n) * 0.7
+                best[i] = max(best.get(i, 0), score + (0.05 if kind else 0))
+        top = sorted((-clamp(s), i) for i, s in best.items() if s >= 0.45)[:5]
+        if not top or -top[0][0] < 0.70:
+            decided[text, kind] = ("no_match", None, top)
+        elif len(top) > 1 and round((top[1][0] - top[0][0]) * 10000) / 10000 < 0.08:
+            decided[text, kind] = ("ambiguous", None, top)
+        else:
+            decided[text, kind] = ("linked", top[0][1], top)
+    per = {}
+    for m in sorted(found, key=lambda m: m.mention_idx):
+        per.setdefault(m.query_id, []).append((*decided[m.text, m.predicted_type], m.predicted_type))
+    want = {}
+    for q, rows in per.items():
+        linked = [i for s, i, _, _ in rows if s == "linked"]
+        status = "linked" if len(linked) == len(rows) else "partial" if linked else "ambiguous" if any(r[0] == "ambiguous" for r in rows) else "no_match"
+        offered = {}
+        for s, _, top, kind in rows:
+            if s != "no_match" or kind:
+                for score, i in top:
+                    offered.setdefault(i, score)
+        tops = [i for _, i in sorted((s, i) for i, s in offered.items())[:5]]
+        want[q] = (status, ",".join(linked), len(rows), ",".join(tops))
+    got = {r.query_id: (r.status, r.linked_ids, r.n_mentions, r.top_ids) for r in __spark_entry__.queries()["link_catalog_fuzzy"](spark, SF).collect()}
+    assert {q: x for q, x in got.items() if x[2]} == want and len(got) == queries.count()
+    plain = {r.query_id: r.top_ids for r in __spark_entry__.queries()["link_catalog"](spark, SF).collect()}
+    assert any(plain[q] != x[3] for q, x in got.items())  # similarity offers entities that nothing else does
+
+
+def test_fuzzy_candidates_are_few(spark):
+    """Pairs that meet before any bound is computed, against those whose ratio is reached."""
+    named = V.names(spark, SF).selectExpr("entity_id", "entity_type as e_type", "name", "is_canonical", "lower(replace(name, ' ', '')) as n")
+    asked = named.where("crc32(entity_id) % 20 = 0").selectExpr("name as text", "e_type as predicted_type", "n as m").distinct()
+    low = (KEEP_MIN - TYPE_BONUS) / FUZZY_WEIGHT
+    met = share_a_rare_letter(asked, named, "m", "n", F.lit(low), low).where("predicted_type = e_type").select("m", "n").distinct()
+    reached = fuzzy_pairs(asked, named).select("m", "n").distinct().count()
+    assert reached <= met.count() < 20 * reached
+
+
+@pytest.mark.parametrize("name", ["link_catalog", "link_catalog_fuzzy", "similar_native"])
+def test_plans_stay_short(spark, name):
+    """Shared tables are written once, so a plan doesn't read the tables over and over."""
+    plan = __spark_entry__.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") + plan.count("Relation[") < 60
+
+
 def test_alarm_phrase(spark, entities):
     suppliers = [e for e in entities if e["entity_type"] == "supplier"]
     want = set()
