@@ -137,7 +137,8 @@ def top_k(embeddings: DataFrame, queries: DataFrame, k: int = 10, scale: int = S
     null or non-finite components and null ids take no part. A vec_id that repeats
     among the queries asks once, with its least vector; repeated candidates count
     as often as they occur. Empty tables give an empty result; other columns are
-    ignored. Queries go in blocks of BLOCK, each held by every task and written out when it
+    ignored. Scores are held in 64 bits: components must be small enough for the sum of products of floor(scale * x)
+    to fit, beyond which scores are undefined. Queries go in blocks of BLOCK, each held by every task and written out when it
     is done; candidates are never gathered.
     """
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
