@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -135,23 +136,49 @@ def context_confirms(text: Column, pattern: Column) -> Column:
     return F.coalesce(F.rlike(F.lower(text), pattern), F.lit(False))
 
 
+def sweep(items: Column, start: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """What a fold over an array gives out on its way, in order: ``step(state, item)`` is struct(state, out), out an
+    array of what the item gives. ``start`` is the first state; null for a null array.
+
+    Arrays are copied when something is added to them, so a fold that grows one takes time quadratic in its length.
+    Here blocks of about the square root of the length are folded one by one, and only whole blocks are
+    added up: the length times its square root at most.
+    """
+    n = F.size(items)
+    width = F.greatest(F.lit(64), F.ceil(F.sqrt(n))).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(n / width).cast("int") - 1)), lambda b: F.slice(items, b * width + 1, width))
+
+    def add(s: Column, more: Column) -> Column:
+        # the one element binds what is computed, so that it is computed once
+        return F.get(F.transform(F.array(more), lambda r: F.struct(r["state"].alias("state"), F.concat(s["out"], r["out"]).alias("out"))), F.lit(0))
+
+    def block(s: Column, b: Column) -> Column:
+        first = F.struct(s["state"].alias("state"), F.slice(s["out"], 1, 0).alias("out"))
+        folded = F.aggregate(b, first, lambda t, item: add(t, step(t["state"], item)))
+        return F.get(F.transform(F.array(folded), lambda r: F.struct(r["state"].alias("state"), F.concat(s["out"], r["out"]).alias("out"))), F.lit(0))
+
+    none = F.slice(step(start, F.get(items, F.lit(0)))["out"], 1, 0)
+    return F.aggregate(blocks, F.struct(start.alias("state"), none.alias("out")), block, lambda s: s["out"])
+
+
 def regex_spans(text: Column, pattern: str, group: int = 0) -> Column:
     """Every match of a regular expression with its offsets. ``group`` 2 of a pattern of two groups gives that group's.
 
-    Matches are marked with two control characters, which the text itself loses
-    beforehand, and offsets come from the lengths between the marks.
+    Matches are marked with two control characters, and offsets come from the lengths between the marks. Where
+    the text holds these characters itself, others stand for them while it is searched.
     """
-    clean = F.translate(text, "\u0001\u0002", "  ")
-    marked = F.regexp_replace(clean, pattern, "\u0001$0\u0002" if group == 0 else "$1\u0001$2\u0002")
+    odd = F.contains(text, F.lit("\u0001")) | F.contains(text, F.lit("\u0002"))
+    marked = F.regexp_replace(F.translate(text, "\u0001\u0002", "\u0003\u0004"), pattern, "\u0001$0\u0002" if group == 0 else "$1\u0001$2\u0002")
     parts = F.split(marked, "[\u0001\u0002]", -1)
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("k"), F.array().cast(SPANS).alias("out"))
+    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), odd.alias("odd"))
 
     def step(s: Column, part: Column) -> Column:
         end = (s["at"] + F.length(part)).cast("int")
-        hit = F.array(F.struct(s["at"].alias("span_start"), end.alias("span_end"), part.alias("text")))
-        return F.struct(end.alias("at"), (s["k"] + 1).alias("k"), F.when(s["k"] % 2 == 1, F.concat(s["out"], hit)).otherwise(s["out"]).alias("out"))
+        own = F.when(s["odd"], F.substring(text, s["at"] + 1, F.length(part))).otherwise(part)
+        hit = F.array(F.struct(s["at"].alias("span_start"), end.alias("span_end"), own.alias("text")))
+        return F.struct(F.struct(end.alias("at"), (~s["inside"]).alias("inside"), s["odd"].alias("odd")).alias("state"), F.when(s["inside"], hit).otherwise(F.array().cast(SPANS)).alias("out"))
 
-    return F.aggregate(parts, start, step, lambda s: s["out"])
+    return sweep(parts, start, step)
 
 
 def trim_terminal(spans: Column) -> Column:
