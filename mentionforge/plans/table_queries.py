@@ -528,5 +528,5 @@ def run_log_stream(spark, sf_dir):
     events = V.table(spark, sf_dir, "events").select(F.col("user_id").alias("query_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("props").alias("user_token"))
     events.write.parquet(source)
     stream = spark.readStream.schema(events.schema).parquet(source)
-    LS.run_log_stream(stream, out, folder(spark, "log-checkpoint"), "10000 days").awaitTermination()
-    return spark.read.schema("query_id long, user_token string").json(out)
+    LS.run_log_stream(stream, out, folder(spark, "log-checkpoint")).awaitTermination()
+    return spark.read.schema("query_id long, user_token string").json(out).select("query_id", "user_token")

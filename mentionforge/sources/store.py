@@ -54,6 +54,12 @@ def names(spark: SparkSession, path: str) -> list[str]:
     return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder, if it is there."""
+    fs, p = _at(spark, path)
+    fs.delete(p, True)
+
+
 def empty_files(spark: SparkSession, path: str) -> list[str]:
     """The files without a byte at ``path`` (a file, a folder or a pattern), which Spark's readers pass over."""
     fs, p = _at(spark, path)
