@@ -13,6 +13,7 @@ from ..operators import quality as Q
 from ..operators import safety as S
 from ..operators.similar import similar
 from ..sources import files
+from ..sources import raw as raw_sources
 from ..sources import views as V
 from ..sources.store import folder
 from ..streaming import link_stream as LS
@@ -508,6 +509,40 @@ def prepared_sources(spark, sf_dir):
     return entities.select("entity_id", "entity_name", F.array_join("alias", ",").alias("alias"))
 
 
+def _intake(spark, sf_dir):
+    """Parts as a required source; customers as an optional one, of which every tenth line breaks off and every seventh
+    of the others lacks a name; suppliers as an optional one whose columns are of another kind; one that isn't there."""
+    def line(kind, name):
+        return F.struct(F.lit(kind).alias("entity_type"), name.alias("entity_name"), F.lit("d").alias("desc"))
+
+    base = folder(spark, "raw")
+    V.table(spark, sf_dir, "part").select(line("part", F.col("p_name")).alias("r")).select("r.*").write.parquet(f"{base}/parts")
+    key = F.col("c_custkey")
+    whole = F.to_json(line("customer", F.when(key % 7 != 0, F.col("c_name")).otherwise(" ")))
+    V.table(spark, sf_dir, "customer").select(F.when(key % 10 == 0, F.concat(F.lit('{"entity_name": '), key)).otherwise(whole).alias("value")).write.text(f"{base}/customers")
+    V.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("entity_name"), F.lit("supplier").alias("entity_type")).write.parquet(f"{base}/suppliers")
+    at = lambda name, required, layout: raw_sources.Source(name, f"{base}/{name}", required, layout)
+    return raw_sources.read_sources(spark, [at("parts", True, "parquet"), at("customers", False, "lines"), at("suppliers", False, "parquet"), at("absent", False, "lines")])
+
+
+@query("""with c as (select count(*) filter (where c_custkey % 10 <> 0 and c_custkey % 7 <> 0) as good, count(*) as n, count(distinct c_name) filter (where c_custkey % 10 <> 0 and c_custkey % 7 <> 0) as names from customer)
+select 'parts' as source, true as required, 'ok' as status, count(*) as n_rows, 0::bigint as n_bad, count(distinct lower(replace(p_name, ' ', ''))) as n_entities from part
+union all select 'customers', false, case when n > good then 'degraded' else 'ok' end, good, n - good, names from c union all select 'suppliers', false, 'failed', 0, 0, 0 union all select 'absent', false, 'failed', 0, 0, 0""")
+def source_report(spark, sf_dir):
+    """How each source of an intake fared, and how many entities it gave."""
+    intake = _intake(spark, sf_dir)
+    entities, _ = P.prepare_sources(intake.rows)
+    made = entities.groupBy(F.concat("entity_type", F.lit("s")).alias("source")).agg(F.count("*").alias("n_entities"))
+    return intake.report.join(made.hint("merge"), "source", "left").select("source", "required", "status", "n_rows", "n_bad", F.coalesce("n_entities", F.lit(0)).alias("n_entities"))
+
+
+@query("""select 'customers' as source, case when c_custkey % 10 = 0 then concat('{"entity_name": ', c_custkey) else '{"entity_type":"customer","entity_name":" ","desc":"d"}' end as record,
+    case when c_custkey % 10 = 0 then 'not JSON' else 'missing: entity_name' end as problem from customer where c_custkey % 10 = 0 or c_custkey % 7 = 0""")
+def quarantined_rows(spark, sf_dir):
+    """The rows that an intake puts aside."""
+    return _intake(spark, sf_dir).quarantine.select("source", "record", "problem")
+
+
 @query(f"""with recursive {V.oracle_ctes('fx_words', 'fx_queries')} select query_id, case when template in (0, 3, 4, 5) then 'linked' else 'no_match' end as status,
     case template when 0 then concat('P:', p_name, ',S:', skey) when 3 then concat('P:', p_name) when 4 then concat('P:', p_name, ',N:', nkey) when 5 then concat('P:', p_name, ',R:', rkey) else '' end as linked_ids, 'v1' as data_version from fx_queries""")
 def link_stream(spark, sf_dir):

@@ -25,6 +25,14 @@ def _fits(value: Column, kind: T.DataType) -> Column:
     return said.rlike(rf"(?s)^({_KINDS[type(kind)]})$")
 
 
+def item_problem(item: str, shape: T.StructType) -> Column:
+    """What keeps a column of JSON values (variants) from being rows of ``shape``; null where nothing does."""
+    field = lambda f: F.try_variant_get(item, f"$.{f.name}", "variant")
+    wrong = F.concat_ws(", ", *[F.when(field(f).isNotNull() & ~_fits(field(f), f.dataType), f.name) for f in shape.fields])
+    no_object = F.col(item).isNull() | ~F.schema_of_variant(item).startswith("OBJECT<")
+    return F.when(no_object, "an item is no object").when(wrong != "", F.concat(F.lit("wrong type: "), wrong))
+
+
 def document_problems(spark: SparkSession, path: str, shape: T.StructType, member: str) -> DataFrame:
     """file, problem: what keeps the JSON documents at ``path`` from holding ``member`` as a list of rows of ``shape``:
     text that isn't JSON, a root that is no object or lacks the list, metadata that is no object, an item that is no
@@ -41,10 +49,7 @@ def document_problems(spark: SparkSession, path: str, shape: T.StructType, membe
     )
     roots = docs.select("file", problem.alias("problem")).where("problem is not null")
     items = docs.where(is_list).select("file", F.explode(F.try_variant_get("v", f"$.{member}", "array<variant>")).alias("item"))
-    field = lambda f: F.try_variant_get("item", f"$.{f.name}", "variant")
-    wrong = F.concat_ws(", ", *[F.when(field(f).isNotNull() & ~_fits(field(f), f.dataType), f.name) for f in shape.fields])
-    told = F.when(F.col("item").isNull() | ~F.schema_of_variant("item").startswith("OBJECT<"), "an item is no object").when(wrong != "", F.concat(F.lit("wrong type: "), wrong))
-    return roots.unionByName(items.select("file", told.alias("problem")).where("problem is not null").distinct())
+    return roots.unionByName(items.select("file", item_problem("item", shape).alias("problem")).where("problem is not null").distinct())
 
 
 def _read(spark: SparkSession, path: str, row: T.StructType, member: str, layout: str, legacy: bool) -> DataFrame:
