@@ -21,7 +21,7 @@ SHAPED_TOKEN = r"(?<![A-Za-z0-9_])(?=[A-Za-z0-9_.()/-]*\d)[A-Za-z][A-Za-z0-9_.]*
 ALARM_ID = r"(?i)(?<![A-Za-z0-9])ALM-\d+(?![A-Za-z0-9])"
 NUMBER_AFTER_ALARM = r"(?iU)((?:\balarm\b|告警)\s*(?:id|number|编号|号)?\s*[:：#-]?\s*)(\d+)"
 TERMINAL = ".,;:!?"
-SPANS = "array<struct<span_start:int,span_end:int,text:string>>"
+SPAN = "struct<span_start:int,span_end:int,text:string>"
 
 
 def is_ascii(c: Column) -> Column:
@@ -136,29 +136,34 @@ def context_confirms(text: Column, pattern: Column) -> Column:
     return F.coalesce(F.rlike(F.lower(text), pattern), F.lit(False))
 
 
-def sweep(items: Column, start: Column, step: Callable[[Column, Column], Column]) -> Column:
-    """What a fold over an array gives out on its way, in order: ``step(state, item)`` is struct(state, out), out an
-    array of what the item gives. ``start`` is the first state; null for a null array.
+def sweep(items: Column, start: Column, kind: str, state: Callable, takes: Callable, gives: Callable) -> Column:
+    """What a fold over an array gives out on its way, in order, as ``array<kind>``; null for a null array.
 
-    Arrays are copied when something is added to them, so a fold that grows one takes time quadratic in its length.
-    Here blocks of about the square root of the length are folded one by one, and only whole blocks are
-    added up: the length times its square root at most.
+    ``state(s, item)`` is the next state, ``start`` the first; where ``takes(s, item)``, ``gives(s, item)`` is added to what is given
+    out. Arrays are copied when something is added to them, so a fold that grows one takes time quadratic in its
+    length. Here blocks of about the square root of the length are folded one by one, and only whole blocks
+    are added up: the length times its square root at most.
     """
-    n = F.size(items)
-    width = F.greatest(F.lit(64), F.ceil(F.sqrt(n))).cast("int")
-    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(n / width).cast("int") - 1)), lambda b: F.slice(items, b * width + 1, width))
+    none = F.array().cast(f"array<{kind}>")
 
-    def add(s: Column, more: Column) -> Column:
-        # the one element binds what is computed, so that it is computed once
-        return F.get(F.transform(F.array(more), lambda r: F.struct(r["state"].alias("state"), F.concat(s["out"], r["out"]).alias("out"))), F.lit(0))
+    def bound(value: Column, body: Callable) -> Column:
+        """``body`` of ``value``, which is computed once however often it is named."""
+        return F.get(F.transform(F.array(value), body), F.lit(0))
+
+    def item(s: Column, x: Column) -> Column:
+        out = F.when(takes(s["state"], x), F.concat(s["out"], F.array(gives(s["state"], x)))).otherwise(s["out"])
+        return F.struct(state(s["state"], x).alias("state"), out.alias("out"))
 
     def block(s: Column, b: Column) -> Column:
-        first = F.struct(s["state"].alias("state"), F.slice(s["out"], 1, 0).alias("out"))
-        folded = F.aggregate(b, first, lambda t, item: add(t, step(t["state"], item)))
-        return F.get(F.transform(F.array(folded), lambda r: F.struct(r["state"].alias("state"), F.concat(s["out"], r["out"]).alias("out"))), F.lit(0))
+        folded = F.aggregate(b, F.struct(s["state"].alias("state"), none.alias("out")), item)
+        return bound(folded, lambda r: F.struct(r["state"].alias("state"), F.concat(s["out"], r["out"]).alias("out")))
+
+    def blocks(v: Column) -> Column:
+        width = F.greatest(F.lit(64), F.ceil(F.sqrt(F.size(v)))).cast("int")
+        last = F.greatest(F.lit(0), F.ceil(F.size(v) / width).cast("int") - 1)
+        return F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(v, b * width + 1, width))
 
-    none = F.slice(step(start, F.get(items, F.lit(0)))["out"], 1, 0)
-    return F.aggregate(blocks, F.struct(start.alias("state"), none.alias("out")), block, lambda s: s["out"])
+    return F.aggregate(bound(items, blocks), F.struct(start.alias("state"), none.alias("out")), block, lambda s: s["out"])
 
 
 def regex_spans(text: Column, pattern: str, group: int = 0) -> Column:
@@ -172,13 +177,17 @@ def regex_spans(text: Column, pattern: str, group: int = 0) -> Column:
     parts = F.split(marked, "[\u0001\u0002]", -1)
     start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), odd.alias("odd"))
 
-    def step(s: Column, part: Column) -> Column:
-        end = (s["at"] + F.length(part)).cast("int")
+    def end(s: Column, part: Column) -> Column:
+        return (s["at"] + F.length(part)).cast("int")
+
+    def after(s: Column, part: Column) -> Column:
+        return F.struct(end(s, part).alias("at"), (~s["inside"]).alias("inside"), s["odd"].alias("odd"))
+
+    def hit(s: Column, part: Column) -> Column:
         own = F.when(s["odd"], F.substring(text, s["at"] + 1, F.length(part))).otherwise(part)
-        hit = F.array(F.struct(s["at"].alias("span_start"), end.alias("span_end"), own.alias("text")))
-        return F.struct(F.struct(end.alias("at"), (~s["inside"]).alias("inside"), s["odd"].alias("odd")).alias("state"), F.when(s["inside"], hit).otherwise(F.array().cast(SPANS)).alias("out"))
+        return F.struct(s["at"].alias("span_start"), end(s, part).alias("span_end"), own.alias("text"))
 
-    return sweep(parts, start, step)
+    return sweep(parts, start, SPAN, after, lambda s, _: s["inside"], hit)
 
 
 def trim_terminal(spans: Column) -> Column:

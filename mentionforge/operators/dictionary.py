@@ -85,8 +85,7 @@ def detect_literal(queries: DataFrame, names: DataFrame, name: str = "name") ->
     distinct = lowered.select("_key").distinct()
     hits = occurrences(queries.select("query_id", "query", F.lower("query").alias("_low")), distinct, "_low", "_key")
     size = F.length("_key")
-    none = F.array().cast("array<int>")
-    taken = X.sweep(F.array_sort("ats"), F.lit(-1), lambda end, p: F.struct(F.when(p >= end, p + size).otherwise(end).cast("int").alias("state"), F.when(p >= end, F.array(p)).otherwise(none).alias("out")))
+    taken = X.sweep(F.array_sort("ats"), F.lit(-1), "int", lambda end, p: F.when(p >= end, p + size).otherwise(end).cast("int"), lambda end, p: p >= end, lambda end, p: p)
     places = hits.groupBy("query_id", "query", "_key").agg(F.collect_list(F.col("at").cast("int")).alias("ats")).select("query_id", "query", "_key", F.explode(taken).alias("span_start"))
     places = places.withColumn("span_end", (F.col("span_start") + F.length("_key")).cast("int"))
     places = places.where(X.has_token_boundary(F.col("query"), F.col("span_start"), F.col("span_end")))
@@ -100,13 +99,11 @@ def select_spans(mentions: DataFrame, by: str, order: list[Column], keep: list[s
     fields = [F.col("span_start").alias("_1"), (F.col("span_start") - F.col("span_end")).alias("_2"), *(c.alias(f"_o{i}") for i, c in enumerate(order)), F.struct("span_start", "span_end", *keep).alias("_m")]
     grouped = mentions.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("_all"))
     kind = grouped.schema["_all"].dataType.elementType["_m"].dataType.simpleString()
-    none = F.array().cast(f"array<{kind}>")
 
-    def step(end: Column, m: Column) -> Column:
-        fits = m["_m"]["span_start"] >= end
-        return F.struct(F.when(fits, m["_m"]["span_end"]).otherwise(end).alias("state"), F.when(fits, F.array(m["_m"])).otherwise(none).alias("out"))
+    def fits(end: Column, m: Column) -> Column:
+        return m["_m"]["span_start"] >= end
 
-    chosen = X.sweep(F.col("_all"), F.lit(0), step)
+    chosen = X.sweep(F.col("_all"), F.lit(0), kind, lambda end, m: F.when(fits(end, m), m["_m"]["span_end"]).otherwise(end), fits, lambda end, m: m["_m"])
     return grouped.select(by, F.posexplode(chosen).alias("mention_idx", "_m")).select(by, "mention_idx", "_m.*")
 
 
