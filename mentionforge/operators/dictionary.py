@@ -7,13 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
-from ..sources.store import write_out
-
-#: Length of the anchors that texts and keys meet on.
-GRAM = 6
-#: What is sent to every task at most: rows, and bytes as JSON text; above either, the join shuffles.
-BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
-
+from .anchors import BROADCAST_BYTES, BROADCAST_ROWS, AnchorIndex, build_index
 
 def small_or_shuffled(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
     """``df`` to be broadcast if its rows and their bytes are shown to be few, else for a sort-merge join."""
@@ -21,27 +15,15 @@ def small_or_shuffled(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BRO
     return df.hint("broadcast" if n <= rows and (width or 0) <= size else "merge")
 
 
-def anchors(words: DataFrame, key: str, gram: int = GRAM) -> DataFrame:
-    """_k, off, gram: for each distinct key its piece of ``gram`` characters that fewest keys share,
-    and where it stands in the key; a shorter key is its own anchor."""
-    keys = words.select(F.col(key).alias("_k")).where(F.length(key) > 0).distinct()
-    places = F.sequence(F.lit(0), F.greatest(F.lit(0), F.length("_k") - gram))
-    pieces = keys.select("_k", F.explode(places).alias("off")).withColumn("gram", F.substring("_k", F.col("off") + 1, F.lit(gram)))
-    common = pieces.groupBy("gram").agg(F.count("*").alias("_n"))
-    best = pieces.join(common.hint("merge"), "gram").groupBy("_k").agg(F.min_by(F.struct("off", "gram"), F.struct("_n", "off")).alias("_a"))
-    return best.select("_k", "_a.off", "_a.gram")
-
-
-def occurrences(texts: DataFrame, words: DataFrame, text: str, key: str, gram: int | None = None) -> DataFrame:
+def occurrences(texts: DataFrame, words: DataFrame, text: str, key: str, index: AnchorIndex | None = None) -> DataFrame:
     """Each row of ``texts`` with each row of ``words`` whose key its text contains, once for every
     place (overlapping ones too), as 0-based at. Equal to a containment join, by equality on anchors.
 
     Only a hash of the text travels with its pieces; the text itself is joined back
-    where an anchor was met, and compared there.
+    where an anchor was met, and compared there. ``index``: that of the words' keys, if there is one already.
     """
-    gram = gram or GRAM
-    sizes = [r[0] for r in words.where(F.length(key) > 0).select(F.least(F.length(key), F.lit(gram))).distinct().collect()]  # at most ``gram`` numbers
-    if not sizes:
+    index = index or build_index(words, key)
+    if not index.lengths:
         shape = T.StructType([*texts.schema.fields, *words.schema.fields, T.StructField("at", T.IntegerType())])
         return texts.sparkSession.createDataFrame([], shape)
     t = F.col(text)
@@ -49,20 +31,20 @@ def occurrences(texts: DataFrame, words: DataFrame, text: str, key: str, gram: i
     def pieces(size: int) -> Column:
         return F.transform(X.positions(F.length(t) - size + 1), lambda p: F.struct(p.alias("p"), F.substring(t, p + 1, F.lit(size)).alias("gram")))
 
-    placed = texts.select(F.xxhash64(text).alias("_h"), F.explode(F.flatten(F.array(*(pieces(s) for s in sorted(sizes))))).alias("_g"))
-    met = placed.select("_h", "_g.p", "_g.gram").join(small_or_shuffled(write_out(anchors(words, key, gram), "anchors")), "gram")
+    placed = texts.select(F.xxhash64(text).alias("_h"), F.explode(F.flatten(F.array(*(pieces(s) for s in index.lengths)))).alias("_g"))
+    met = index.meet(placed.select("_h", "_g.p", "_g.gram"))
     met = met.select("_h", "_k", (F.col("p") - F.col("off")).alias("at")).where("at >= 0").distinct()
     hit = texts.withColumn("_h", F.xxhash64(text)).join(met.hint("merge"), "_h").where(F.substring(t, F.col("at") + 1, F.length("_k")) == F.col("_k"))
     return hit.join(small_or_shuffled(words), F.col("_k") == words[key]).select(*texts.columns, *words.columns, "at")
 
 
-def match_words(queries: DataFrame, words: DataFrame) -> DataFrame:
+def match_words(queries: DataFrame, words: DataFrame, index: AnchorIndex | None = None) -> DataFrame:
     """Normalised containment: queries (query_id, query) x words whose normalized_key they contain, with the
-    raw span of every place. A query's non-null entity_types restricts the words' types."""
+    raw span of every place. A query's non-null entity_types restricts the words' types. ``index``: that of normalized_key."""
     normal = queries.withColumn("_q", X.normalize_query(F.col("query"))).select("*", F.col("_q.norm").alias("norm"), F.col("_q.pos").alias("pos")).drop("_q")
     # made before the join: higher-order functions in a join's condition can't see both sides
     words = words.withColumn("context_pattern", X.context_pattern(F.col("context_keywords")))
-    hits = occurrences(normal, words, "norm", "normalized_key")
+    hits = occurrences(normal, words, "norm", "normalized_key", index)
     if "entity_types" in queries.columns:
         hits = hits.where(F.col("entity_types").isNull() | (F.size("entity_types") == 0) | F.array_contains("entity_types", F.col("entity_type")))
     span = X.restore_span(F.col("pos"), F.col("at"), (F.col("at") + F.length("normalized_key")).cast("int"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import dictionary as D
 from ..operators import candidates as C
+from ..operators.anchors import AnchorIndex
 from ..schemas import LAYERS, MAX_CANDIDATES
 from ..sources.store import write_out
 from .proposals import merge_proposals
@@ -21,19 +22,19 @@ def request_gate(queries: DataFrame) -> DataFrame:
     return queries.withColumns({"valid": ~blank, "gate_error": F.when(blank, "invalid_input")})
 
 
-def contains_mentions(queries: DataFrame, words: DataFrame, strict_context: bool = False) -> DataFrame:
+def contains_mentions(queries: DataFrame, words: DataFrame, strict_context: bool = False, index: AnchorIndex | None = None) -> DataFrame:
     """Confirmed, non-overlapping matches of normalised keys: query_id, mention_idx, span, text, entity_id, entity_type, source, match_mode."""
-    found = D.confirm(D.match_words(queries, words), strict_context)
+    found = D.confirm(D.match_words(queries, words, index), strict_context)
     order = [-F.coalesce("priority", F.lit(0)), F.col("entity_id")]
     return D.select_spans(found, "query_id", order, ["text", "entity_id", "entity_type", "source", "match_mode"])
 
 
-def link_contains(queries: DataFrame, words: DataFrame, entities: DataFrame, words_version: str = "v1", entities_version: str = "v1", strict_context: bool = False) -> DataFrame:
+def link_contains(queries: DataFrame, words: DataFrame, entities: DataFrame, words_version: str = "v1", entities_version: str = "v1", strict_context: bool = False, index: AnchorIndex | None = None) -> DataFrame:
     """One row a query: status (linked, no_match, invalid_input, dependency_failed), error_code, linked_ids in span
     order, n_mentions, n_words (confirmed matches chosen) and n_entities. A chosen id without details, or tables
     of different versions, fail the query; they never make it no_match."""
     gated = request_gate(queries)
-    chosen = contains_mentions(gated.where("valid").select("query_id", "query", *[c for c in ("entity_types",) if c in queries.columns]), words, strict_context)
+    chosen = contains_mentions(gated.where("valid").select("query_id", "query", *[c for c in ("entity_types",) if c in queries.columns]), words, strict_context, index)
     known = entities.select(F.col("entity_id").alias("_known")).distinct()
     checked = chosen.join(D.small_or_shuffled(known), F.col("entity_id") == F.col("_known"), "left")
     per_query = checked.groupBy("query_id").agg(

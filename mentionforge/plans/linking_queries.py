@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import candidates as C
 from ..operators import dictionary as D
+from ..operators.anchors import index_once
+from ..sources import store
 from ..sources import views as V
 from . import linking as L
 from .registry import query
@@ -60,6 +62,16 @@ def match_words(spark, sf_dir):
     return hits.groupBy("query_id", "entity_id", "source").agg(F.count("*").alias("places"))
 
 
+@query(f"with recursive {_P1} select query_id, entity_id, source, count(*) as places from hit group by all")
+def match_words_indexed(spark, sf_dir):
+    """As match_words, by an index that is built once, found again, and too large to broadcast: pieces go through its sieve."""
+    q, w = V.queries(spark, sf_dir), V.words(spark, sf_dir)
+    base = store.folder(spark, "word-anchors")
+    for _ in range(2):
+        index = index_once(w, "normalized_key", base, "v1", most_rows=0)
+    return D.match_words(q, w, index).groupBy("query_id", "entity_id", "source").agg(F.count("*").alias("places"))
+
+
 @query(f"with recursive {_P1} select query_id, entity_id, source, span_start, span_end from hit")
 def match_positions(spark, sf_dir):
     return D.match_words(V.queries(spark, sf_dir), V.words(spark, sf_dir)).select("query_id", "entity_id", "source", "span_start", "span_end")

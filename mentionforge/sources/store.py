@@ -69,6 +69,11 @@ def empty_files(spark: SparkSession, path: str) -> list[str]:
     return [x.getPath().toString() for x in plain if x.getLen() == 0]
 
 
+def unique() -> str:
+    """A name that nothing else has."""
+    return uuid.uuid4().hex
+
+
 def folder(spark: SparkSession, name: str) -> str:
     """A new folder that all executors share: in the cluster's ``spark.checkpoint.dir``, or a local one in local mode."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -76,7 +81,7 @@ def folder(spark: SparkSession, name: str) -> str:
         if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{name}-{unique()}"
 
 
 def write_out(df: DataFrame, name: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.anchors import index_once
 from ..operators.safety import redact
 from ..plans.linking import link_contains
 from ..sources import store
@@ -23,7 +24,7 @@ def link_stream(queries: DataFrame, snapshot: Callable[[str | None], tuple[DataF
     ``snapshot(None)`` gives the current (words, entities, data_version) and ``snapshot(version)``
     that version's. A batch's version is written beside the checkpoint, once, before the batch is worked
     on, so a batch that is retried sees the version of its first attempt, whatever was
-    published meanwhile. The version goes with the rows. A retried batch replaces its own directory, so results are there once.
+    published meanwhile. A version's anchors are built once, for all its batches. The version goes with the rows. A retried batch replaces its own directory, so results are there once.
     """
 
     def batch(rows: DataFrame, number: int) -> None:
@@ -32,7 +33,8 @@ def link_stream(queries: DataFrame, snapshot: Callable[[str | None], tuple[DataF
         words, entities, version = snapshot(pinned or None)
         if not pinned:
             store.create_once(spark, pin, version)
-        out = link_contains(rows, words, entities).withColumn("data_version", F.lit(version))
+        index = index_once(words, "normalized_key", f"{checkpoint}-anchors", version)
+        out = link_contains(rows, words, entities, index=index).withColumn("data_version", F.lit(version))
         out.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return queries.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
