@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.store import write_out
 from .quality import gate, gold_rules
 from .safety import redact
 
@@ -35,7 +36,7 @@ def score_mentions(expected: DataFrame, actual: DataFrame, strict: bool = False)
     mention_idx, text, span_start, status, entity_id, entity_type, candidate_ids (array). ``strict`` matches
     by equal text and also asks for the same place.
     """
-    matched = match_gold(expected, actual).persist()
+    matched = write_out(match_gold(expected, actual), "matched")
     if strict:
         matched = matched.withColumn("mention_idx", F.when(F.col("tier") == 0, F.col("mention_idx")))
     a = actual.select("query_id", "mention_idx", F.col("span_start").alias("a_start"), "status", "entity_id", "entity_type", "candidate_ids")
@@ -137,8 +138,8 @@ def evaluate(gold: DataFrame, expected: DataFrame, results: DataFrame, actual: D
     violations = gold_rules(gold, expected, entities)
     if not gate(violations):
         return {"violations": violations}
-    mention_cases = score_mentions(expected, actual, strict).persist()
-    cases = score_cases(gold, results, mention_cases).persist()
+    mention_cases = write_out(score_mentions(expected, actual, strict), "mention-cases")
+    cases = write_out(score_cases(gold, results, mention_cases), "cases")
     whole = totals(cases)
     report(redact(whole), path)
     failures = cases.where(~F.col("passed")).select("query_id", "expected_status", "actual_status", "reason")
