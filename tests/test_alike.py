@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from mentionforge.functions.text import common_letters
 from mentionforge.operators import candidates as C
 
 ratio = lambda a, b: difflib.SequenceMatcher(None, a, b).ratio()
@@ -30,3 +31,28 @@ def test_few_pairs_meet_among_numbered_names(spark):
     asked = names.selectExpr("concat(substring(y, 1, 2), substring(y, 4)) as x")
     met = C._share_letters(asked, names, "x", "y", 0.9).distinct().count()
     assert met < 3000 * 3000 / 10
+
+
+def test_numbered_names_meet_in_order(spark):
+    """Rare letters meet in the order of the text: by letters alone, numbers of equal digits all met."""
+    names = spark.range(3000).selectExpr("concat('supplier#', lpad(cast(id as string), 9, '0')) as y")
+    asked = names.selectExpr("concat(substring(y, 1, 2), substring(y, 4)) as x")
+    met = C._share_letters(asked, names, "x", "y", 0.9).distinct().count()
+    assert met < 3000 * 3000 / 25
+
+
+def test_common_letters(spark):
+    r = random.Random(2)
+    made = lambda: "".join(r.choice("ab\0é") for _ in range(r.choice([0, 1, 5, 63])))
+    a, b = [made() for _ in range(100)], [made() for _ in range(100)]
+
+    def plain(s, t):
+        row = [0] * (len(t) + 1)
+        for c in s:
+            new = [0]
+            for j, e in enumerate(t):
+                new.append(row[j] + 1 if c == e else max(row[j + 1], new[j]))
+            row = new
+        return row[-1]
+
+    assert list(common_letters(a, b)) == [plain(s, t) for s, t in zip(a, b, strict=True)]
