@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import re
-from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from itertools import count
 
@@ -38,47 +37,51 @@ def chunk_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     of the block that hold it and how often. One row of a block, its header, has its documents' langs and sources as JSON in
     place of postings; its chunk is a blank, which no chunk holds, and the block's number, so that headers spread."""
     blocks, part = count(), TaskContext.get().partitionId() << 32
-    index: dict[bytes, int] = defaultdict(count().__next__)
-    ids, docs, counts, langs, sources, size = [], [], [], [], [], 0
+    texts, langs, sources, size = [], [], [], 0
 
     def flush() -> Iterator[pa.RecordBatch]:
-        nonlocal index, size
+        nonlocal size
         block = part | next(blocks)
-        which, doc, n = np.concatenate(ids or [np.zeros(0, np.int64)]), np.repeat(np.arange(len(docs)), docs), np.concatenate(counts or [np.zeros(0, np.int64)])
+        words = pc.ascii_split_whitespace(pa.concat_arrays(texts))
+        flat = words.flatten().dictionary_encode()
+        chunks = flat.dictionary.cast(pa.binary())
+        doc = np.repeat(np.arange(len(langs)), np.diff(np.asarray(words.offsets)))
+        # by chunk, then by document; white space at the ends of a text leaves empty pieces
+        key = np.asarray(flat.indices).astype(np.int64) << 16 | doc
+        empty = flat.dictionary.index("").as_py()
+        key = np.sort(key if empty < 0 else key[key >> 16 != empty])
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+        n, key = np.diff(np.append(first, len(key))), key[first]
         times = -(-n // MOST)
-        which, doc, n = np.repeat(which, times), np.repeat(doc, times), np.repeat(n, times)
         last = np.cumsum(times) - 1
-        full = np.full(len(n), MOST)
-        full[last] = n[last] - (times - 1) * MOST
-        order = np.argsort(which, kind="stable")
-        postings = np.empty(len(order), POSTING)
-        postings["doc"], postings["n"] = doc[order], full[order]
-        ends = np.cumsum(np.bincount(which, minlength=len(index))) * POSTING.itemsize
-        data = postings.tobytes()
-        chunks = list(index)
-        rows = [data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)] if chunks else []
+        full = np.full(int(times.sum()), MOST)
+        full[last] = n - (times - 1) * MOST
+        postings = np.empty(len(full), POSTING)
+        postings["doc"], postings["n"] = np.repeat(key & 0xFFFF, times), full
+        ends = np.concatenate(([0], np.cumsum(np.bincount(np.repeat(key >> 16, times), minlength=len(chunks)))))
         for lo in range(0, len(chunks), 10_000):
-            some = chunks[lo : lo + 10_000]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), block)), pa.array(some, pa.binary()), pa.array(rows[lo : lo + 10_000], pa.binary())], schema=CHUNKS)
+            some, own = chunks.slice(lo, 10_000), ends[lo : lo + 10_001]
+            at = pa.py_buffer(((own - own[0]) * POSTING.itemsize).astype(np.int32))
+            rows = pa.Array.from_buffers(pa.binary(), len(some), [None, at, pa.py_buffer(postings[own[0] : own[-1]].tobytes())])
+            rows = pa.RecordBatch.from_arrays([pa.array(np.full(len(some), block)), some, rows], schema=CHUNKS)
+            yield rows if not lo <= empty < lo + len(some) else rows.filter(pc.not_equal(some, b""))
         yield pa.RecordBatch.from_pylist([{"block": block, "chunk": b" %d" % block, "data": json.dumps([langs, sources]).encode()}], schema=CHUNKS)
-        index = defaultdict(count().__next__)
         size = 0
-        for held in (ids, docs, counts, langs, sources):
+        for held in (texts, langs, sources):
             held.clear()
 
     for batch in batches:
-        for text, lang, source in zip(*(batch.column(c).to_pylist() for c in ("text", "lang", "source")), strict=True):
-            data = text.encode()
-            if docs and (len(docs) == BLOCK_DOCS or size + len(data) > BLOCK_BYTES):
+        column, begun = batch.column("text").cast(pa.string()), 0
+        for i, (width, lang, source) in enumerate(zip(*(c.to_pylist() for c in (pc.binary_length(column), batch.column("lang"), batch.column("source"))), strict=True)):
+            if langs and (len(langs) == BLOCK_DOCS or size + width > BLOCK_BYTES):
+                texts.append(column.slice(begun, i - begun))
                 yield from flush()
-            own = Counter(data.split())
-            ids.append(np.fromiter((index[w] for w in own), np.int64, len(own)))
-            counts.append(np.fromiter(own.values(), np.int64, len(own)))
-            docs.append(len(own))
+                begun = i
             langs.append(lang)
             sources.append(source)
-            size += len(data)
-    if docs:
+            size += width
+        texts.append(column.slice(begun))
+    if langs:
         yield from flush()
 
 
@@ -133,8 +136,8 @@ def summed(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """lang, term, docs (documents of the language with the term), sources: [source, occurrences, documents] of each source as
-    JSON; summed over the blocks of a task."""
+    """lang, term, docs (documents of the language with the term), sources: a line for each source, its name as JSON, a tab and
+    its occurrences; summed over the blocks of a task. JSON holds neither tabs nor line ends as they are."""
     terms: dict[bytes, int] = {}
     groups: dict[tuple, int] = {}
     held, size = [], 0
@@ -145,7 +148,7 @@ def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lang = np.array([langs.index(x) for x, _ in groups], np.int64)[group]
         order = np.lexsort((lang, key >> 32))
         term, lang, docs = (key >> 32)[order], lang[order], docs[order]
-        names = [f"[{json.dumps(source)}," for _, source in groups]
+        names = [f"{json.dumps(source)}\t" for _, source in groups]
         first = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (lang[1:] != lang[:-1]))))
         edges = np.append(first, len(term))
         total = np.add.reduceat(docs, first)
@@ -154,9 +157,9 @@ def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo in range(0, len(first), 50_000):
             at, own = first[lo : lo + 50_000], edges[lo : lo + 50_001]
             some = slice(own[0], own[-1])
-            entries = [f"{names[g]}{x},{y}]" for g, x, y in zip(group[some].tolist(), n[some].tolist(), docs[some].tolist(), strict=True)]
+            entries = [f"{names[g]}{x}" for g, x in zip(group[some].tolist(), n[some].tolist(), strict=True)]
             ends = (own - own[0]).tolist()
-            sources = ["[" + ",".join(entries[i:j]) + "]" for i, j in zip(ends, ends[1:], strict=False)]
+            sources = ["\n".join(entries[i:j]) for i, j in zip(ends, ends[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([langs.take(pa.array(lang[at])), words.take(pa.array(term[at])), pa.array(total[lo : lo + 50_000]), pa.array(sources, pa.string())], names=["lang", "term", "docs", "sources"])
 
     for table in groups_of(batches, ["block"]):
@@ -198,8 +201,12 @@ def kept_terms(docs: DataFrame, least: int) -> DataFrame:
     counted = cut.repartition("block").sortWithinPartitions("block").mapInArrow(count_terms, "lang string, term string, docs long, sources string")
     of_term = Window.partitionBy("lang", "term")
     kept = counted.withColumn("lang_docs", F.sum("docs").over(of_term)).where(F.col("lang_docs") >= least)
-    each = kept.select("lang", "term", F.explode(F.from_json("sources", "array<array<string>>")).alias("s"))
-    found = each.select("lang", "term", F.get("s", F.lit(0)).alias("source"), F.get("s", F.lit(1)).cast("long").alias("n")).groupBy("lang", "term", "source").agg(F.sum("n").alias("n"))
+    each = kept.select("lang", "term", F.explode(F.split("sources", "\n")).alias("s"))
+    said, n = F.substring_index("s", "\t", 1), F.substring_index("s", "\t", -1).cast("long")
+    found = each.select("lang", "term", said.alias("said"), n.alias("n")).groupBy("lang", "term", "said").agg(F.sum("n").alias("n"))
+    # most names are the letters between their quotes
+    name = F.when(F.contains("said", F.lit("\\")), F.get(F.from_json(F.concat(F.lit("["), "said", F.lit("]")), "array<string>"), F.lit(0))).otherwise(F.expr("substring(said, 2, length(said) - 2)"))
+    found = found.select("lang", "term", name.alias("source"), "n")
     one = (F.min("source").over(of_term) == F.col("source")).cast("int")
     return found.select("lang", "source", "term", "n", F.sum("n").over(of_term).alias("lang_n"), one.alias("one"))
 

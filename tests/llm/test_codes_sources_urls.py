@@ -183,3 +183,11 @@ def test_long_urls_are_mined_in_stretches(spark):
     rules = mine_rules(labelled)
     assert {x.verdict for x in rules.collect()} == {"block", "allow"} and all(len(x.tokens) == 1 for x in rules.collect())
     assert [x.said for x in match_rules(spark.createDataFrame([("http://z/y0/A0",)], "url string"), rules).collect()] == ["block"]
+
+
+def test_source_names_that_json_escapes(spark):
+    """Names with quotes, backslashes, tabs and line ends come back as they were."""
+    names = ['s"\\', "a\tb\nc", "é", ""]
+    docs = spark.createDataFrame([(f"w{i} shared words", "x", names[i % 4]) for i in range(12)], "text string, lang string, source string")
+    got = {r.source for r in source_divergence(docs, min_docs=2).collect()}
+    assert got == set(names)
