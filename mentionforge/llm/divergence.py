@@ -23,6 +23,8 @@ MIN_DOCS, SMOOTHING, UNIT, TOP = 30, 5, 1_000_000_000, 50
 BLOCK_DOCS, BLOCK_BYTES = 32_768, 32 << 20
 #: Counts that a task holds before it passes them on; numbers of a matrix; rows of (source, term) that are compared in one task; sources compared at once.
 HELD, CELLS, BUCKET, SOURCES = 1_000_000, 4_000_000, 50_000, 256
+#: Postings that are unfolded at once, about.
+STEP = 500_000
 #: Letters A-Z, a-z and everything beyond ASCII.
 TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -43,13 +45,18 @@ def chunk_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nonlocal size
         block = part | next(blocks)
         words = pc.ascii_split_whitespace(pa.concat_arrays(texts))
-        flat = words.flatten().dictionary_encode()
-        chunks = flat.dictionary.cast(pa.binary())
-        doc = np.repeat(np.arange(len(langs)), np.diff(np.asarray(words.offsets)))
+        texts.clear()
+        per_doc, flat = np.diff(np.asarray(words.offsets)), words.flatten()
+        del words
+        flat = flat.dictionary_encode()
+        chunks, empty = flat.dictionary.cast(pa.binary()), flat.dictionary.index("").as_py()
         # by chunk, then by document; white space at the ends of a text leaves empty pieces
-        key = np.asarray(flat.indices).astype(np.int64) << 16 | doc
-        empty = flat.dictionary.index("").as_py()
-        key = np.sort(key if empty < 0 else key[key >> 16 != empty])
+        key = np.asarray(flat.indices).astype(np.int64)
+        del flat
+        key <<= 16
+        key |= np.repeat(np.arange(len(langs), dtype=np.uint16), per_doc)
+        key = key if empty < 0 else key[key >> 16 != empty]
+        key.sort()
         first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
         n, key = np.diff(np.append(first, len(key))), key[first]
         times = -(-n // MOST)
@@ -172,17 +179,22 @@ def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         term, per_row = own[np.asarray(flat.indices)] if len(flat) else own, np.diff(np.asarray(column.offsets)) if len(column) else own
         data, ends = text_buffers(rows["data"].combine_chunks())
         postings, ends = data.view(POSTING), ends // POSTING.itemsize
-        first, parts = np.cumsum(per_row) - per_row, [(own, own)]
-        for lo in range(0, len(per_row), 50_000):  # each term of a row meets each posting of it
-            row = np.repeat(np.arange(lo, min(len(per_row), lo + 50_000)), per_row[lo : lo + 50_000])
-            wide = ends[row + 1] - ends[row]
-            at = np.arange(wide.sum()) - np.repeat(np.cumsum(wide) - wide - ends[row], wide)
-            which = term[first[lo] : first[lo] + len(row)]
-            parts.append((np.repeat(which, wide) << 32 | postings["doc"][at], postings["n"][at].astype(np.int64)))
-        key, n = summed(*(np.concatenate(x) for x in zip(*parts[1:] or parts, strict=True)))
-        key, n, docs = summed(key >> 32 << 32 | group[key & 0xFFFFFFFF], n, np.ones(len(key), np.int64))
-        held.append((key, n, docs))
-        size += len(key)
+        del table, column, flat
+        order = np.argsort(term, kind="stable")
+        term, row = term[order], np.repeat(np.arange(len(per_row)), per_row)[order]
+        wide = np.diff(ends)
+        upto, lo = np.cumsum(wide[row]), 0
+        while lo < len(row):  # each term of a row meets each posting of it; all rows of a term at once, so that a document counts once
+            hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + STEP)))
+            hi = int(np.searchsorted(term, term[hi - 1], side="right"))
+            some = row[lo:hi]
+            each = wide[some]
+            at = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each - ends[some], each)
+            key, n = summed(np.repeat(term[lo:hi], each) << 32 | postings["doc"][at], postings["n"][at].astype(np.int64))
+            lo = hi
+            key, n, docs = summed(key >> 32 << 32 | group[key & 0xFFFFFFFF], n, np.ones(len(key), np.int64))
+            held.append((key, n, docs))
+            size += len(key)
         if size > 2 * HELD:
             held = [summed(*(np.concatenate(x) for x in zip(*held, strict=True)))]
             size = len(held[0][0])
