@@ -3,9 +3,11 @@
 import tracemalloc
 from types import SimpleNamespace
 
+import numpy as np
 import pyarrow as pa
 
 from mentionforge.llm import divergence
+from mentionforge.llm.packing import Index
 
 
 def test_a_block_is_counted_in_steps(monkeypatch):
@@ -23,3 +25,18 @@ def test_a_block_is_counted_in_steps(monkeypatch):
         tracemalloc.stop()
     assert {t: n for t, n in zip(counted["term"].to_pylist(), counted["docs"].to_pylist(), strict=True)} == {w: sum(k % 7 <= i for k in range(3000)) for i, w in enumerate(words)}
     assert peak < 100e6, peak
+
+
+def test_used_documents_leave_the_index():
+    """Documents that are used up aren't scored again and again; what the others score stays."""
+    r = np.random.default_rng(3)
+    docs = [np.append(r.integers(1, 70_000 if k % 9 == 0 else 300, 200), 0).astype(np.uint32) for k in range(60)]
+    df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=70_001)
+    index, fresh = (Index(docs, df, len(docs), 201.0) for _ in range(2))
+    open_ = np.ones(60, bool)
+    for used in (range(0, 20), range(20, 50), range(50, 59)):
+        open_[list(used)] = False
+        index.keep(open_)
+        assert set(index.doc) <= set(np.flatnonzero(open_))
+        for d in range(60):
+            assert (index.scores(d)[open_] == fresh.scores(d)[open_]).all()
