@@ -18,6 +18,8 @@ REGISTERS, MANTISSA_BITS = 128, 10
 BANDS, BAND_ROWS = 25, 5
 #: Rows and shingles of a side, about, that a task compares where a bucket still holds several components.
 BLOCK, BLOCK_SHINGLES = 2048, 2_000_000
+#: Rows of a block that get their registers, or come out of Arrow, at once.
+ROWS = 128
 EMPTY = 0xFFFF
 
 
@@ -150,7 +152,8 @@ def across(percent: int):
         sets = [np.frombuffer(r[3], A.U) for r in rows]
         node, comp = ([r[k] for r in rows] for k in (1, 2))
         first = sum(r[0] for r in rows)
-        reg, n, comps = registers(sets), np.array([len(s) for s in sets]), np.array(comp)
+        reg = np.concatenate([registers(sets[lo : lo + ROWS]) for lo in range(0, len(sets), ROWS)] or [registers(sets)])
+        n, comps = np.array([len(s) for s in sets]), np.array(comp)
         zeros = zero_counts(n)
         links: dict[tuple[int, int], tuple[int, int]] = {}
         for k in range(first):
@@ -169,12 +172,13 @@ def across(percent: int):
         at = None
         for batch in batches:
             found = []
-            columns = [batch.column(c).to_pylist() for c in ("key", "i", "j", "asks", "node", "comp", "set")]
-            for key, i, j, *row in zip(*columns, strict=True):
-                if (key, i, j) != at:
-                    found += linked(held)
-                    held, at = [], (key, i, j)
-                held.append(tuple(row))
+            for lo in range(0, batch.num_rows, ROWS):
+                columns = [batch.column(c).slice(lo, ROWS).to_pylist() for c in ("key", "i", "j", "asks", "node", "comp", "set")]
+                for key, i, j, *row in zip(*columns, strict=True):
+                    if (key, i, j) != at:
+                        found += linked(held)
+                        held, at = [], (key, i, j)
+                    held.append(tuple(row))
             yield pairs(found)
         yield pairs(linked(held))
 

@@ -6,7 +6,7 @@ from types import SimpleNamespace
 import numpy as np
 import pyarrow as pa
 
-from mentionforge.llm import divergence
+from mentionforge.llm import divergence, near_dedup
 from mentionforge.llm.packing import Index
 
 
@@ -40,3 +40,22 @@ def test_used_documents_leave_the_index():
         assert set(index.doc) <= set(np.flatnonzero(open_))
         for d in range(60):
             assert (index.scores(d)[open_] == fresh.scores(d)[open_]).all()
+
+
+def test_a_block_of_components_gets_registers_in_slices():
+    """Beside its sets (20 MB here) a block takes little."""
+    r = np.random.default_rng(5)
+    sets = [np.sort(r.integers(0, 1 << 63, 2500).astype(np.uint64)) for _ in range(1000)]
+    sets[700] = np.sort(np.append(sets[3][:-5], sets[9][:5]))  # near a copy of another component's
+    rows = [{"key": k // 500, "i": 0, "j": 0, "asks": k % 500 < 100, "node": k, "comp": k, "set": s.tobytes()} for k, s in enumerate(sets)]
+    rows[700]["key"] = 0
+    batch = pa.Table.from_pylist(sorted(rows, key=lambda x: x["key"])).combine_chunks().to_batches()[0]
+    del rows
+    tracemalloc.start()
+    try:
+        found = pa.Table.from_batches(list(near_dedup.across(85)(iter([batch]))))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert list(zip(found["a"].to_pylist(), found["b"].to_pylist(), strict=True)) == [(3, 700)]
+    assert peak < 40e6, peak
