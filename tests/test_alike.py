@@ -56,3 +56,32 @@ def test_common_letters(spark):
         return row[-1]
 
     assert list(common_letters(a, b)) == [plain(s, t) for s, t in zip(a, b, strict=True)]
+
+
+def test_texts_of_far_shapes_do_not_meet(spark):
+    """What their letters have in common leaves more to digits than there are."""
+    names = spark.range(2000).selectExpr("concat('cust-', cast(id + 10000 as string)) as y")
+    asked = spark.range(2000).selectExpr("concat('unknown-', cast(id + 10000 as string)) as x")
+    assert C._share_letters(asked, names, "x", "y", 0.45 / 0.7).count() == 0
+
+
+@pytest.mark.parametrize("shapes", [1000, 3])
+def test_texts_meet_by_digits(spark, monkeypatch, shapes):
+    """Numbers that have enough digits in common meet, few others do, whether shapes are compared each with each or meet by letters."""
+    monkeypatch.setattr(C, "SHAPES", shapes)
+    r = random.Random(shapes)
+    names = sorted({f"{kind}{r.randrange(10 ** r.randint(1, 6)):0{width}d}" for kind, width in (("cust-", 1), ("customer#", 9), ("sup-", 1), ("7-a", 1)) for _ in range(40)})
+    asked = sorted({n[:2] + n[3:] for n in names[::3]} | {"123456", "000000", "é1", "unknown-4711"})
+    a, b = spark.createDataFrame([(t,) for t in asked], "x string"), spark.createDataFrame([(t,) for t in names], "y string")
+    for least in (0.57, 0.9):
+        met = {tuple(p) for p in C._share_letters(a, b, "x", "y", least).distinct().collect()}
+        assert {(s, t) for s in asked for t in names if ratio(s, t) >= least} <= met
+    assert len(met) < len(asked) * len(names) / 10
+
+
+def test_texts_without_a_partner_are_left_out(spark):
+    names = spark.createDataFrame([("cust-123",), ("cust-124",), ("large rod",)], "n string")
+    long = "a text of more letters than 20"
+    asked = spark.createDataFrame([("unknown-123", 0.64), ("unknown-123", 0.57), ("cut-129", 0.64), (long, 0.64)], "m string, least double")
+    got = C._with_partners(asked, names, "m", "n", C.F.col("least"), 0.57).collect()
+    assert sorted((r.m, r._most) for r in got) == sorted([("cut-129", 2), (long, 3)])
