@@ -77,3 +77,25 @@ def test_built_once_for_a_version(spark, tables, tmp_path, monkeypatch):
     other = A.index_once(w.where("k = 'ab'"), "k", base, "v2", most_rows=0)
     assert len(built) == 3 and not other.small and other.rows.count() == 1
     assert sorted((r.id, r.k, r.at) for r in D.occurrences(t, w, "t", "k", again).collect()) == want
+
+
+@pytest.mark.parametrize("rows", [0, 200_000])
+def test_keys_that_share_an_anchor_are_told_apart_at_once(spark, monkeypatch, rows):
+    """Only places of keys go back to the texts, not each key with an anchor like theirs; keys too long for that are found too."""
+    monkeypatch.setattr(D, "AROUND", 12)
+    long = "x" * 30 + "123456" + "y" * 30
+    keys = [f"{a}{b}-123456" for a in "abcdefgh" for b in "abcdefgh"] + ["123456", long]
+    w = spark.createDataFrame([(k,) for k in keys], "k string")
+    t = spark.createDataFrame([(1, "see ab-123456 and 123456"), (2, "nothing 12345 6"), (3, f"1 {long[1:]}"), (4, f"2 {long}")], "id int, t string")
+    index = A.build_index(w, "k", most_rows=rows)
+    assert index.small == (rows > 0) and index.fits(12) == index.small and index.fits(len(long))
+    want = sorted((i, k, p) for i, text in t.collect() for k in keys for p in range(len(text)) if text.startswith(k, p))
+    assert sorted((r.id, r.k, r.at) for r in D.occurrences(t, w, "t", "k", index).collect()) == want
+    # 2,000 texts each meet the anchor of 64 keys, and hold one of them
+    few = A.build_index(w.where("length(k) = 9"), "k", most_rows=rows)
+    many = spark.range(2000).selectExpr("cast(id as int) as id", "concat('ab-123456 ', id) as t")
+    seen = []
+    distinct = type(many).distinct
+    monkeypatch.setattr(type(many), "distinct", lambda df: (seen.append(df.count()), distinct(df))[1])
+    assert D._places(many, "t", few).count() == 2000
+    assert seen == [2000]
