@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from mentionforge.operators import dictionary as D
+from mentionforge.plans import linking as L
 
 
 def test_each_text_is_worked_on_once(spark, monkeypatch):
@@ -34,3 +35,15 @@ def test_pieces_are_made_of_different_texts(spark):
     finally:
         D.matches_of_texts = of_texts
     assert seen == [1]
+
+
+def test_texts_are_linked_once(spark, monkeypatch):
+    """link_contains judges a text that all queries share once; blank texts stay invalid for each."""
+    queries = spark.range(2000).select(F.col("id").alias("query_id"), F.when(F.col("id") < 1990, "check old rod now").alias("query"))
+    words = spark.createDataFrame([("P:1", "part", "old rod", "oldrod", "entity_name", "EXACT_WORD", False, [], 0)], "entity_id string, entity_type string, entity_word string, normalized_key string, source string, match_mode string, min_context_required boolean, context_keywords array<string>, priority int")
+    entities = spark.createDataFrame([("P:1",)], "entity_id string")
+    seen, gate = [], L.request_gate
+    monkeypatch.setattr(L, "request_gate", lambda texts: (seen.append(texts.count()), gate(texts))[1])
+    got = L.link_contains(queries, words, entities).groupBy("status", "error_code", "linked_ids", "n_mentions", "n_entities").count().collect()
+    assert sorted(map(tuple, got)) == [("invalid_input", "invalid_input", "", 0, 0, 10), ("linked", None, "P:1", 1, 1, 1990)]
+    assert seen == [2]
